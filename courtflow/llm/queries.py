@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from courtflow.llm import simhash
+from courtflow.llm import mixing, quality, simhash
 from courtflow.llm.shared import read
 
 QUERIES = {
     "op1_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
+    "op4_quality_rules": lambda spark, d: quality.quality(read(spark, d, "documents")),
+    "op10_mixing": lambda spark, d: mixing.mix_plan(read(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality.oracle(),
+    "op10_mixing": mixing.ORACLE,
+}
