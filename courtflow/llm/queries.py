@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from courtflow.llm import bpe, langid, lengths, mixing, quality, simhash, tokenfiles
+from courtflow.llm import bpe, embeddings, langid, lengths, mixing, quality, simhash, tokenfiles, toxicity, urlrules
 from courtflow.llm.shared import read
 
 BYTE_BPE, BYTE_BPE_END = public_tokenizers.path("byte_bpe_50k.json"), 2
@@ -13,8 +13,11 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = {
     "op1_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
     "op2_language_id": lambda spark, d: langid.identified(read(spark, d, "documents")),
+    "op3_url_filters": lambda spark, d: urlrules.judged(read(spark, d, "pages"), urlrules.page_labels(read(spark, d, "labels"))),
     "op4_quality_rules": lambda spark, d: quality.quality(read(spark, d, "documents")),
+    "op5_embedding_near_dedup": lambda spark, d: embeddings.near_duplicates(read(spark, d, "embeddings")),
     "op6_bpe": lambda spark, d: bpe.encode_and_decode(read(spark, d, "documents"), WORD_BPE),
+    "op7_toxicity": lambda spark, d: toxicity.toxicity(read(spark, d, "documents"), read(spark, d, "labels")),
     "op8_token_counts": lambda spark, d: lengths.length_histogram(lengths.encoded_lengths(read(spark, d, "documents"), BYTE_BPE)),
     "op9_token_files": lambda spark, d: tokenfiles.token_digest(read(spark, d, "documents"), BYTE_BPE, BYTE_BPE_END),
     "op10_mixing": lambda spark, d: mixing.mix_plan(read(spark, d, "documents")),

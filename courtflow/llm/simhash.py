@@ -28,7 +28,8 @@ from courtflow.llm.shared import stash
 
 SEED = 42
 RADIUS = 3
-SHINGLE = 3
+#: Words of a shingle: of the registered query, and of a pipeline's stage.
+SHINGLE, STAGE_SHINGLE = 3, 5
 #: Fingerprints in a tile, about; a fuller cell is dealt to several tiles by hash.
 TILE = 1024
 
