@@ -224,11 +224,158 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     return own.join(linked, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; all columns are kept.
+# ---- similar documents, for a pipeline's stage
+
+#: Bits within which fingerprints of texts with a similarity of 0.8 lie (measured: at most 13 of 64, rarely over 11).
+WIDE_RADIUS = 12
+#: Least share of equal MinHash bytes, and bytes of a sketch; with 128 bytes a similarity of 0.8 shows as 0.8 +- 0.035.
+SIMILAR, SKETCH = 0.78, 128
+#: Fingerprints in a tile here, and tiles in an Arrow batch (about a megabyte each).
+WIDE_TILE, WIDE_BATCH = 8192, 32
+
+_ODD = (np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def sketch(text: bytes | None, width: int = STAGE_SHINGLE) -> bytes:
+    """One byte of each of SKETCH minima over the hashed ``width``-word shingles; zeros without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(SKETCH)
+    runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
+    hashes = np.fromiter({xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs}, dtype=np.uint64)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[i : i + 4096, None] * _ODD).min(axis=0))
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, sketch) for every row of docs(doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
+            fps = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(list(map(sketch, texts)), pa.binary())], ["doc_id", "fp", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, sketch binary")
+
+
+def _alike(radius: int, near: int, least: float):
+    """Edges of a spanning forest of the similar pairs of each home tile and each tile sent to it, the home tile first.
+
+    A pair is similar if its fingerprints are within ``near`` bits, or within ``radius``
+    and the sketches agree. Pairs that earlier ones have joined already are not looked at.
+    """
+
+    def grow(up: np.ndarray, i: np.ndarray, j: np.ndarray, edges: list) -> None:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = a, b
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                edges.append((a, b))
+
+    def roots(up: np.ndarray) -> np.ndarray:
+        while True:
+            top = up[up]
+            if (top == up).all():
+                return top
+            up[:] = top
+
+    def compare(home: list[np.ndarray], other: list[np.ndarray], own: bool) -> list[tuple[int, int]]:
+        """Forest edges as places in home followed by other."""
+        n = len(home[0])
+        up, edges = np.arange(n if own else n + len(other[0])), []
+        both = home if own else [np.concatenate(x) for x in zip(home, other, strict=True)]
+        for i, j in _near(home[0], other[0], radius):
+            j = j if own else j + n
+            if own:
+                i, j = i[i < j], j[i < j]
+            for once in (True, False):  # one pair for each group and text first: it mostly settles the rest
+                top = roots(up)
+                apart = top[i] != top[j]
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    break
+                first = np.unique(top[i] * np.int64(len(up)) + j, return_index=True)[1] if once else np.arange(len(i))
+                for s in range(0, len(first), 1 << 16):
+                    a, b = i[first[s : s + (1 << 16)]], j[first[s : s + (1 << 16)]]
+                    same = (both[1][a] == both[1][b]).mean(axis=1) >= least
+                    same |= np.bitwise_count(both[0][a] ^ both[0][b]) <= near
+                    grow(up, a[same], b[same], edges)
+        return [(both[0][a], both[0][b]) for a, b in edges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, home = None, None
+        for batch in batches:
+            found = []
+            for r in range(len(batch)):
+                now = (batch.column("target")[r].as_py(), batch.column("slot")[r].as_py())
+                rows = batch.column("members")[r].values
+                marks = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+                tile = [rows.field("fp").to_numpy(zero_copy_only=False).view(np.uint64), marks]
+                if now != key:
+                    key, home = now, None
+                if batch.column("home")[r].as_py():
+                    home = tile
+                if home is not None:
+                    found += compare(home, tile, tile is home)
+            edges = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, near: int = RADIUS, least: float = SIMILAR, tile: int = WIDE_TILE) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: components of texts whose five-word shingles are at least 0.8 similar.
+
+    Fingerprints within ``near`` bits are linked as they are; up to ``radius`` bits a
+    MinHash sketch of the shingles decides. Every pair of distinct fingerprints whose
+    population counts are within the radius is compared, tile by tile: at this radius
+    that skips little, so the cost grows with the square of the distinct texts (about
+    1.5 ns a pair). Nulls, empties and repeats are as in ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    own = stash(sketched(docs), "similar-fps")
+    first = F.min(F.struct("doc_id", "sketch"))
+    distinct = stash(own.groupBy("fp").agg(first.alias("x")).select("fp", F.bit_count("fp").alias("cell"), F.col("x.doc_id").alias("least"), "x.sketch"), "similar-nodes")
+    # at most 65 rows, whatever the input
+    slots = stash(distinct.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("slots")), "similar-cells")
+    tiles = (
+        distinct.join(F.broadcast(slots), "cell")
+        .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int").alias("salt"))
+        .agg(F.collect_list(F.struct("fp", "sketch")).alias("members"))
+    )
+    sent = (
+        tiles.withColumn("target", F.explode(F.sequence(F.col("cell"), F.col("cell") + radius)))
+        .join(F.broadcast(slots.withColumnRenamed("cell", "target")), "target")
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        .where("cell != target or salt <= slot")
+        .select("target", "slot", ((F.col("cell") == F.col("target")) & (F.col("salt") == F.col("slot"))).alias("home"), "members")
+        .repartition("target", "slot").sortWithinPartitions("target", "slot", F.desc("home"))
+    )
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(WIDE_BATCH))
+    try:  # the edges are written here, so the setting holds for them alone
+        edges = stash(sent.mapInArrow(_alike(radius, near, least), "a long, b long"), "similar-links")
+    finally:
+        spark.conf.set(batch, before)
+    roots = connected_components(edges, "similar-edges")
+    nodes = distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "fp").join(nodes.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the least among its similar documents; all columns are kept.
 
     Rows that share a doc_id are one document: one of them stays. Rows without a
     doc_id are taken as one document too, which stays if nothing with an id is near it.
     """
-    marks = near_duplicates(docs, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    marks = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(marks, docs["doc_id"].eqNullSafe(marks["__kept"]), "left_semi").dropDuplicates(["doc_id"])
