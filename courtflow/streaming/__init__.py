@@ -1 +1 @@
-"""Streaming."""
+"""Streams of shots and detections."""
