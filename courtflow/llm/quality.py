@@ -84,7 +84,7 @@ def votes(rules: dict[str, tuple[str, str]] = RULES) -> Column:
 def label_model(patterns: DataFrame, k: int, iterations: int = ITERATIONS) -> DataFrame:
     """One row (share, good_on_good, bad_on_bad) from patterns(v array<int>, n): the whole fold is one expression.
 
-    Without patterns the starting values stay.
+    Without patterns the share is one half.
     """
     share, good, bad = START
     start = f"named_struct('share', {share}D, 'a', array_repeat({good}D, {k}), 'b', array_repeat({bad}D, {k}))"
