@@ -1,0 +1,55 @@
+"""Synthetic matches for demonstrations and fixtures: the same seed gives the same rows on any cluster.
+
+Positions come from sines and a 32-bit generator that is advanced by row number, as
+column arithmetic over a range, so a demo of any length is made in parallel.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FPS, SHOT_EVERY_S, RALLY_S, PAUSE_S = 10, 1.4, 12.0, 7.0
+_WORD = 0xFFFFFFFF
+
+
+def mulberry(state: Column) -> Column:
+    """One number in 0..1 from a 32-bit state, by the public mulberry32 mixing steps, as a Column."""
+    low = lambda c: c.bitwiseAND(F.lit(_WORD))
+    # 32-bit products from 16-bit halves, which never leave a long
+    times = lambda a, b: low(F.shiftleft(low(F.shiftright(a, 16) * b), 16) + a.bitwiseAND(F.lit(0xFFFF)) * b)
+    t = low(state.cast("long") + F.lit(0x6D2B79F5))
+    t = times(t.bitwiseXOR(F.shiftright(t, 15)), t.bitwiseOR(F.lit(1)))
+    t = t.bitwiseXOR(low(t + times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))))
+    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
+
+
+def _random(row: Column, salt: int, seed: int) -> Column:
+    return mulberry((row * 4 + salt) * F.lit(0x6D2B79F5 & 0xFFFF) + F.lit(seed * 7919))
+
+
+def demo_match(spark: SparkSession, match_id: int = 0, minutes: float = 6, seed: int = 7) -> dict[str, DataFrame]:
+    """frames, poses, shots and points of a made-up match: rallies of 12 s with 7 s between, a shot every 1.4 s."""
+    n = int(minutes * 60 * FPS)
+    frames = spark.range(n).select(F.lit(match_id).cast("long").alias("match_id"), F.col("id").alias("frame_no"), (F.col("id") / FPS).alias("t"))
+    four = frames.withColumn("player_id", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    row = F.col("frame_no") * 4 + F.col("player_id")
+    depth = 5 + 3.5 * F.sin(F.col("t") / 6 + F.col("player_id") * F.lit(seed % 7 + 0.5)) + 0.2 * _random(row, 1, seed)
+    across = F.when(F.col("player_id") % 2 == 0, 2.8).otherwise(7.2) + 0.8 * F.sin(F.col("t") / 3 + F.col("player_id")) + 0.2 * _random(row, 2, seed)
+    poses = four.select("match_id", "frame_no", "t", "player_id", across.alias("court_x"), F.when(F.col("player_id") < 2, 10 + depth).otherwise(10 - depth).alias("court_y"))
+    in_rally = F.col("t") % (RALLY_S + PAUSE_S) < RALLY_S
+    times = spark.range(int(minutes * 60 / SHOT_EVERY_S)).select(F.lit(match_id).cast("long").alias("match_id"), F.col("id").alias("seq"), (F.col("id") * SHOT_EVERY_S + 0.3).alias("t")).where(in_rally)
+    kind = F.floor(_random(F.col("seq"), 3, seed) * 5).cast("int")
+    player = (F.col("seq") % 2 * 2 + F.floor(_random(F.col("seq"), 0, seed) * 2)).cast("int")
+    shots = times.select(
+        "match_id", "seq", "t", player.alias("player_id"), F.get(F.array(*map(F.lit, ("forehand", "backhand", "forehand-volley", "backhand-volley", "overhead"))), kind).alias("shot_type"),
+        (8 + 10 * _random(F.col("seq"), 1, seed)).alias("swing_speed"), (10 * _random(F.col("seq"), 2, seed)).alias("court_x"), F.when(player < 2, 16.0).otherwise(4.0).alias("court_y"),
+    )
+    n_points = int(minutes * 60 / (RALLY_S + PAUSE_S))
+    points = spark.range(n_points).select(F.lit(match_id).cast("long").alias("match_id"), F.col("id").alias("rally_idx"), F.when(_random(F.col("id"), 0, seed + 4) < 0.55, "A").otherwise("B").alias("winner"))
+    return {"frames": frames, "poses": poses, "shots": shots, "points": points}
+
+
+def new_match(match_id: int, created_at: int, title: str = "") -> dict:
+    """A saved match's row before anything is known of it."""
+    return {"match_id": match_id, "created_at": created_at, "title": title, "me": None, "names": {}, "golden_point": False, "demo": False}
