@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtflow.llm.components import connected_components
-from courtflow.llm.shared import stash
+from courtflow.llm.shared import arrow_rows, stash
 
 THRESHOLD = 0.9
 #: Principal dimensions that order the vectors, and vectors that they are fitted on (the join is exact whatever they are).
-LEADING, FIT_VECTORS = 6, 10_000
+LEADING, FIT_VECTORS, FIT_NUMBERS = 6, 10_000, 4_000_000
+#: Numbers in an Arrow batch, about.
+BATCH_NUMBERS = 1_000_000
 #: Vectors in a block, and in a stretch that is no longer halved.
 BLOCK, LEAF = 4096, 512
 
@@ -46,8 +48,12 @@ def _dims(column: pa.Array) -> np.ndarray:
 
 
 def principal_axes(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length its leading axes, columns of a (length, LEADING) matrix, from about FIT_VECTORS vectors."""
-    share = min(1.0, FIT_VECTORS / max(1, nodes.count()))
+    """For each vector length its leading axes, columns of a (length, LEADING) matrix.
+
+    Fitted on about FIT_VECTORS vectors, fewer if they are long (FIT_NUMBERS in all).
+    """
+    n, longest = nodes.agg(F.count("*"), F.max(F.size("e"))).first()
+    share = min(1.0, FIT_VECTORS / max(1, n), FIT_NUMBERS / max(1, n * (longest or 1)))
     some = nodes.where(F.pmod(F.xxhash64("e"), F.lit(1 << 30)) < int(share * (1 << 30))).select("e").toArrow()["e"].combine_chunks()
     some = some.chunk(0) if isinstance(some, pa.ChunkedArray) else some
     axes, dims = {}, _dims(some)
@@ -241,27 +247,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     vec_id, link with nothing; vectors of different lengths don't link. Repeated rows
     are vectors of their own. Other columns are ignored; an empty table gives none.
     """
-    width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    spark, width = vectors.sparkSession, float(np.sqrt(2 - 2 * threshold)) + 1e-6
     base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
     usable = _usable(F.col("e")) & F.col("vec_id").isNotNull()
     same = [F.when(usable, F.xxhash64("e")).alias("h1"), F.when(usable, F.xxhash64(F.lit(1), F.col("e"))).alias("h2")]
     # equal vectors are one node; the two hashes only spare the long key in the join back
     nodes = stash(base.where(usable).groupBy("e").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "ego-nodes").select("node", "n", "e")
     axes = principal_axes(nodes)
+    longest = nodes.agg(F.max(F.size("e"))).first()[0] or 1
+    batch = max(64, min(10_000, BATCH_NUMBERS // longest))
     keys = [F.get("cells", F.lit(i)) for i in range(LEADING)]
     ordered = _gridded(nodes, axes, width).withColumn("tie", F.xxhash64("e"))
     ordered = ordered.repartitionByRange("dim", *keys, "tie").sortWithinPartitions("dim", *keys, "tie")
     place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in it below
-    rows = stash(ordered.withColumn("block", F.shiftleft(F.shiftright(place, 33), 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK) * 1024 + F.pmod("dim", F.lit(1021))), "ego-rows")
+    with arrow_rows(spark, batch):
+        rows = stash(ordered.withColumn("block", F.shiftleft(F.shiftright(place, 33), 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK) * 1024 + F.pmod("dim", F.lit(1021))), "ego-rows")
     corner = lambda f: F.array(*[f(F.get("at", F.lit(i))) for i in range(LEADING)])
     blocks = stash(rows.groupBy("block", "dim").agg(corner(F.min).alias("low"), corner(F.max).alias("high")), "ego-blocks")
     pairs = _block_pairs(blocks, width)
     sent = rows.select(F.col("block").alias("part"), "node", "n", "e").join(pairs, "part")
-    found = stash(
-        sent.select("home", "part", "node", "n", "e").repartition("home").sortWithinPartitions("home", F.desc("part"))
-        .mapInArrow(_joined(axes, threshold, width), "a long, b long, links long"),
-        "ego-links",
-    )
+    met = sent.select("home", "part", "node", "n", "e").repartition("home").sortWithinPartitions("home", F.desc("part"))
+    with arrow_rows(spark, batch):
+        found = stash(met.mapInArrow(_joined(axes, threshold, width), "a long, b long, links long"), "ego-links")
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("a != b"), "ego-edges")
     known = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         app = spark.sparkContext.applicationId
-        folder = _own_folder.setdefault(app, None) or _own_folder.__setitem__(app, tempfile.mkdtemp(prefix="courtflow-")) or _own_folder[app]
+        if app not in _own_folder:
+            _own_folder[app] = tempfile.mkdtemp(prefix="courtflow-")
+        folder = _own_folder[app]
     return f"{folder.rstrip('/')}/courtflow-{spark.sparkContext.applicationId}"
 
 
@@ -39,6 +43,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Bounds the rows of an Arrow batch for what is written meanwhile; for rows that are large each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear_stash(spark: SparkSession) -> None:
     """Deletes what ``stash`` wrote; results that still read it must have been written before."""
     jvm = spark.sparkContext._jvm

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtflow.llm.components import connected_components
-from courtflow.llm.shared import stash
+from courtflow.llm.shared import arrow_rows, stash
 
 SEED = 42
 RADIUS = 3
@@ -358,13 +358,8 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, near: int = RA
         .select("target", "slot", ((F.col("cell") == F.col("target")) & (F.col("salt") == F.col("slot"))).alias("home"), "members")
         .repartition("target", "slot").sortWithinPartitions("target", "slot", F.desc("home"))
     )
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(WIDE_BATCH))
-    try:  # the edges are written here, so the setting holds for them alone
+    with arrow_rows(spark, WIDE_BATCH):
         edges = stash(sent.mapInArrow(_alike(radius, near, least), "a long, b long"), "similar-links")
-    finally:
-        spark.conf.set(batch, before)
     roots = connected_components(edges, "similar-edges")
     nodes = distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
