@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from courtflow.plans import movement, points, signals
+from courtflow.plans import movement, points, signals, stateful
 
-_PARTS = (movement, points, signals)
+_PARTS = (movement, points, signals, stateful)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
