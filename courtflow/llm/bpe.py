@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.llm.pieces import Known, load
+from courtflow.llm.pieces import Known, byte_alphabet, load
 
 SLICE = 128
 #: Words of more characters are cut within.
@@ -31,13 +31,6 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("(?:[\x1c-\x1f]|\\S)+")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable characters that byte-level vocabularies write for the 256 bytes, in the usual order."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def joined_pairs(vocabulary: dict[str, int], ending: str) -> np.ndarray:
     """A 256 x 256 table: True where some token holds the two bytes side by side."""
     of, table = byte_alphabet(), np.zeros((256, 256), dtype=bool)

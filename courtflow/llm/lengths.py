@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.pieces import Known, byte_level_pieces, load
+from courtflow.llm.pieces import KnownIds, byte_level_pieces
 from courtflow.llm.shared import stash
 
 #: Lengths in a block of the two-level sums.
@@ -17,13 +17,12 @@ BLOCK = 1024
 #: Texts that are cut and encoded together.
 SLICE = 128
 
-_counters: dict[str, Known] = {}
+_counters: dict[str, KnownIds] = {}
 
 
-def _counter(path: str) -> Known:
+def _counter(path: str) -> KnownIds:
     if path not in _counters:
-        tokenizer = load(path)
-        _counters[path] = Known(lambda pieces: [len(e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _counters[path] = KnownIds(path)
     return _counters[path]
 
 
@@ -36,7 +35,8 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
             texts = batch.column(0)
             found: list[int] = []
             for at in range(0, len(texts), SLICE):
-                found += map(sum, count(byte_level_pieces(t or "") for t in texts.slice(at, SLICE).to_pylist()))
+                for ids in count(byte_level_pieces(t or "") for t in texts.slice(at, SLICE).to_pylist()):
+                    found.append(len(b"".join(ids)) // 4)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(found, dtype=np.int64))], ["n_tokens"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "n_tokens long")

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from struct import pack
+
+import numpy as np
 
 #: Pieces that a worker remembers, and characters up to which it remembers one.
-KNOWN, LONGEST = 500_000, 100
+KNOWN, LONGEST = 600_000, 100
 
 _loaded: dict[str, object] = {}
 
@@ -35,21 +38,77 @@ class Known:
     def __init__(self, encode: Callable[[list[str]], list]):
         self.encode, self.known = encode, {}
 
-    def __call__(self, texts: Iterable[list[str]]) -> list[list]:
+    def __call__(self, texts: Iterable[list[str]]) -> Iterator[Iterator]:
+        """For each text an iterator over its pieces' results, to be used up before the next one is asked for."""
         texts = list(texts)
         if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
         missing = list(set().union(*texts).difference(known))
         known.update(zip(missing, self.encode(missing), strict=True))
-        found = [[known[p] for p in pieces] for pieces in texts]
+        for pieces in texts:
+            yield map(known.__getitem__, pieces)
         for p in missing:
             if len(p) > LONGEST:
                 del known[p]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable characters that byte-level vocabularies write for the 256 bytes, in the usual order."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class KnownIds(Known):
+    """Pieces to the bytes of their ids as little-endian unsigned 32-bit integers, under a byte-level tokenizer.
+
+    The pattern parts a Latin word from the mark after it, so both are looked up by
+    themselves; a word that is new goes to the merges directly. Anything else is encoded
+    by the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(self.pieces)
+        self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        by = {b: c for c, b in byte_alphabet().items()}
+        self.alphabet = [by[b] for b in range(256)]
+        self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
+
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def word(self, word: str) -> bytes:
+        written = word.replace(" ", self.alphabet[32]) if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(written)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        known, found, hard = self.known, [], []
+        for p in pieces:
+            mark = self.marks.get(p[-1:])
+            core = p if mark is None else p[:-1]
+            letters = core[1:] if core[:1] == " " else core
+            if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END):
+                ids = known.get(core)
+                if ids is None:
+                    ids = known[core] = self.word(core)
+                found.append(ids if mark is None else ids + mark)
+            else:
+                hard.append((len(found), p))
+                found.append(b"")
+        for (at, _), ids in zip(hard, self.whole([p for _, p in hard]), strict=True):
+            found[at] = ids
         return found
 
 
-_UNSURE = re.compile(r"\s\s|[^\S \n]|\x00")
+#: Marks after a word that are looked up by themselves, and the end of the letters (Latin) that are taken as letters everywhere.
+MARKS, LATIN_END = ".,;:!?", "\u0250"
+
+
+#: Runs of spaces and line breaks, and white space other than these two (also in the sense of Python), and the mark that cuts use.
+_UNSURE = ("  ", "\n ", " \n", "\n\n", "\0", *(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)))
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -60,7 +119,7 @@ def byte_level_pieces(text: str) -> list[str]:
     such a text is cut only between a letter or mark that is no white space and a
     single space or line break followed by none, and otherwise left whole.
     """
-    if _UNSURE.search(text):
+    if any(map(text.__contains__, _UNSURE)):
         return _CUT.split(text)
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 

@@ -18,20 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.pieces import Known, byte_level_pieces, load
+from courtflow.llm.pieces import KnownIds, byte_level_pieces
 from courtflow.llm.shared import shared_folder, stash
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 SLICE = 128
 
-_encoders: dict[str, Known] = {}
+_encoders: dict[str, KnownIds] = {}
 
 
-def _encoder(path: str) -> Known:
-    """Pieces to the bytes of their ids as little-endian unsigned 32-bit integers."""
+def _encoder(path: str) -> KnownIds:
     if path not in _encoders:
-        tokenizer = load(path)
-        _encoders[path] = Known(lambda pieces: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _encoders[path] = KnownIds(path)
     return _encoders[path]
 
 
