@@ -93,7 +93,9 @@ class KnownIds(Known):
             if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END):
                 ids = known.get(core)
                 if ids is None:
-                    ids = known[core] = self.word(core)
+                    ids = self.word(core)
+                    if len(core) <= LONGEST:
+                        known[core] = ids
                 found.append(ids if mark is None else ids + mark)
             else:
                 hard.append((len(found), p))
