@@ -226,144 +226,162 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
 
 # ---- similar documents, for a pipeline's stage
 
-#: Bits within which fingerprints of texts with a similarity of 0.8 lie (measured: at most 13 of 64, rarely over 11).
-WIDE_RADIUS = 12
-#: Least share of equal MinHash bytes, and bytes of a sketch; with 128 bytes a similarity of 0.8 shows as 0.8 +- 0.035.
-SIMILAR, SKETCH = 0.78, 128
-#: Fingerprints in a tile here, and tiles in an Arrow batch (about a megabyte each).
-WIDE_TILE, WIDE_BATCH = 8192, 32
-
-_ODD = (np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def sketch(text: bytes | None, width: int = STAGE_SHINGLE) -> bytes:
-    """One byte of each of SKETCH minima over the hashed ``width``-word shingles; zeros without words."""
+#: Least Jaccard similarity of the sets of shingles of two linked texts; as a fraction, so that pairs at the limit are decided exactly.
+SIMILAR = (4, 5)
+#: MinHash band keys of a text and minima in each. Texts that share a key are proposed: of pairs at the limit all but (1 - 0.8^8)^64, 8 in a million.
+BANDS, IN_BAND = 64, 8
+#: Proposed texts that are compared in one go; a larger group is dealt to blocks, and each two blocks are compared.
+WIDE_TILE = 2048
+#: Rows of the Arrow batches that hold sets of shingles.
+SET_BATCH = 500
+
+_RANDOM = np.random.Generator(np.random.PCG64(SEED))
+_ODD = _RANDOM.integers(0, 1 << 32, BANDS * IN_BAND, dtype=np.uint32) | np.uint32(1)
+_MIX = _RANDOM.integers(0, 1 << 63, (BANDS, IN_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes | None, width: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the ``width``-word shingles, words as in ``fingerprint``; empty without words."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(SKETCH)
+        return np.zeros(0, dtype=np.uint64)
     runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    hashes = np.fromiter({xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs}, dtype=np.uint64)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[i : i + 4096, None] * _ODD).min(axis=0))
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return np.sort(np.fromiter({xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs}, dtype=np.uint64))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, sketch) for every row of docs(doc_id, text)."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash band keys of a set of shingles; none of an empty one."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.uint64)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * IN_BAND, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for i in range(0, len(high), 64):
+        least = np.minimum(least, (high[i : i + 64, None] * _ODD).min(axis=0))
+    return (least.reshape(BANDS, IN_BAND) * _MIX).sum(axis=1, dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
-            fps = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(list(map(sketch, texts)), pa.binary())], ["doc_id", "fp", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, sketch binary")
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash) for every row of docs."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
-def _alike(radius: int, near: int, least: float):
-    """Edges of a spanning forest of the similar pairs of each home tile and each tile sent to it, the home tile first.
 
-    A pair is similar if its fingerprints are within ``near`` bits, or within ``radius``
-    and the sketches agree. Pairs that earlier ones have joined already are not looked at.
-    """
-
-    def grow(up: np.ndarray, i: np.ndarray, j: np.ndarray, edges: list) -> None:
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = a, b
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            while up[y] != y:
-                up[y] = y = up[up[y]]
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                edges.append((a, b))
-
-    def roots(up: np.ndarray) -> np.ndarray:
-        while True:
-            top = up[up]
-            if (top == up).all():
-                return top
-            up[:] = top
-
-    def compare(home: list[np.ndarray], other: list[np.ndarray], own: bool) -> list[tuple[int, int]]:
-        """Forest edges as places in home followed by other."""
-        n = len(home[0])
-        up, edges = np.arange(n if own else n + len(other[0])), []
-        both = home if own else [np.concatenate(x) for x in zip(home, other, strict=True)]
-        for i, j in _near(home[0], other[0], radius):
-            j = j if own else j + n
-            if own:
-                i, j = i[i < j], j[i < j]
-            for once in (True, False):  # one pair for each group and text first: it mostly settles the rest
-                top = roots(up)
-                apart = top[i] != top[j]
-                i, j = i[apart], j[apart]
-                if not len(i):
-                    break
-                first = np.unique(top[i] * np.int64(len(up)) + j, return_index=True)[1] if once else np.arange(len(i))
-                for s in range(0, len(first), 1 << 16):
-                    a, b = i[first[s : s + (1 << 16)]], j[first[s : s + (1 << 16)]]
-                    same = (both[1][a] == both[1][b]).mean(axis=1) >= least
-                    same |= np.bitwise_count(both[0][a] ^ both[0][b]) <= near
-                    grow(up, a[same], b[same], edges)
-        return [(both[0][a], both[0][b]) for a, b in edges]
+def _banded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, bands) for every row; node is a hash of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home = None, None
         for batch in batches:
-            found = []
-            for r in range(len(batch)):
-                now = (batch.column("target")[r].as_py(), batch.column("slot")[r].as_py())
-                rows = batch.column("members")[r].values
-                marks = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-                tile = [rows.field("fp").to_numpy(zero_copy_only=False).view(np.uint64), marks]
-                if now != key:
-                    key, home = now, None
-                if batch.column("home")[r].as_py():
-                    home = tile
-                if home is not None:
-                    found += compare(home, tile, tile is home)
-            edges = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    return run
-
-
-def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, near: int = RADIUS, least: float = SIMILAR, tile: int = WIDE_TILE) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: components of texts whose five-word shingles are at least 0.8 similar.
-
-    Fingerprints within ``near`` bits are linked as they are; up to ``radius`` bits a
-    MinHash sketch of the shingles decides. Every pair of distinct fingerprints whose
-    population counts are within the radius is compared, tile by tile: at this radius
-    that skips little, so the cost grows with the square of the distinct texts (about
-    1.5 ns a pair). Nulls, empties and repeats are as in ``near_duplicates``.
-    """
+            sets = [shingle_set(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), dtype=np.uint64, count=len(sets))
+            bands = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes.view(np.int64)), bands], ["doc_id", "text_hash", "node", "bands"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>")
+
+
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of places whose sets are similar; pairs that earlier ones have joined are not looked at."""
+    n, edges = len(sets), []
+    sizes = np.array(list(map(len, sets)), dtype=np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1) if n else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    marked, top = np.zeros(len(flat) + 1, dtype=bool), np.arange(n)
+    over, under = SIMILAR
+    for x in range(n):
+        # the lesser set is at least as large a part of the larger one
+        rest = x + 1 + np.nonzero((top[x + 1 :] != top[x]) & (under * np.minimum(sizes[x + 1 :], sizes[x]) >= over * np.maximum(sizes[x + 1 :], sizes[x])) & (sizes[x + 1 :] > 0))[0]
+        if not len(rest):
+            continue
+        own = flat[ends[x] - sizes[x] : ends[x]]
+        marked[own] = True
+        step = max(1, (1 << 22) // int(sizes[rest].max()))
+        for s in range(0, len(rest), step):
+            some = rest[s : s + step]
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            places = np.arange(sizes[some].sum()) + np.repeat(ends[some] - sizes[some] - starts, sizes[some])
+            common = np.add.reduceat(marked[flat[places]], starts, dtype=np.int64)
+            for y in some[under * common >= over * (sizes[x] + sizes[some] - common)].tolist():
+                if top[y] != top[x]:
+                    edges.append((x, y))
+                    top[top == top[y]] = top[x]
+        marked[own] = False
+    return edges
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces text by its set of shingles."""
+    names = ["root", "node", "block", "blocks", "shingles"]
+    for batch in batches:
+        for at in range(0, len(batch), SET_BATCH):
+            part = batch.slice(at, SET_BATCH)
+            sets = pa.array([shingle_set(t.as_py()).tobytes() for t in part.column("text").cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(part.column, names[:-1]), sets], names)
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between the similar ones of the nodes of each (root, low, high); rows come sorted by these."""
+    key, nodes, sets = None, [], []
+
+    def found() -> pa.RecordBatch:
+        edges = np.array([(nodes[a], nodes[b]) for a, b in similar_links(sets)], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high")), strict=True)
+        for now, node, shingles in zip(keys, batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            if now != key:
+                if len(sets) > 1:
+                    yield found()
+                key, nodes, sets = now, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(shingles, dtype=np.uint64))
+    if len(sets) > 1:
+        yield found()
+
+
+def _components(docs: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node) for every row of docs, and (node, root) of the nodes that are linked to others."""
     spark = docs.sparkSession
-    own = stash(sketched(docs), "similar-fps")
-    first = F.min(F.struct("doc_id", "sketch"))
-    distinct = stash(own.groupBy("fp").agg(first.alias("x")).select("fp", F.bit_count("fp").alias("cell"), F.col("x.doc_id").alias("least"), "x.sketch"), "similar-nodes")
-    # at most 65 rows, whatever the input
-    slots = stash(distinct.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("slots")), "similar-cells")
-    tiles = (
-        distinct.join(F.broadcast(slots), "cell")
-        .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int").alias("salt"))
-        .agg(F.collect_list(F.struct("fp", "sketch")).alias("members"))
+    own = stash(_banded(docs), "similar-rows")
+    # one text of each node stands for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "bands"))
+    nodes = stash(own.where(F.size("bands") > 0).groupBy("node").agg(first.alias("x")).select("node", "x.doc_id", "x.text_hash", "x.bands"), "similar-nodes")
+    keys = nodes.select("node", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least")
+    proposed = stash(connected_components(keys.join(shared, "band").select(F.col("node").alias("a"), F.col("least").alias("b")), "similar-proposed"), "similar-groups")
+    blocks = proposed.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    texts = (
+        nodes.select("node", "doc_id", "text_hash").join(proposed, "node").join(blocks, "root")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
+    # exact repeats of a row give the same set twice, which is harmless
+    chosen = texts.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
+    rows = _keyed(docs)
+    held = rows.join(chosen, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "node", "block", "blocks", "text")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))))
     sent = (
-        tiles.withColumn("target", F.explode(F.sequence(F.col("cell"), F.col("cell") + radius)))
-        .join(F.broadcast(slots.withColumnRenamed("cell", "target")), "target")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        .where("cell != target or salt <= slot")
-        .select("target", "slot", ((F.col("cell") == F.col("target")) & (F.col("salt") == F.col("slot"))).alias("home"), "members")
-        .repartition("target", "slot").sortWithinPartitions("target", "slot", F.desc("home"))
+        held.mapInArrow(_with_sets, "root long, node long, block int, blocks int, shingles binary")
+        .withColumn("other", other)
+        .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
+        .repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
     )
-    with arrow_rows(spark, WIDE_BATCH):
-        edges = stash(sent.mapInArrow(_alike(radius, near, least), "a long, b long"), "similar-links")
-    roots = connected_components(edges, "similar-edges")
-    nodes = distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    with arrow_rows(spark, SET_BATCH):
+        edges = stash(sent.mapInArrow(_decide, "a long, b long"), "similar-links")
+    return own.select("doc_id", "text_hash", "node"), connected_components(edges, "similar-edges")
+
+
+def similar_documents(docs: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: components of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+    MinHash band keys only propose: texts that share a key, directly or over others,
+    form a group, and every pair of a group that is not joined over others already is
+    decided by its exact similarity. Texts without words are one component. Nulls and
+    repeats are as in ``near_duplicates``.
+    """
+    own, roots = _components(docs, tile)
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "fp").join(nodes.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return own.select("doc_id", "node").join(nodes.join(heads, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -168,3 +168,34 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in before.select("doc_id").collect())
     assert max(Counter(r.doc_id for r in rows).values()) <= 2
+
+
+def test_similar_documents_are_decided_by_their_similarity(spark):
+    rng = np.random.default_rng(4)
+    texts, want = [], []
+
+    def pair(one, two):
+        a, b = (set(zip(*(t[i:] for i in range(5)), strict=False)) for t in (one, two))
+        want.append(len(a & b) / len(a | b) >= 0.8)
+        texts.extend(" ".join(t) for t in (one, two))
+
+    for at in range(240):
+        word = [f"v{at}x{i}" for i in range(400)]
+        n = int(rng.integers(60, 300))
+        kind, share = at % 3, 0.75 + 0.1 * (at // 3) / 79
+        if kind == 0:  # words replaced in one run: n - r of n + r shingles stay, so about the share wanted
+            r = max(1, round(n * (1 - share) / (1 + share)) - 4)
+            pair(word[:n], [*word[:20], *word[300 : 300 + r], *word[20 + r : n]])
+        elif kind == 1:  # shortened
+            pair(word[: n + 4], word[: round(n * share) + 4])
+        else:  # passages repeated, which count once
+            pair(word[:n] * 3, word[: round(n * share)] * 2 + word[: n // 2])
+    # exactly at the limit and just under it
+    word = [f"l{i}" for i in range(200)]
+    pair(word[:104], word[:84])
+    pair(["m" + w for w in word[:104]], ["m" + w for w in word[:83]])
+    assert want[-2:] == [True, False] and 60 < sum(want) < 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [found[2 * i + 1] == found[2 * i] for i in range(len(want))] == want
+    assert len(set(found.values())) == len(texts) - sum(want)
