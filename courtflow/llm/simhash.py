@@ -385,10 +385,18 @@ def similar_documents(docs: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least among its similar documents; all columns are kept.
+    """One row of docs of each component of similar documents: that of the least doc_id, or one without an id if none has one.
 
-    Rows that share a doc_id are one document: one of them stays. Rows without a
-    doc_id are taken as one document too, which stays if nothing with an id is near it.
+    Ids name nothing here: unrelated texts stay whether they share an id or have none.
+    Ties of the id go by a hash of the text, and exact repeats of id and text by a hash
+    of the row, so reruns keep the same rows. All columns are kept.
     """
-    marks = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    own, roots = _components(docs, WIDE_TILE)
+    key = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    nodes = own.groupBy("node").agg(key.alias("x")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marks = nodes.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
+    own_id, own_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(marks, (own_hash == F.col("__hash")) & own_id.eqNullSafe(F.col("__id")), "left_semi")
+    row = [kept[c] for c in docs.columns]
+    one = F.min_by(F.struct(*row), F.xxhash64(*row)).alias("__row")
+    return kept.groupBy(kept["doc_id"].alias("__id"), F.xxhash64(kept["text"].cast("string")).alias("__hash")).agg(one).select("__row.*")

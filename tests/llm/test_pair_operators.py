@@ -199,3 +199,13 @@ def test_similar_documents_are_decided_by_their_similarity(spark):
     found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
     assert [found[2 * i + 1] == found[2 * i] for i in range(len(want))] == want
     assert len(set(found.values())) == len(texts) - sum(want)
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a"), "s1"), (None, text("b"), "s1"), (None, text("b") + " more", "s2"), (7, text("c"), "s1"), (7, text("d"), "s2"), (7, text("d"), "s3"), (8, text("a"), "s1"), (9, None, "s1"), (None, "", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    # (8, a) stands for the row without an id; one of b and its near copy, and one of the repeats of (7, d) stay
+    assert sorted((i or 0, (t or "")[:1]) for i, t, _ in kept) == [(0, "b"), (7, "c"), (7, "d"), (8, "a"), (9, "")]
+    assert sorted(kept, key=str) == sorted(map(tuple, simhash.one_of_each(docs.repartition(3)).collect()), key=str)
