@@ -139,8 +139,8 @@ class Model:
 
 
 def _signature(text: str) -> int:
-    """The least hash of the words: near copies mostly share it."""
-    return min((xxhash.xxh64_intdigest(w) >> 1 for w in set(text.split())), default=0)
+    """A hash of the whole text, without case and white space's kind: only copies share it."""
+    return xxhash.xxh64_intdigest(" ".join(text.lower().split())) >> 1
 
 
 def _mined(seen: DataFrame, n_toxic: int, n_clean: int, least: float) -> dict[str, float]:
@@ -166,12 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             terms = [sorted({c for w in set(t.split()) for c in cores(w)}) for t in texts]
-            columns = [batch.column("text"), batch.column("toxic"), pa.array(list(map(_signature, texts)), pa.int64()), pa.array(terms, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["text", "toxic", "signature", "terms"])
-
-    sample = rows.select("text", "toxic").mapInArrow(marked, "text string, toxic int, signature long, terms array<string>")
-    # one text of each group of copies, so that none of their words looks typical
-    sample = stash(sample.dropDuplicates(["signature", "toxic"]), "toxic-sample")
+            columns = [batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array(list(map(_signature, texts)), pa.int64()), pa.array(terms, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "toxic", "signature", "terms"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = rows.select("doc_id", "text", "toxic").mapInArrow(marked, f"doc_id {kind}, text string, toxic int, signature long, terms array<string>")
+    # one text of each group of copies, that of the least id, so that none of their words looks typical
+    first = F.min_by(F.struct("text", "terms"), F.struct("doc_id", F.xxhash64("text"))).alias("x")
+    sample = stash(sample.groupBy("signature", "toxic").agg(first).select("toxic", "x.text", "x.terms"), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -194,3 +195,16 @@ def test_correlated_voters_share_their_weight():
     start = np.where(votes[:, 5:].sum(axis=1) > 0, 0.8, 0.2)
     q = toxicity.label_model(votes, start)
     assert ((q > 0.5) == y).mean() >= 0.87
+
+
+def test_toxicity_is_learnt_from_all_texts_that_are_no_copies(spark):
+    # one frequent word has the least hash of all, and each toxic word is in a few texts only
+    least = min((f"w{i}" for i in range(20_000)), key=xxhash.xxh64_intdigest)
+    ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5]
+    letters = str.maketrans("0123456789", "klmnopqrst")
+    rows = [(i, f"{least} common{i % 50} plain{str(i).translate(letters)} {f'nasty{chr(97 + i // 8 % 10)}' if i % 8 == 0 else 'fine'}", int(i % 8 == 0)) for i in ids]
+    rows += [(k * 1000 + i, t.upper() + " ", toxic) for k in range(1, 9) for i, t, toxic in rows[:20]]  # copies
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.where(~held_out()), table.where(~held_out()).select("doc_id", "toxic"))
+    assert {f"nasty{chr(97 + i)}" for i in range(10)} <= set(model.words)
+    assert not any(w.startswith("plain") for w in model.words)
