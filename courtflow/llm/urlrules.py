@@ -27,8 +27,8 @@ GIVEN = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Labelled URLs that rules are mined from, about (chosen by a hash), rules kept, and tokens of a rule.
-FIT_URLS, MOST_RULES, LONGEST_RULE = 100_000, 20_000, 4
+#: Rules kept, and tokens of a rule.
+MOST_RULES, LONGEST_RULE = 20_000, 4
 LEAST_SUPPORT, LEAST_CONFIDENCE = 0.002, 0.8
 #: URLs that a rule must have been seen in, so that chance makes none of a small table.
 LEAST_COUNT = 20
@@ -74,7 +74,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
-    """Rules (tokens, label, confidence, support) from labelled(tokens array<string>, label).
+    """Rules (tokens, label, confidence, support) from all rows of labelled(tokens array<string>, label).
 
     At most ``MOST_RULES``, of at most ``LONGEST_RULE`` tokens, most certain first, then
     most frequent, then shortest. A rule that contains a shorter one with the same label
@@ -83,10 +83,8 @@ def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float
     n = labelled.count()
     if not n:
         return []
-    share = min(1.0, FIT_URLS / n)
-    some = labelled.where(F.pmod(F.xxhash64("tokens", "label"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
-    items = some.select(F.array_union("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    support = max(support, LEAST_COUNT / (n * share))
+    items = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    support = max(support, LEAST_COUNT / n)
     if support > 1:
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)

@@ -209,3 +209,12 @@ def test_rows_without_an_id_of_their_own_stay(spark):
     # (8, a) stands for the row without an id; one of b and its near copy, and one of the repeats of (7, d) stay
     assert sorted((i or 0, (t or "")[:1]) for i, t, _ in kept) == [(0, "b"), (7, "c"), (7, "d"), (8, "a"), (9, "")]
     assert sorted(kept, key=str) == sorted(map(tuple, simhash.one_of_each(docs.repartition(3)).collect()), key=str)
+
+
+def test_rules_count_every_labelled_row(spark):
+    # 30 hosts of which every second page is blocked, and one that always is; more rows than were once mined
+    host = F.col("id") % 31
+    label = F.when((host == 30) | (F.col("id") % 2 == 0), "block").otherwise("allow")
+    table = spark.range(155_000).select(F.array(F.concat(F.lit("h:site"), host.cast("string")), F.lit("p:0")).alias("tokens"), label.alias("label"))
+    (rule,) = urlrules.mine(table)
+    assert rule[:2] == (frozenset(["h:site30"]), "block") and rule[2] == 1.0 and abs(rule[3] - 5000 / 155_000) < 1e-9
