@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.llm.shared import stash
+from courtflow.llm.shared import stash, unstash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or (state["n"], state["h"]) == mark:
             break
-        mark = (state["n"], state["h"])
+        mark, before = (state["n"], state["h"]), now
         now = stash(_star(_star(now, True), False), label)
+        unstash(before)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
