@@ -1,35 +1,37 @@
 """Language identification of whole texts, with spans of mixed-language text.
 
-The script of a word's letters (Unicode ranges) narrows the languages to those
-that were seen in that script. Character n-grams score each word under each remaining
-language. Viterbi over the words, with a penalty for switching, labels spans; the
-language with most letters is the document's.
+Words fall into pieces of one script; a long run of letters, as in scripts without
+spaces, into pieces of bounded length, so that every letter is scored. A piece's script
+(Unicode ranges) narrows the languages to those that were seen in it. Character n-grams
+score each piece under each remaining language. Viterbi over the pieces, with a penalty
+for switching, labels spans; the language with most letters is the document's.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import accumulate, chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.shared import held_out
+from courtflow.llm.shared import held_out, slices
 
 NONE = "und"
 #: Labelled documents that the model is fitted on, for each language, about (chosen by hash), and n-grams kept for each.
 FIT_DOCS, FIT_GRAMS, ALL_GRAMS = 1500, 60_000, 400_000
-#: Languages that can be learnt: those with most documents.
-MOST_LANGUAGES = 200
 PENALTY = 12.0
-#: Letters of a word that are scored, from its start and its end; words longer than their sum are scored on both.
-WORD_START = WORD_END = 24
-KNOWN = 400_000
-SLICE = 512
+#: Letters of a piece, at most.
+PIECE = 24
+#: Words and pieces that a worker remembers, and their characters.
+KNOWN, KNOWN_CHARS = 400_000, 8_000_000
+#: Texts that are labelled together, and scores (pieces by languages) that they take, about; one text may take more.
+SLICE, CELLS = 512, 4_000_000
 
 # The first code point of each run of letters and its script.
 SCRIPTS = [
@@ -44,6 +46,7 @@ SCRIPTS = [
     (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
 _STARTS = [s for s, _ in SCRIPTS]
+LATIN_END = chr(_STARTS[1])
 
 
 def script_of(letter: str) -> str:
@@ -56,12 +59,31 @@ def letters_of(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def grams(letters: str) -> list[str]:
-    """Marked character 3-grams and the word itself; of a very long word those of its start and end."""
-    if len(letters) > WORD_START + WORD_END:
-        return grams(letters[:WORD_START]) + grams(letters[-WORD_END:])
-    w = f"^{letters}$"
-    return [w, *map("".join, zip(w, w[1:], w[2:], strict=False))]
+def pieces_of(word: str) -> list[str]:
+    """The word's letters in pieces, cut where the script changes and after every ``PIECE`` letters.
+
+    ^ and $ mark where a run of letters of one script begins and ends; a cut within one isn't marked.
+    """
+    letters = letters_of(word)
+    if not letters:
+        return []
+    if len(letters) <= PIECE and max(letters) < LATIN_END:
+        return [f"^{letters}$"]
+    found = []
+    for _, run in groupby(letters, script_of):
+        run = "".join(run)
+        found += [f"{'' if at else '^'}{run[at : at + PIECE]}{'' if at + PIECE < len(run) else '$'}" for at in range(0, len(run), PIECE)]
+    return found
+
+
+def script_of_piece(piece: str) -> str:
+    return script_of(piece[1] if piece[0] == "^" else piece[0])
+
+
+def grams(piece: str) -> list[str]:
+    """Character 3-grams of a marked piece and, if that is a whole run, the piece itself."""
+    three = list(map("".join, zip(piece, piece[1:], piece[2:], strict=False)))
+    return [piece, *three] if piece[0] == "^" and piece[-1] == "$" or not three else three
 
 
 class Model:
@@ -80,19 +102,19 @@ class Model:
         for name in {s for own in scripts for s in own}:
             self.open[name] = np.array([0.0 if name in own else -50.0 for own in scripts], dtype=np.float32)
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Scores of words (letters only) under each language; 0 is the best n-gram score among all languages."""
-        if not words:
+    def score(self, pieces: list[str]) -> np.ndarray:
+        """Scores of pieces under each language; 0 is the best n-gram score among all languages."""
+        if not pieces:
             return np.zeros((0, len(self.languages)), dtype=np.float32)
         at, flat, n = self.at.get, [], []
-        for word in words:
-            own = grams(word)
+        for piece in pieces:
+            own = grams(piece)
             n.append(len(own))
             flat += map(at, own, repeat(-1))  # the last row holds zeros
         total = np.add.reduceat(self.table[flat], np.cumsum([0, *n[:-1]]), axis=0)
         total -= total.max(axis=1, keepdims=True)
         # the n-grams of a word repeat each other
-        return total / 2 + np.array([self.open.get("latin" if w[0] < "\u0370" else script_of(w[0]), self.silent) for w in words])
+        return total / 2 + np.array([self.open.get(script_of_piece(p), self.silent) for p in pieces])
 
 
 def one_language(scores: np.ndarray, ends: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,28 +187,50 @@ class Identifier:
         self.clear()
 
     def clear(self) -> None:
-        """Empties the tables: words as they stand, and their letters, which many words share."""
+        """Empties the tables: words as they stand, the pieces of those with several, and the scores of pieces, which many words share."""
         self.known: dict[str, int] = {}
-        self.cores: dict[str, int] = {"": 0}
+        self.several: list[np.ndarray] = []
+        self.pieces: dict[str, int] = {"": 0}
+        self.chars = 0
         self.scores, self.letters = np.zeros((1, len(self.model.languages)), dtype=np.float32), np.zeros(1, dtype=np.int64)
 
     def learn(self, words: list[str]) -> None:
-        cores = list(map(letters_of, words))
-        new = sorted(set(cores).difference(self.cores))
-        self.cores.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+        """Words of one piece are known by its number, others by minus one minus their place among those of several."""
+        cut = list(map(pieces_of, words))
+        new = sorted(set(chain.from_iterable(cut)).difference(self.pieces))
+        self.pieces.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, self.model.score(new).astype(np.float32)])
-        self.letters = np.concatenate([self.letters, np.array(list(map(len, new)), dtype=np.int64)])
-        self.known.update(zip(words, map(self.cores.__getitem__, cores), strict=True))
+        self.letters = np.concatenate([self.letters, np.array([len(p.strip("^$")) for p in new], dtype=np.int64)])
+        for word, own in zip(words, cut, strict=True):
+            if len(own) > 1:
+                self.several.append(np.array([self.pieces[p] for p in own]))
+            self.known[word] = -len(self.several) if len(own) > 1 else self.pieces[own[0] if own else ""]
+            self.chars += len(word)
+
+    def _spread(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the pieces of words of several in their place; ids of all texts' words, n words a text."""
+        places = np.nonzero(ids < 0)[0]
+        own = [self.several[-1 - i] for i in ids[places].tolist()]
+        size = np.ones(len(ids), dtype=np.int64)
+        size[places] = list(map(len, own))
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = np.repeat(ids, size)
+        for at, pieces in zip(upto[places].tolist(), own, strict=True):
+            ids[at : at + len(pieces)] = pieces
+        ends = np.cumsum(n)
+        return ids, upto[ends] - upto[ends - n]
 
     def labelled(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text its words' labels and letters; words are what white space separates."""
-        if len(self.known) > KNOWN:
+        """For each text its pieces' labels and letters; a word without letters counts as one piece. White space separates words."""
+        if max(len(self.known), len(self.pieces)) > KNOWN or self.chars > KNOWN_CHARS:
             self.clear()
         split = [t.split() for t in texts]
         self.learn(list(set().union(*split).difference(self.known)))
         known = self.known.__getitem__
         ids = np.fromiter(map(known, chain.from_iterable(split)), dtype=np.int64)
         n = np.array(list(map(len, split)), dtype=np.int64)
+        if len(ids) and ids.min() < 0:
+            ids, n = self._spread(ids, n)
         ends, scores, letters = np.cumsum(n), self.scores[ids], self.letters[ids]
         label, single = one_language(scores, ends, PENALTY)
         labels = np.repeat(label, n).astype(np.int16)
@@ -208,25 +252,35 @@ class Identifier:
         return found
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(first word, word after the last, language) of each span; words without letters belong to their neighbours."""
+        """(first character, character after the last, language) of each span; they cover the whole text, if it has letters."""
         if not self.model.languages:
             return []
         (labels, letters), = self.labelled([text])
         if not letters.sum():
             return []
-        cuts = [0, *(1 + np.nonzero(labels[1:] != labels[:-1])[0]).tolist(), len(labels)]
-        return [(a, b, self.model.languages[labels[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        starts = []
+        for word in re.finditer(r"\S+", text):
+            # the place of each letter, and of these the first ones of pieces
+            at = [i for i, c in enumerate(word[0], word.start()) for _ in letters_of(c)]
+            sizes = [len(p.strip("^$")) for p in pieces_of(word[0])] or [0]
+            starts += [at[i] if at else word.start() for i in accumulate([0, *sizes[:-1]])]
+        cuts = [0, *(1 + np.nonzero(labels[1:] != labels[:-1])[0]).tolist()]
+        ends = [*(starts[c] for c in cuts[1:]), len(text)]
+        return [(a, b, self.model.languages[labels[c]]) for a, b, c in zip([0, *ends], ends, cuts, strict=False)]
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """Stretches of a column that are labelled together: a piece takes two bytes at least."""
+        return slices(texts, SLICE, 2 * CELLS // max(1, len(self.model.languages)))
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:
     """Learns from the rows of docs(doc_id, text, lang) where ``learn`` holds and lang is not null.
 
     About ``FIT_DOCS`` texts of each language, chosen by a hash of the id, give the n-gram
-    counts; languages beyond the ``MOST_LANGUAGES`` most frequent ones are not learnt. No
-    rows give a model without languages.
+    counts. No rows give a model without languages.
     """
     rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], [], [])
@@ -238,11 +292,12 @@ def fit(docs: DataFrame, learn: Column) -> Model:
         for batch in batches:
             words: Counter[tuple[str, str]] = Counter()
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words.update((lang, w) for w in map(letters_of, (text or "").split()) if w)
+                words.update((lang, w) for w in (text or "").split())
             for (lang, w), n in words.items():
-                counts[lang, "script", script_of(w[0])] += n
-                for g in grams(w):
-                    counts[lang, "gram", g] += n
+                for piece in pieces_of(w):
+                    counts[lang, "script", script_of_piece(piece)] += n
+                    for g in grams(piece):
+                        counts[lang, "gram", g] += n
         keys = list(counts)
         columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["lang", "kind", "gram", "n"])
@@ -268,8 +323,8 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = Identifier(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
+            for at, stop in identify.slices(batch.column("text")):
+                part = batch.slice(at, stop - at)
                 found = identify.predict([t or "" for t in part.column("text").to_pylist()])
                 columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "lang_pred", "score"])
@@ -289,8 +344,30 @@ def identified(docs: DataFrame) -> DataFrame:
     return predictions(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def language_spans(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, start, stop, lang) for each span of every row of docs(doc_id, text): characters from start to before stop.
+
+    Null texts and texts without letters have no spans.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identify = Identifier(shared.value)
+        for batch in batches:
+            found = [(d, *s) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for s in identify.spans(t or "")]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "stop", "lang"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, stop long, lang string")
+
+
 def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is known and makes up at least ``least`` of their letters; all columns are kept."""
+    """The rows of docs whose language is known and makes up at least ``least`` of their letters.
+
+    All columns are kept, whatever their names. Null texts and texts without letters go;
+    repeated rows stay or go together; an empty table, or one without labels to learn
+    from, gives no rows.
+    """
     model = fit(docs, ~held_out())
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"in{i}" for i in range(len(docs.columns))]
@@ -299,9 +376,10 @@ def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = Identifier(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                found = identify.predict([t or "" for t in part.column(text).cast(pa.string()).to_pylist()])
+            texts = batch.column(text).cast(pa.string())
+            for at, stop in identify.slices(texts):
+                part = batch.slice(at, stop - at)
+                found = identify.predict([t or "" for t in texts.slice(at, stop - at).to_pylist()])
                 yield part.filter(pa.array([lang != NONE and score >= least for lang, score in found]))
 
     renamed = docs.toDF(*names)
