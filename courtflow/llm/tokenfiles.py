@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from courtflow.llm.shared import shared_folder, stash
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 SLICE = 128
+SCHEMA = "doc_id long, n_tokens long, part int, start_in_part long, tokens array<int>"
 
 _encoders: dict[str, KnownIds] = {}
 
@@ -34,15 +36,18 @@ def _encoder(path: str) -> KnownIds:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Writes docs(doc_id, text, ...) as files of (doc_id, n_tokens, start_in_file, tokens).
+    """Writes docs(doc_id, text, ...) as files of (doc_id, n_tokens, part, start_in_part, tokens).
 
     tokens are the ids of the whole text with ``end_id`` appended (null text: only
     that). Rows of one doc_id are ordered by a hash of their text; null ids come first.
+    ``part`` numbers the stretches of that order that tasks wrote, in as many files as
+    the session's settings make of each, and start_in_part counts the ids before the
+    document in its stretch.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = _encoder(tokenizer), 0
+        encode, start, own = _encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.slice(at, SLICE)
@@ -52,12 +57,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
                 start = int(starts[-1])
                 flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
                 tokens = pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(starts[:-1]), tokens], ["doc_id", "n_tokens", "start_in_file", "tokens"])
+                columns = [part.column("doc_id"), pa.array(n), pa.array(np.full(len(n), own, dtype=np.int32)), pa.array(starts[:-1]), tokens]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "part", "start_in_part", "tokens"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
     (
         keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-        .mapInArrow(run, "doc_id long, n_tokens long, start_in_file long, tokens array<int>")
+        .mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true")
         .option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
         .parquet(path)
@@ -68,15 +74,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, tokens) of a folder that ``write_tokens`` wrote.
 
     start is the number of ids before the document in the whole folder. It comes from
-    one total a file, which are summed in the order of the file names (a row for each
-    file, not for each document).
+    one total a part; the window that sums them and the broadcast sums have a row for
+    each writing task, at most ``spark.sql.shuffle.partitions``.
     """
-    schema = "doc_id long, n_tokens long, start_in_file long, tokens array<int>"
-    files = spark.read.schema(schema).parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    totals = files.groupBy("file").agg(F.max(F.col("start_in_file") + F.col("n_tokens")).alias("total"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stash(totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "token-files")
-    return files.join(bases, "file").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "tokens")
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    totals = rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stash(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "token-parts")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "tokens")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:
