@@ -3,10 +3,9 @@
 Two bytes that no vocabulary token holds side by side can never be merged, so a cut
 between them is certain: the fragments are encoded on their own and their ids
 concatenated. White space is such a byte for a vocabulary that drops it, so texts
-fall into words, each encoded once in a worker's life. Long words (hashes, links,
-scripts without spaces) are cut further by the same table, within what the
-pre-tokenizer leaves whole; only the last fragment keeps the ending mark that the
-vocabulary puts on the end of a word.
+fall into words, each encoded once in a worker's life. What the pre-tokenizer leaves
+whole of a word is cut further by the same table; only the last fragment keeps the
+ending mark that the vocabulary puts on the end of a word.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from courtflow.llm.pieces import Known, byte_alphabet, load
 
 SLICE = 128
-#: Words of more characters are cut within.
-LONG = 24
+#: Fragments whose ids a worker remembers, and their characters, at most.
+FRAGMENTS, LONGEST = 200_000, 32
 #: The ASCII separators that Python takes as white space but Unicode doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("(?:[\x1c-\x1f]|\\S)+")
@@ -54,7 +54,10 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = BPE(vocab=model["vocab"], merges=merges)
         self.last = BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=ending) if ending else self.inner
-        self.joined, self.of = joined_pairs(model["vocab"], ending), byte_alphabet()
+        self.joined, of = joined_pairs(model["vocab"], ending), byte_alphabet()
+        self.pairs = {a + b for a, i in of.items() for b, j in of.items() if self.joined[i, j]}
+        self.known: dict[tuple[str, bool], list[int]] = {}
+        self.normalize, self.pre_tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         white = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]
         if self.joined[white].any() or self.joined[:, white].any():
             raise ValueError("this vocabulary merges white space; words are no certain fragments of its texts")
@@ -66,26 +69,36 @@ class Codec:
 
     def fragments(self, unit: str) -> list[str]:
         """A pre-tokenized unit (in the byte alphabet) cut between bytes that no token joins."""
-        body = [self.of[c] for c in unit]
-        cuts = [0, *(np.nonzero(~self.joined[body[:-1], body[1:]])[0] + 1).tolist(), len(unit)]
-        return [unit[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in pairs]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
+
+    def fragment_ids(self, fragment: str, last: bool) -> list[int]:
+        """Ids of a fragment; only the last one of a unit ends a word."""
+        key = fragment, last
+        ids = self.known.get(key)
+        if ids is None:
+            ids = [t.id for t in (self.last if last else self.inner).tokenize(fragment)]
+            if len(fragment) <= LONGEST:
+                if len(self.known) >= FRAGMENTS:
+                    self.known.clear()
+                self.known[key] = ids
+        return ids
 
     def ids(self, word: str) -> list[int]:
         if any(t in word for t in self.added):  # the library finds these before anything else
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         found: list[int] = []
-        for unit, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word)):
-            parts = self.fragments(unit)
-            for part in parts[:-1]:
-                found += [t.id for t in self.inner.tokenize(part)]
-            found += [t.id for t in self.last.tokenize(parts[-1])]
+        for unit, _ in self.pre_tokenize(self.normalize(word)):
+            *inner, last = self.fragments(unit)
+            for part in inner:
+                found += self.fragment_ids(part, False)
+            found += self.fragment_ids(last, True)
         return found
 
     def encode_words(self, words: list[str]) -> list[tuple[int, str, str]]:
         """For each word: the number of ids, the ids in decimal, and their decoded text."""
-        short = [w for w in words if len(w) <= LONG]
-        of = dict(zip(short, (e.ids for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)), strict=True))
-        every = [of[w] if len(w) <= LONG else self.ids(w) for w in words]
+        every = list(map(self.ids, words))
         texts = self.tokenizer.decode_batch(every, skip_special_tokens=False)
         return [(len(ids), " ".join(map(str, ids)), text) for ids, text in zip(every, texts, strict=True)]
 

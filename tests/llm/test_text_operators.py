@@ -61,6 +61,20 @@ def test_token_files_round_trip(spark):
         assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+def test_starts_hold_whatever_files_a_task_writes(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "repeat('a word ', int(id % 7)) as text")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 50)
+    try:
+        rows = sorted(tokenfiles.token_digest(docs, BYTE, 2).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    assert len(rows) == 500
+
+
 def test_token_files_read_selectively(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     tokenfiles.write_tokens(docs, str(tmp_path / "t"), BYTE, 2)
@@ -147,12 +161,56 @@ def test_languages(spark):
     assert langid.kept_rows(awkward_docs(spark)).columns == awkward_docs(spark).columns
 
 
-def test_spans_of_mixed_text(spark):
+@pytest.fixture(scope="module")
+def identify(spark):
+    return langid.Identifier(langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ~held_out()))
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    identify = langid.Identifier(langid.fit(docs, ~held_out()))
-    part = {lang: " ".join(docs.where(f"lang = '{lang}' and n_chars > 1500").orderBy("doc_id").first().text.split()[:80]) for lang in ("de", "en")}
-    spans = identify.spans(part["de"] + " " + part["en"])
-    assert [s[2] for s in spans] == ["de", "en"] and abs(spans[0][1] - 80) <= 3
+    return {lang: " ".join(docs.where(f"lang = '{lang}' and n_chars > 1500").orderBy("doc_id").first().text.split()[:80]) for lang in ("de", "en")}
+
+
+def test_spans_of_mixed_text(spark, identify, parts):
+    text = parts["de"] + " " + parts["en"]
+    spans = identify.spans(text)
+    assert [s[2] for s in spans] == ["de", "en"] and spans[0][0] == 0 and spans[0][1] == spans[1][0] and spans[1][1] == len(text)
+    assert abs(spans[0][1] - len(parts["de"])) <= 25
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "12 34"), (None, parts["en"])], "doc_id long, text string")
+    rows = langid.language_spans(docs, identify.model).collect()
+    assert [(r.start, r.stop, r.lang) for r in rows if r.doc_id == 1] == spans and [r.lang for r in rows if r.doc_id is None] == ["en"] and len(rows) == 3
+
+
+def test_every_letter_of_long_words_is_scored(identify, parts):
+    letters = {lang: langid.letters_of(text * 10) for lang, text in parts.items()}
+    word = letters["en"][:24] + letters["de"][:2000] + letters["en"][:24]
+    assert len(word) == 2048
+    ((lang, score),) = identify.predict([word])
+    assert lang == "de" and 0.9 < score <= 1
+    # unspaced halves are told apart, with and without words of several pieces beside them
+    word = letters["en"][:600] + letters["de"][:600]
+    for text in (word, f"{parts['en']} {word}"):
+        (first, second) = identify.spans(text)
+        assert (first[2], second[2]) == ("en", "de") and abs(second[0] - (len(text) - 600)) <= 48
+    assert identify.predict([f"{parts['de']} {word} {parts['de']}", "", "x"])[0][0] == "de"
+
+
+def test_pieces_hold_all_letters_and_one_script():
+    for word in ("", "---", "Don't", "x" * 100, "Straße", "日本語テキストwithLatin文字" * 9, "ΑΒΓабв", "İstanbul", "é" * 49, "a1b2"):
+        pieces = langid.pieces_of(word)
+        assert "".join(pieces).replace("^", "").replace("$", "") == langid.letters_of(word)
+        assert all(len({langid.script_of(c) for c in p.strip("^$")}) == 1 and len(p.strip("^$")) <= langid.PIECE for p in pieces)
+        assert sum(p[0] == "^" for p in pieces) == sum(p[-1] == "$" for p in pieces)
+
+
+def test_scripts_without_spaces_are_labelled_in_spans(spark):
+    kana, han, latin = "これはテキストです" * 30, "这是一个关于城市的故事" * 30, "this is the story of a city " * 12
+    rows = [(i, t[i % 5 :], lang) for i in range(60) for t, lang in ((kana + "日本語" * 9, "ja"), (han, "zh"), (latin, "en"))]
+    identify = langid.Identifier(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)))
+    text = kana + latin.replace(" ", "") + han
+    assert [s[2] for s in identify.spans(text)] == ["ja", "en", "zh"]
+    assert [identify.predict([t])[0][0] for t in (kana, han, latin, "Tokyo " + kana)] == ["ja", "zh", "en", "ja"]
 
 
 def test_viterbi_is_the_best_path():
