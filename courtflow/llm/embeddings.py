@@ -2,11 +2,12 @@
 
 Unit vectors are laid on a grid of cells as wide as the join distance, along their
 leading principal dimensions, and sorted by cell. Stretches of that order are blocks
-with bounding boxes; only pairs of blocks whose boxes come within the distance meet,
-in one task for each home block, where the two stretches are halved recursively and
-halves that are provably too far apart are skipped. Equal vectors are collapsed
-before, so copies cost nothing, and a block pair reports how many links each vector
-has and a spanning forest of them, never the pairs themselves.
+with bounding boxes; only pairs of blocks whose boxes come within the distance meet.
+A home block meets its neighbours a few at a time, each such deal in a task of its
+own, where the two stretches are halved recursively and halves that are provably too
+far apart are skipped. Equal vectors are collapsed before, so copies cost nothing, and
+a block pair reports how many links each vector has and a spanning forest of them,
+never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtflow.llm.components import connected_components
-from courtflow.llm.shared import arrow_rows, stash
+from courtflow.llm.shared import arrow_rows, lookup, stash, unstash
 
 THRESHOLD = 0.9
 #: Principal dimensions that order the vectors, and vectors that they are fitted on (the join is exact whatever they are).
@@ -28,6 +29,8 @@ LEADING, FIT_VECTORS, FIT_NUMBERS = 6, 10_000, 4_000_000
 BATCH_NUMBERS = 1_000_000
 #: Vectors in a block, and in a stretch that is no longer halved.
 BLOCK, LEAF = 4096, 512
+#: Neighbours that a home block meets in one deal.
+DEAL = 8
 
 
 def _usable(e: Column) -> Column:
@@ -176,67 +179,82 @@ def _grow(forest: dict[int, int], left: np.ndarray, right: np.ndarray) -> None:
 
 
 def _joined(axes: dict[int, np.ndarray], threshold: float, width: float):
-    """Rows sorted by home, home rows first, then part by part: per node its links with others, and edges."""
-
-    def out(stretch: _Stretch | None, forest: dict[int, int]) -> Iterator[pa.RecordBatch]:
-        edges = [(x, _find(forest, x)) for x in list(forest)]
-        edges = [e for e in edges if e[0] != e[1]]
-        nodes = [e[0] for e in edges]
-        links = [0] * len(edges)
-        roots = [e[1] for e in edges]
-        if stretch is not None and (some := np.nonzero(stretch.links)[0]).size:
-            nodes += stretch.nodes[some].tolist()
-            roots += stretch.nodes[some].tolist()
-            links += stretch.links[some].tolist()
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, roots, links)], ["a", "b", "links"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home: _Stretch | None = None
-        home_id, key, kept = None, None, []
-
-        def stretch() -> _Stretch:
-            table = pa.Table.from_batches(kept).combine_chunks()
-            e = table["e"].chunk(0)
-            dim = int(_dims(e)[0])
-            x = _matrix(e, dim)
-            order = np.lexsort(np.floor(x @ _axes_for(axes, dim) / width).T[::-1])
-            x = x[order]
-            return _Stretch(table["node"].to_numpy()[order], table["n"].to_numpy()[order], x, x @ _axes_for(axes, dim))
-
-        def close() -> Iterator[pa.RecordBatch]:
-            """What has been gathered is a whole block."""
-            nonlocal home, home_id
-            if not kept:
-                return
-            own, forest = stretch(), {}
-            if key[1] == key[0]:  # home rows come first
-                if home is not None:
-                    yield from out(home, {})
-                home, home_id = own, key[0]
-                _join(own, 0, len(own.nodes), own, 0, len(own.nodes), threshold, width, forest)
-                yield from out(None, forest)
-            elif home_id == key[0]:
-                _join(own, 0, len(own.nodes), home, 0, len(home.nodes), threshold, width, forest)
-                yield from out(own, forest)
-
+    """Rows sorted by home and deal, home rows first, then part by part: per node its links with others, and edges."""
+
+    def stretch(kept: list[pa.RecordBatch]) -> _Stretch:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        e = table["e"].chunk(0)
+        dim = int(_dims(e)[0])
+        x = _matrix(e, dim)
+        order = np.lexsort(np.floor(x @ _axes_for(axes, dim) / width).T[::-1])
+        x = x[order]
+        return _Stretch(table["node"].to_numpy()[order], table["n"].to_numpy()[order], x, x @ _axes_for(axes, dim))
+
+    def edges(forest: dict[int, int]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        found = [(x, top) for x in list(forest) if (top := _find(forest, x)) != x]
+        yield [x for x, _ in found], [top for _, top in found], [0] * len(found)
+
+    def links(own: _Stretch) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        some = np.nonzero(own.links)[0]
+        yield own.nodes[some].tolist(), own.nodes[some].tolist(), own.links[some].tolist()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], _Stretch]]:
+        """Each block that was sent with its (home, deal, part)."""
+        key, kept = None, []
         for batch in batches:
-            homes, parts = batch.column("home").to_numpy(), batch.column("part").to_numpy()
-            cuts = [0, *(1 + np.nonzero((homes[1:] != homes[:-1]) | (parts[1:] != parts[:-1]))[0]).tolist(), len(batch)]
+            keys = np.stack([batch.column(c).to_numpy() for c in ("home", "deal", "part")], axis=1)
+            cuts = [0, *(1 + np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0]).tolist(), len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if key != (now := (int(homes[a]), int(parts[a]))):
-                    yield from close()
+                if key != (now := tuple(keys[a].tolist())):
+                    if kept:
+                        yield key, stretch(kept)
                     key, kept = now, []
                 kept.append(batch.slice(a, b - a))
-        yield from close()
+        if kept:
+            yield key, stretch(kept)
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        home: _Stretch | None = None
+        for (home_id, deal, part), own in blocks(batches):
+            forest: dict[int, int] = {}
+            if part == home_id:  # home rows come first; the first deal joins them with each other
+                if home is not None:
+                    yield from links(home)
+                home = own
+                if deal == 0:
+                    _join(own, 0, len(own.nodes), own, 0, len(own.nodes), threshold, width, forest)
+            else:
+                _join(own, 0, len(own.nodes), home, 0, len(home.nodes), threshold, width, forest)
+                yield from links(own)
+            yield from edges(forest)
         if home is not None:
-            yield from out(home, {})
+            yield from links(home)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in results(batches):
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
 
     return run
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Adds block to stashed rows(place, dim, ...): stretches of ``BLOCK`` places in the whole order, each of one vector length.
+
+    The places before each writing task come from one count a task, at most
+    ``spark.sql.shuffle.partitions`` rows.
+    """
+    task = F.shiftright("place", 33)
+    counts = rows.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = stash(counts.select("task", before.alias("base")), "ego-tasks")
+    at = F.col("base") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = rows.withColumn("task", task).join(F.broadcast(bases), "task")
+    return numbered.withColumn("block", F.shiftleft(F.floor(at / BLOCK), 31).bitwiseOR(F.col("dim").cast("long"))).drop("task", "base", "place")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, ...).
 
@@ -245,39 +263,55 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     the least vec_id reachable; kept says whether that is the row's own. Vectors that
     are null, empty, zero or hold null or non-finite components, and rows without a
     vec_id, link with nothing; vectors of different lengths don't link. Repeated rows
-    are vectors of their own. Other columns are ignored; an empty table gives none.
+    are vectors of their own, also where unlike vectors share a vec_id: each has its own
+    links, and what both reach has that id as its component's. Other columns are
+    ignored; an empty table gives none.
     """
     spark, width = vectors.sparkSession, float(np.sqrt(2 - 2 * threshold)) + 1e-6
     base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
     usable = _usable(F.col("e")) & F.col("vec_id").isNotNull()
-    same = [F.when(usable, F.xxhash64("e")).alias("h1"), F.when(usable, F.xxhash64(F.lit(1), F.col("e"))).alias("h2")]
-    # equal vectors are one node; the two hashes only spare the long key in the join back
-    nodes = stash(base.where(usable).groupBy("e").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "ego-nodes").select("node", "n", "e")
+    # equal vectors are one node, numbered by its place in the written table
+    distinct = base.where(usable).groupBy("e").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    nodes = stash(distinct.withColumn("node", F.monotonically_increasing_id()).select("node", "least", "n", "e"), "ego-nodes")
     axes = principal_axes(nodes)
     longest = nodes.agg(F.max(F.size("e"))).first()[0] or 1
     batch = max(64, min(10_000, BATCH_NUMBERS // longest))
     keys = [F.get("cells", F.lit(i)) for i in range(LEADING)]
-    ordered = _gridded(nodes, axes, width).withColumn("tie", F.xxhash64("e"))
+    ordered = _gridded(nodes.select("node", "n", "e"), axes, width).withColumn("tie", F.xxhash64("e"))
     ordered = ordered.repartitionByRange("dim", *keys, "tie").sortWithinPartitions("dim", *keys, "tie")
-    place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in it below
     with arrow_rows(spark, batch):
-        rows = stash(ordered.withColumn("block", F.shiftleft(F.shiftright(place, 33), 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK) * 1024 + F.pmod("dim", F.lit(1021))), "ego-rows")
+        # the partition in the upper bits, the place in it below
+        placed = stash(ordered.withColumn("place", F.monotonically_increasing_id()).select("node", "n", "e", "dim", "at", "place"), "ego-rows")
+    rows = _in_blocks(placed)
     corner = lambda f: F.array(*[f(F.get("at", F.lit(i))) for i in range(LEADING)])
     blocks = stash(rows.groupBy("block", "dim").agg(corner(F.min).alias("low"), corner(F.max).alias("high")), "ego-blocks")
-    pairs = _block_pairs(blocks, width)
-    sent = rows.select(F.col("block").alias("part"), "node", "n", "e").join(pairs, "part")
-    met = sent.select("home", "part", "node", "n", "e").repartition("home").sortWithinPartitions("home", F.desc("part"))
+    # one row for each pair of near blocks; a block and itself are the first pair of its first deal
+    turn = F.row_number().over(Window.partitionBy("home").orderBy(F.col("part") != F.col("home"), "part"))
+    pairs = stash(_block_pairs(blocks, width).withColumn("deal", F.floor((turn - 1) / DEAL).cast("int")), "ego-pairs")
+    sends = pairs.where("part != home").select("home", "deal", "part").unionByName(pairs.select("home", "deal", F.col("home").alias("part")).distinct())
+    sent = rows.select(F.col("block").alias("part"), "node", "n", "e").join(sends, "part").select("home", "deal", "part", "node", "n", "e")
+    met = sent.repartition("home", "deal").sortWithinPartitions("home", "deal", F.col("part") != F.col("home"), "part")
     with arrow_rows(spark, batch):
         found = stash(met.mapInArrow(_joined(axes, threshold, width), "a long, b long, links long"), "ego-links")
+    unstash(placed, blocks, pairs)
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("a != b"), "ego-edges")
-    known = (
-        nodes.select("node", "n", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(1), F.col("e")).alias("h2"))
+    linked = stash(
+        nodes.select("node", "least", F.col("n").alias("copies"), *_hashes(F.col("e")))
         .join(links, "node", "left").join(roots, "node", "left")
-        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    )
-    return (
-        base.select("vec_id", *same).join(known, ["h1", "h2"], "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+        .select("h1", "h2", "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")),
+        "ego-linked",
     )
+    unstash(found)
+    heads = stash(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ego-heads")
+    known = stash(lookup(linked, heads, ["root"]).select("h1", "h2", "n_links", "component_id", F.col("copies").alias("n")), "ego-known")
+    # the two hashes only spare the long key in the join back
+    own = stash(base.select("vec_id", *[F.when(usable, h).alias(h_name) for h, h_name in zip(_hashes(F.col("e")), ("h1", "h2"), strict=True)]), "ego-own")
+    single = own.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    joined = lookup(own.where("h1 is not null"), known, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    return joined.unionAll(single).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _hashes(e: Column) -> list[Column]:
+    """Two hashes that tell vectors apart."""
+    return [F.xxhash64(e).alias("h1"), F.xxhash64(F.lit(1), e).alias("h2")]

@@ -121,6 +121,39 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_unlike_vectors_may_share_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.02]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
+
+
+def test_a_dense_group_of_vectors_is_dealt_out(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=8) + rng.normal(size=(300, 8)) * 0.15
+    x = np.concatenate([x, rng.normal(size=(100, 8))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    old = embeddings.BLOCK, embeddings.LEAF, embeddings.DEAL
+    embeddings.BLOCK, embeddings.LEAF, embeddings.DEAL = 16, 4, 3
+    try:
+        found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()}
+    finally:
+        embeddings.BLOCK, embeddings.LEAF, embeddings.DEAL = old
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.9
+    top = roots(len(x), np.argwhere(np.triu(linked, 1)).tolist())
+    assert found == {i: (linked[i].sum() - 1, top[i]) for i in range(len(x))}
+
+
+def test_hot_keys_are_looked_up(spark):
+    from courtflow.llm.shared import lookup
+
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, 7, if(id % 11 = 0, null, id)) as k", "id")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("name", F.col("k") * 2)
+    found = lookup(rows, table, ["k"])
+    want = [r for r in rows.collect() if r.k is not None]
+    assert Counter((r.k, r.id, r.name) for r in found.collect()) == Counter((r.k, r.id, r.k * 2) for r in want)
+
+
 URLS = [
     (None, "", "", None), ("no scheme", "", "", None), ("http://A.Com", "a.com", "", None), ("http://A.com/", "a.com", "/", "com/"), ("https://www.Example.com/en/1?x#y", "www.example.com", "/en/1", "www.example.com/en/"),
     ("http://m.www.example.com/en/", "m.www.example.com", "/en/", "www.example.com/en/"), ("http://b.example.com/en/9", "b.example.com", "/en/9", "example.com/en/"), ("http://example.com/fr/", "example.com", "/fr/", "com/"),
