@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtflow.llm.components import connected_components
-from courtflow.llm.shared import arrow_rows, stash
+from courtflow.llm.shared import arrow_rows, lookup, stash, unstash
 
 SEED = 42
 RADIUS = 3
@@ -37,20 +37,22 @@ TILE = 1024
 # ---- fingerprints
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a UTF-8 text: A-Z lower-cased, ``width``-word shingles with repeats, XXH64.
+def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each ``width``-word shingle of a UTF-8 text, A-Z lower-cased, repeats included.
 
-    A text with fewer words is one shingle; without words (null, empty, blank) it is 0.
+    A text with fewer words is one shingle; one without words (null, empty, blank) has none.
     """
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     if len(words) < width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(s, SEED) for s in shingles), dtype="<u8", count=len(shingles))
+    return np.fromiter((one(s, SEED) for s in shingles), dtype="<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of hashes: a bit is 1 if set in over half of them; 0 of none."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -58,6 +60,11 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """The fingerprint of a UTF-8 text's shingles; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row of docs(doc_id, text); fp is the fingerprint as a signed long."""
 
@@ -216,19 +223,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     unless no document of the component has an id. An empty table gives none.
     """
     own = stash(fingerprints(docs, width), "simhash-fps")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = stash(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
     roots = connected_components(links(distinct.select("fp"), radius, tile), "simhash-edges")
-    nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = nodes.join(heads, "root").select("fp", "component_id")
-    return own.join(linked, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = stash(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-nodes")
+    unstash(distinct)
+    heads = stash(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-heads")
+    linked = stash(lookup(nodes, heads, ["root"]).select("fp", "component_id", F.col("copies").alias("n")), "simhash-linked")
+    unstash(nodes, heads)
+    return lookup(own, linked, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---- similar documents, for a pipeline's stage
 
 #: Least Jaccard similarity of the sets of shingles of two linked texts; as a fraction, so that pairs at the limit are decided exactly.
 SIMILAR = (4, 5)
-#: MinHash band keys of a text and minima in each. Texts that share a key are proposed: of pairs at the limit all but (1 - 0.8^8)^64, 8 in a million.
+#: MinHash band keys of a text and minima in each, which propose pairs beyond the fingerprints' radius. Texts that share a key are proposed: of pairs at the limit all but (1 - 0.8^8)^64, 8 in a million.
 BANDS, IN_BAND = 64, 8
 #: Proposed texts that are compared in one go; a larger group is dealt to blocks, and each two blocks are compared.
 WIDE_TILE = 2048
@@ -240,15 +249,6 @@ _ODD = _RANDOM.integers(0, 1 << 32, BANDS * IN_BAND, dtype=np.uint32) | np.uint3
 _MIX = _RANDOM.integers(0, 1 << 63, (BANDS, IN_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: bytes | None, width: int = STAGE_SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of the ``width``-word shingles, words as in ``fingerprint``; empty without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    return np.sort(np.fromiter({xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs}, dtype=np.uint64))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The MinHash band keys of a set of shingles; none of an empty one."""
     if not len(hashes):
@@ -267,16 +267,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, bands) for every row; node is a hash of the set of shingles."""
+    """(doc_id, text_hash, node, fp, bands) for every row; node is a hash of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text_hash", "node", "fp", "bands"]
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), dtype=np.uint64, count=len(sets))
-            bands = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes.view(np.int64)), bands], ["doc_id", "text_hash", "node", "bands"])
+            nodes, fps, bands = [], [], []
+            for text in batch.column("text").cast(pa.binary()):
+                hashes = shingle_hashes(text.as_py(), STAGE_SHINGLE)
+                own = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                fps.append(fingerprint_of(hashes))
+                bands.append(band_keys(own).view(np.int64))
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *longs, pa.array(bands, pa.list_(pa.int64()))], names)
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, bands array<long>")
+
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>")
+def _near_nodes(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes(node, fp) whose fingerprints differ in at most ``RADIUS`` bits, by way of one node for each fingerprint."""
+    of = stash(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "similar-fps")
+    same = lookup(nodes.select("node", "fp"), of, ["fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = stash(links(of.select("fp")), "similar-near")
+    ends = of.select("fp", "first")
+    across = near.join(ends.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(ends.withColumnsRenamed({"fp": "b", "first": "y"}), "b")
+    return same.unionAll(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a != b")
 
 
 def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -314,7 +330,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), SET_BATCH):
             part = batch.slice(at, SET_BATCH)
-            sets = pa.array([shingle_set(t.as_py()).tobytes() for t in part.column("text").cast(pa.binary())], pa.binary())
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), STAGE_SHINGLE)).tobytes() for t in part.column("text").cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*map(part.column, names[:-1]), sets], names)
 
 
@@ -344,14 +360,15 @@ def _components(docs: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     own = stash(_banded(docs), "similar-rows")
     # one text of each node stands for it
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "bands"))
-    nodes = stash(own.where(F.size("bands") > 0).groupBy("node").agg(first.alias("x")).select("node", "x.doc_id", "x.text_hash", "x.bands"), "similar-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp", "bands"))
+    nodes = stash(own.where(F.size("bands") > 0).groupBy("node").agg(first.alias("x")).select("node", "x.doc_id", "x.text_hash", "x.fp", "x.bands"), "similar-nodes")
     keys = nodes.select("node", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least")
-    proposed = stash(connected_components(keys.join(shared, "band").select(F.col("node").alias("a"), F.col("least").alias("b")), "similar-proposed"), "similar-groups")
-    blocks = proposed.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    shared = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least != most").select("band", "least", "n")
+    by_band = lookup(keys, stash(shared, "similar-bands"), ["band"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    proposed = stash(connected_components(by_band.unionAll(_near_nodes(nodes)), "similar-proposed"), "similar-groups")
+    blocks = stash(proposed.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"), F.count("*").alias("n")), "similar-blocks")
     texts = (
-        nodes.select("node", "doc_id", "text_hash").join(proposed, "node").join(blocks, "root")
+        lookup(nodes.select("node", "doc_id", "text_hash").join(proposed, "node"), blocks, ["root"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     # exact repeats of a row give the same set twice, which is harmless
@@ -373,15 +390,18 @@ def _components(docs: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
 def similar_documents(docs: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
     """(doc_id, component_id) for every row of docs: components of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-    MinHash band keys only propose: texts that share a key, directly or over others,
-    form a group, and every pair of a group that is not joined over others already is
-    decided by its exact similarity. Texts without words are one component. Nulls and
-    repeats are as in ``near_duplicates``.
+    Fingerprints within the radius, compared in tiles, propose; at a similarity of 0.8
+    two fingerprints differ in about ten bits, so MinHash band keys propose as well.
+    Texts proposed to each other, directly or over others, form a group, and every pair
+    of a group that is not joined over others already is decided by its exact similarity.
+    Texts without words are one component. Nulls and repeats are as in ``near_duplicates``.
     """
     own, roots = _components(docs, tile)
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "node").join(nodes.join(heads, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(roots, "node", "left")
+    nodes = stash(nodes.withColumn("root", F.coalesce("root", "node")), "similar-rooted")
+    heads = stash(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "similar-heads")
+    of = stash(lookup(nodes, heads, ["root"]).select("node", "component_id", F.col("copies").alias("n")), "similar-of")
+    return lookup(own.select("doc_id", "node"), of, ["node"]).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
