@@ -1,10 +1,12 @@
 """URL filtering by association rules.
 
 Labelled URLs are token sets; Spark's FP-growth mines the token combinations that go
-with a label. Rules that are frequent and certain enough, and that no shorter rule
-already says, form an inverted index from tokens; a URL looks up its own tokens only
-and takes the most certain rule that it contains whole. Given host and path rules go
-first, the longest one that fits.
+with a label. Tokens that the same URLs hold count as one, so that the fixed words of a
+template make one item and not all their combinations. Rules that are frequent and
+certain enough, clearly more certain than the label's own share, and that no shorter
+rule already says, form an inverted index from tokens; a URL looks up its own tokens
+only and takes the most certain rule that it contains whole. Given host and path rules
+go first, the longest one that fits.
 """
 
 from __future__ import annotations
@@ -27,13 +29,10 @@ GIVEN = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Rules kept, and tokens of a rule.
-MOST_RULES, LONGEST_RULE = 20_000, 4
-LEAST_SUPPORT, LEAST_CONFIDENCE = 0.002, 0.8
-#: URLs that a rule must have been seen in, so that chance makes none of a small table.
-LEAST_COUNT = 20
-#: Distinct tokens of a URL that are looked at: of a longer URL those of the host and the first ones of path and query.
-MOST_TOKENS = 24
+#: Tokens of a rule, its share of the labelled URLs, and its confidence.
+LONGEST_RULE, LEAST_SUPPORT, LEAST_CONFIDENCE = 4, 0.002, 0.8
+#: URLs that a rule must have been seen in, and standard errors that its confidence lies above the label's own share, so that chance makes none.
+LEAST_COUNT, LEAST_SURPRISE = 20, 4.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -61,7 +60,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.lower(F.substring_index(x, "=", 1))), lambda x: x != "")
     mark = lambda kind, of: F.transform(of, lambda x: F.concat(F.lit(kind), x))
-    return F.slice(F.array_distinct(F.concat(mark("h:", names), mark("p:", words), mark("q:", keys))), 1, MOST_TOKENS)
+    return F.array_distinct(F.concat(mark("h:", names), mark("p:", words), mark("q:", keys)))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -73,58 +72,95 @@ def parsed(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("given"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
 
 
-def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
-    """Rules (tokens, label, confidence, support) from all rows of labelled(tokens array<string>, label).
+#: The tokens of a rule (each a set of tokens that the same labelled URLs hold; one of them must be there), its label, confidence and support.
+Rule = tuple[tuple[frozenset[str], ...], str, float, float]
 
-    At most ``MOST_RULES``, of at most ``LONGEST_RULE`` tokens, most certain first, then
-    most frequent, then shortest. A rule that contains a shorter one with the same label
-    and no less certainty is dropped. Nothing labelled gives no rules.
+
+def _items(labelled: DataFrame, least: float) -> dict[str, str]:
+    """For each token in at least ``least`` of labelled(row, tokens, label) the item it counts as: the least token of the same rows.
+
+    Tokens have the same rows if their number and two sums over hashes of the rows
+    agree. There are at most as many frequent tokens as a URL has on average, divided by
+    the least support.
     """
-    n = labelled.count()
-    if not n:
+    rows = [F.sum(F.xxhash64(F.lit(i), "row").cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
+    seen = labelled.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *rows).where(F.col("n") >= least)
+    found = seen.groupBy("n", "h0", "h1").agg(F.collect_list("token").alias("tokens")).select("tokens").collect()
+    return {t: min(r["tokens"]) for r in found for t in r["tokens"]}
+
+
+def _irredundant(rules: DataFrame) -> DataFrame:
+    """Without the rules(tokens, label, confidence, ...) that contain a shorter one with the same label and no less certainty."""
+    part = F.filter("tokens", lambda t, i: F.get(F.split(F.lpad(F.bin("mask"), F.size("tokens"), "0"), ""), i) == "1")
+    shorter = rules.where(F.size("tokens") > 1).withColumn("mask", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("tokens")).cast("int") - 2)))
+    shorter = shorter.select("tokens", "label", "confidence", part.alias("part"))
+    known = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("other"))
+    said = shorter.join(known, ["part", "label"]).where("other >= confidence").select("tokens", "label").distinct()
+    return rules.join(said, ["tokens", "label"], "left_anti")
+
+
+def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE, surprise: float = LEAST_SURPRISE) -> list[Rule]:
+    """Rules from all rows of labelled(tokens array<string>, label), most certain first, then most frequent, then shortest.
+
+    They have at most ``LONGEST_RULE`` tokens, at least the given support and confidence,
+    and a confidence above the label's own share by ``surprise`` standard errors. A rule
+    that contains a shorter one with the same label and no less certainty is dropped.
+    How many there are depends on the support, not on the rows. Nothing labelled, or
+    one label only, gives no rules.
+    """
+    labelled = stash(labelled.select("tokens", "label", F.monotonically_increasing_id().alias("row")), "url-labelled")
+    shares = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n = sum(shares.values())
+    support = max(support, LEAST_COUNT / max(1, n))
+    if len(shares) < 2 or support > 1:
         return []
-    items = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    support = max(support, LEAST_COUNT / n)
-    if support > 1:
+    item_of = _items(labelled, support * n)
+    if not item_of:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = (
+    members: dict[str, set[str]] = defaultdict(set)
+    for token, item in item_of.items():
+        members[item].add(token)
+    # two strings for each frequent token, and of these there are as many as _items says
+    items = F.broadcast(labelled.sparkSession.createDataFrame(sorted(item_of.items()), "token string, item string"))
+    held = labelled.select("row", "label", F.explode("tokens").alias("token")).join(items, "token")
+    sets = held.groupBy("row", "label").agg(F.collect_set("item").alias("items")).select(F.array_append("items", F.concat(F.lit("label:"), "label")).alias("items"))
+    # rows without a frequent token count for the shares
+    rest = labelled.join(held.select("row").distinct(), "row", "left_anti")
+    every = stash(sets.unionAll(rest.select(F.array(F.concat(F.lit("label:"), "label")))), "url-items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(every)
+    label = F.regexp_replace(F.get("consequent", F.lit(0)), "^label:", "")
+    share = F.create_map(*[F.lit(x) for name, count in shares.items() for x in (name, count / n)])[label]
+    count = F.col("support") * n / F.col("confidence")
+    rules = stash(
         model.associationRules.where(F.get("consequent", F.lit(0)).startswith("label:") & (F.size("antecedent") <= LONGEST_RULE))
         .where(~F.exists("antecedent", lambda x: x.startswith("label:")))
-        .orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " "))
-        .limit(MOST_RULES)
-        .collect()
+        .where(F.col("confidence") - share >= surprise * F.sqrt(share * (1 - share) / count))
+        .select(F.array_sort("antecedent").alias("tokens"), label.alias("label"), "confidence", "support"),
+        "url-rules",
     )
-    kept: list[tuple[frozenset[str], str, float, float]] = []
-    by_token: dict[str, list[int]] = defaultdict(list)
-    for r in sorted(rules, key=lambda r: (len(r["antecedent"]), -r["confidence"], -r["support"], sorted(r["antecedent"]))):
-        own, label = frozenset(r["antecedent"]), r["consequent"][0].removeprefix("label:")
-        near = {i for t in own for i in by_token[t]}
-        if any(kept[i][0] <= own and kept[i][1] == label and kept[i][2] >= r["confidence"] for i in near):
-            continue
-        for t in own:
-            by_token[t].append(len(kept))
-        kept.append((own, label, float(r["confidence"]), float(r["support"])))
-    return sorted(kept, key=lambda k: (-k[2], -k[3], len(k[0]), sorted(k[0])))
+    kept = [(tuple(frozenset(members[t]) for t in r["tokens"]), r["label"], float(r["confidence"]), float(r["support"])) for r in _irredundant(rules).collect()]
+    return sorted(kept, key=lambda k: (-k[2], -k[3], len(k[0]), sorted(map(min, k[0]))))
 
 
 class Index:
     """From tokens to the rules that hold them; rules are looked up by counting hits."""
 
-    def __init__(self, rules: list[tuple[frozenset[str], str, float, float]]):
+    def __init__(self, rules: list[Rule]):
         self.labels, self.needs = [r[1] for r in rules], [len(r[0]) for r in rules]
-        self.of: dict[str, list[int]] = defaultdict(list)
+        self.names = [" ".join(sorted(map(min, r[0]))) for r in rules]
+        self.of: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (own, *_) in enumerate(rules):
-            for t in own:
-                self.of[t].append(i)
+            for at, same in enumerate(own):
+                for t in same:
+                    self.of[t].append((i, at))
 
     def first(self, own: list[str]) -> int | None:
         """The first rule, in the order given, all of whose tokens are there."""
-        hits: dict[int, int] = defaultdict(int)
+        hits: dict[int, set[int]] = defaultdict(set)
         for t in own:
-            for i in self.of.get(t, ()):
-                hits[i] += 1
-        return min((i for i, n in hits.items() if n == self.needs[i]), default=None)
+            for i, at in self.of.get(t, ()):
+                hits[i].add(at)
+        return min((i for i, n in hits.items() if len(n) == self.needs[i]), default=None)
 
 
 def page_labels(labels: DataFrame) -> DataFrame:
@@ -147,17 +183,18 @@ def judged(pages: DataFrame, labels: DataFrame, otherwise: str = "allow", **how)
     none; other columns, whatever their names, are ignored.
     """
     table = stash(parsed(pages), "urls")
-    rules = mine(table.select("page_id", "tokens").join(labels, "page_id").select("tokens", "label"), **how)
-    shared = pages.sparkSession.sparkContext.broadcast((Index(rules), [" ".join(sorted(r[0])) for r in rules]))
+    # labels grow with the pages, so neither side is broadcast
+    rules = mine(table.select("page_id", "tokens").join(labels.hint("merge"), "page_id").select("tokens", "label"), **how)
+    shared = pages.sparkSession.sparkContext.broadcast(Index(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, names = shared.value
+        index = shared.value
         for batch in batches:
             given = batch.column("given").to_pylist()
             found = [index.first(own) if says is None else None for own, says in zip(batch.column("tokens").to_pylist(), given, strict=True)]
             verdict = [says or (otherwise if i is None else index.labels[i]) for says, i in zip(given, found, strict=True)]
             columns = [batch.column(c) for c in ("page_id", "host", "path", "rule")]
-            more = [pa.array(verdict, pa.string()), pa.array([None if i is None else names[i] for i in found], pa.string())]
+            more = [pa.array(verdict, pa.string()), pa.array([None if i is None else index.names[i] for i in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *more], ["page_id", "host", "path", "rule", "verdict", "mined"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

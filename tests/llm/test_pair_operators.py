@@ -1,6 +1,7 @@
 """Near duplicates, URL rules and the pipeline against brute force."""
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -180,10 +181,10 @@ def test_rules_are_mined_and_matched(spark):
     assert all(r.verdict == ("block" if r.page_id % 4 == 0 else "allow") for r in found)
     assert {r.mined for r in found if r.verdict == "block"} == {"h:casino"}
     # the index finds what trying every rule finds
-    rules = [(frozenset(s.split()), s, 1.0, 1.0) for s in ("a b", "b", "c d e", "z")]
+    rules = [(tuple(frozenset(t.split("|")) for t in r.split()), r, 1.0, 1.0) for r in ("a b", "b", "c|x d e", "z")]
     index = urlrules.Index(rules)
-    for own in ("a b c", "c d", "e d c", "", "z b"):
-        want = next((i for i, r in enumerate(rules) if r[0] <= set(own.split())), None)
+    for own in ("a b c", "c d", "e d c", "e x d", "c x e", "", "z b"):
+        want = next((i for i, r in enumerate(rules) if all(same & set(own.split()) for same in r[0])), None)
         assert index.first(own.split()) == want
     two = spark.createDataFrame([(1, 1, None), (1, 0, 0), (2, None, None), (3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert {(r.page_id, r.label) for r in urlrules.page_labels(two).collect()} == {(1, "block"), (3, "allow")}
@@ -250,4 +251,43 @@ def test_rules_count_every_labelled_row(spark):
     label = F.when((host == 30) | (F.col("id") % 2 == 0), "block").otherwise("allow")
     table = spark.range(155_000).select(F.array(F.concat(F.lit("h:site"), host.cast("string")), F.lit("p:0")).alias("tokens"), label.alias("label"))
     (rule,) = urlrules.mine(table)
-    assert rule[:2] == (frozenset(["h:site30"]), "block") and rule[2] == 1.0 and abs(rule[3] - 5000 / 155_000) < 1e-9
+    assert rule[:2] == ((frozenset(["h:site30"]),), "block") and rule[2] == 1.0 and abs(rule[3] - 5000 / 155_000) < 1e-9
+
+
+def mined_by_hand(rows, least, confidence, surprise):
+    """Every set of up to four tokens tried; rules as frozensets of tokens."""
+    n, found = len(rows), {}
+    shares = Counter(label for _, label in rows)
+    for own in {frozenset(c) for tokens, _ in rows for k in range(1, 5) for c in combinations(sorted(tokens), k)}:
+        of = Counter(label for tokens, label in rows if own <= tokens)
+        for label, c in of.items():
+            p, conf = shares[label] / n, c / of.total()
+            if c >= least * n and conf >= confidence and conf - p >= surprise * (p * (1 - p) / of.total()) ** 0.5:
+                found[own, label] = conf
+    return {k: v for k, v in found.items() if not any(o < k[0] and l == k[1] and c >= v for (o, l), c in found.items())}
+
+
+def test_mining_is_trying_every_set(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(600):
+        tokens = {t for t, p in zip("abcdefg", (0.5, 0.4, 0.3, 0.5, 0.2, 0.1, 0.6), strict=True) if rng.random() < p}
+        bad = 0.95 if {"a", "b"} <= tokens else 0.9 if "e" in tokens and "d" in tokens else 0.1
+        rows.append((frozenset(tokens), "block" if rng.random() < bad else "allow"))
+    table = spark.createDataFrame([(sorted(t), label) for t, label in rows], "tokens array<string>, label string")
+    found = {(frozenset(t for same in r[0] for t in same), r[1]): r[2] for r in urlrules.mine(table, 0.05, 0.8, 2.0)}
+    want = mined_by_hand(rows, 0.05, 0.8, 2.0)
+    assert len(want) > 3 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert urlrules.mine(table.where("label = 'block'")) == [] and urlrules.mine(table.limit(0)) == []
+
+
+def test_long_urls_and_templates(spark):
+    # every page of one template holds the same 40 tokens; the deciding token comes last in a query of 60 names
+    same = "/".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    query = "&".join(f"n{i}=1" for i in range(60))
+    urls = [(i, f"http://a.org/{same}?{query}{'&sess=1' if i % 3 == 0 else ''}") for i in range(300)] + [(i, f"http://b.org/{i}") for i in range(300, 400)]
+    pages = spark.createDataFrame([*urls, (None, "http://c.org/?x&sess"), (7, "http://a.org/other"), (7, "http://a.org/other"), (500, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i < 300 and i % 3 == 0 else "allow") for i in range(400)], "page_id long, label string")
+    found = urlrules.judged(pages, labels).collect()
+    assert len(found) == 404 and all((r.verdict == "block") == (r.page_id is None or r.page_id < 300 and r.page_id % 3 == 0 and "other" not in r.path) for r in found)
+    assert {r.mined for r in found if r.verdict == "block"} == {"q:sess"}
