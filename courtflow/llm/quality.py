@@ -4,8 +4,9 @@ Everything on the main path is a DataFrame expression. Each document gets a vote
 every rule (1 good, 0 bad, null abstains). The distinct vote patterns, at most
 3^rules rows however large the input, are one array; expectation-maximisation folds
 over it inside one SQL expression and gives the share of good documents and, for each
-rule, how often it votes good on good and bad on bad ones. A document is kept if its
-posterior probability of being good is at least one half.
+rule, how often it votes good on good and bad on bad ones. Rules that vote bad on the
+same documents share their weight. A document is kept if its posterior probability of
+being good is at least one half, so good votes can outweigh a doubtful bad one.
 """
 
 from __future__ import annotations
@@ -17,23 +18,29 @@ from courtflow.llm.shared import SPACES, stash
 
 ITERATIONS = 40
 THRESHOLD = 0.5
-#: Where the fold starts: share of good documents, good votes on good ones, bad votes on bad ones.
-START = (0.8, 0.995, 0.3)
-#: What is known of the rules beforehand: they are set to be wrong on at most one good document in 200, and each
-#: is there because it catches some of the bad ones. Junk comes in kinds that fail one rule each; without these
-#: bounds the fold takes the most frequent kind as bad and every other kind as a whim of its rule.
-GOOD_ON_GOOD, BAD_ON_BAD = (0.995, 0.9999), (0.05, 0.95)
+#: What is believed of the share of good documents; the fold starts from it.
+START = 0.8
+#: What is believed of a rule before any document is seen: how often it votes good on good documents, and bad on bad ones.
+#: A sure rule looks at plain junk. A doubtful one also votes against texts that are only short, plain or unusual.
+SURE, DOUBTFUL = (0.999, 0.3), (0.9, 0.2)
+#: Weight of the belief beside what the documents show. It is a share and not a count, so the model is alike at every size.
+#: Junk comes in kinds that fail one rule each; without any belief the fold takes the most frequent kind as the bad
+#: class and every other kind as a whim of its rule.
+BELIEF = 0.8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
-#: Bad and good conditions of each rule on the measured columns, alike in Spark and in the oracle's SQL.
+#: Bad and good conditions of each rule on the measured columns, alike in Spark and in the oracle's SQL, and the belief in it.
 RULES = {
-    "length": ("n_words < 50", "n_words >= 80"),
-    "repetition": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-    "symbols": ("20 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
-    "capitals": ("10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars"),
-    "word_length": ("10 * word_chars < 25 * n_words or word_chars > 14 * n_words", "10 * word_chars >= 35 * n_words and word_chars <= 10 * n_words"),
-    "marks": ("10 * n_marks > 4 * n_words", "10 * n_marks <= 3 * n_words"),
+    "length": ("n_words < 80", "n_words >= 120", DOUBTFUL),
+    "repetition": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words", SURE),
+    "symbols": ("20 * n_symbols > n_words", "50 * n_symbols <= n_words", SURE),
+    "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0", SURE),
+    "few_lines": ("n_lines <= 1 and n_words >= 200", "n_lines >= 3", DOUBTFUL),
+    "capitals": ("20 * n_upper > word_chars", "30 * n_upper <= word_chars", DOUBTFUL),
+    "shouting": ("10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars", SURE),
+    "word_length": ("10 * word_chars < 40 * n_words or word_chars > 9 * n_words", "10 * word_chars >= 45 * n_words and word_chars <= 7 * n_words", DOUBTFUL),
+    "odd_words": ("10 * word_chars < 25 * n_words or word_chars > 14 * n_words", "10 * word_chars >= 35 * n_words and word_chars <= 10 * n_words", SURE),
+    "marks": ("10 * n_marks > 4 * n_words", "10 * n_marks <= 3 * n_words", SURE),
 }
 MARKS = "!?:;@=_{}[]~^"
 
@@ -76,31 +83,39 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     ).drop(*[f"{p}{c}" for c in "wlgs"])
 
 
-def votes(rules: dict[str, tuple[str, str]] = RULES) -> Column:
+def votes(rules: dict = RULES) -> Column:
     """The rules' votes as an array: 1 good, 0 bad, null abstains."""
-    return F.array(*[F.expr(f"case when {bad} then 0 when {good} then 1 end") for bad, good in rules.values()])
+    return F.array(*[F.expr(f"case when {bad} then 0 when {good} then 1 end") for bad, good, _ in rules.values()])
 
 
-def label_model(patterns: DataFrame, k: int, iterations: int = ITERATIONS) -> DataFrame:
-    """One row (share, good_on_good, bad_on_bad) from patterns(v array<int>, n): the whole fold is one expression.
+def label_model(patterns: DataFrame, beliefs: list[tuple[float, float]], iterations: int = ITERATIONS) -> DataFrame:
+    """One row (share, good_on_good, bad_on_bad, weights) from patterns(v array<int>, n): the whole fold is one expression.
 
-    Without patterns the share is one half.
+    A rule's accuracies are those that the posteriors show, averaged with the belief in
+    it by the weight ``BELIEF``, and so is the share. Its weight is one over the sum of its overlaps with all
+    rules, itself included: documents that both vote bad on among those that either
+    does. Without patterns the shown share is one half.
     """
-    share, good, bad = START
-    start = f"named_struct('share', {share}D, 'a', array_repeat({good}D, {k}), 'b', array_repeat({bad}D, {k}))"
+    k = len(beliefs)
+    votes_bad = lambda how: f"aggregate(pats, 0D, (t, p) -> t + CASE WHEN p.v[j] = 0 {how} p.v[l] = 0 THEN p.n ELSE 0D END)"
+    overlap = f"CASE WHEN j = l THEN 1D ELSE coalesce(try_divide({votes_bad('AND')}, {votes_bad('OR')}), 0D) END"
+    weights = f"transform(sequence(0, {k} - 1), j -> 1 / aggregate(sequence(0, {k} - 1), 0D, (t, l) -> t + {overlap}))"
+    first = [f"array({', '.join(f'{b[i]}D' for b in beliefs)})" for i in range(2)]
+    start = f"named_struct('share', {START}D, 'a', {first[0]}, 'b', {first[1]})"
     evidence = """aggregate(sequence(0, {k} - 1), ln(m.share / (1 - m.share)), (t, j) -> t +
-        CASE p.v[j] WHEN 1 THEN ln(m.a[j] / (1 - m.b[j])) WHEN 0 THEN ln((1 - m.a[j]) / m.b[j]) ELSE 0D END)""".format(k=k)
+        weights[j] * CASE p.v[j] WHEN 1 THEN ln(m.a[j] / (1 - m.b[j])) WHEN 0 THEN ln((1 - m.a[j]) / m.b[j]) ELSE 0D END)""".format(k=k)
     weighted = f"transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'g', p.n / (1 + exp(-({evidence})))))"
     total = lambda what, where: f"aggregate(w, 0D, (t, p) -> t + CASE WHEN {where} THEN {what} ELSE 0D END)"
-    clip = lambda x, within: f"greatest({within[0]}D, least({within[1]}D, {x}))"
+    shown = lambda what, vote: f"({total(what, f'p.v[j] = {vote}')} + 1) / ({total(what, 'p.v[j] IS NOT NULL')} + 2)"
+    mean = lambda believed, x: f"{BELIEF}D * {believed}[j] + {1 - BELIEF:.6g}D * {x}"
     step = f"""aggregate(array({weighted}), m, (old, w) -> named_struct(
-        'share', ({total('p.g', 'true')} + 1) / ({total('p.n', 'true')} + 2),
-        'a', transform(sequence(0, {k} - 1), j -> {clip(f"({total('p.g', 'p.v[j] = 1')} + 1) / ({total('p.g', 'p.v[j] IS NOT NULL')} + 2)", GOOD_ON_GOOD)}),
-        'b', transform(sequence(0, {k} - 1), j -> {clip(f"({total('p.n - p.g', 'p.v[j] = 0')} + 1) / ({total('p.n - p.g', 'p.v[j] IS NOT NULL')} + 2)", BAD_ON_BAD)})))"""
+        'share', {BELIEF}D * {START}D + {1 - BELIEF:.6g}D * ({total('p.g', 'true')} + 1) / ({total('p.n', 'true')} + 2),
+        'a', transform(sequence(0, {k} - 1), j -> {mean(first[0], shown('p.g', 1))}),
+        'b', transform(sequence(0, {k} - 1), j -> {mean(first[1], shown('p.n - p.g', 0))})))"""
     rows = patterns.select(F.struct(F.col("n").cast("double").alias("n"), "v").alias("p"))
-    one = rows.agg(F.array_sort(F.collect_list("p")).alias("pats"))
-    return one.select(F.expr(f"aggregate(sequence(1, {iterations}), {start}, (m, i) -> {step})").alias("m")).select(
-        F.col("m.share").alias("share"), F.col("m.a").alias("good_on_good"), F.col("m.b").alias("bad_on_bad")
+    one = rows.agg(F.array_sort(F.collect_list("p")).alias("pats")).select("pats", F.expr(weights).alias("weights"))
+    return one.select(F.expr(f"aggregate(sequence(1, {iterations}), {start}, (m, i) -> {step})").alias("m"), "weights").select(
+        F.col("m.share").alias("share"), F.col("m.a").alias("good_on_good"), F.col("m.b").alias("bad_on_bad"), "weights"
     )
 
 
@@ -108,9 +123,9 @@ def _posterior(model, v: Column, k: int) -> Column:
     """Probability that a document with these votes is good; the model's few numbers become literals."""
     num = lambda x: F.lit(float(x))
     odds = F.log(num(model["share"]) / (1 - num(model["share"])))
-    for j, (a, b) in enumerate(zip(model["good_on_good"], model["bad_on_bad"], strict=True)):
+    for j, (a, b, w) in enumerate(zip(model["good_on_good"], model["bad_on_bad"], model["weights"], strict=True)):
         one = F.get(v, F.lit(j))
-        odds = odds + F.when(one == 1, F.log(num(a) / (1 - num(b)))).when(one == 0, F.log((1 - num(a)) / num(b))).otherwise(0.0)
+        odds = odds + num(w) * F.when(one == 1, F.log(num(a) / (1 - num(b)))).when(one == 0, F.log((1 - num(a)) / num(b))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -118,7 +133,7 @@ def _judged(table: DataFrame) -> DataFrame:
     """Adds base_failed, posterior and kept to a stashed table of measured rows."""
     table = table.withColumn("__votes", votes())
     patterns = table.groupBy(F.col("__votes").alias("v")).agg(F.count("*").alias("n"))
-    model = label_model(patterns, len(RULES)).first()  # 2 * rules + 1 numbers
+    model = label_model(patterns, [belief for *_, belief in RULES.values()]).first()  # 3 * rules + 1 numbers
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         table.withColumn("base_failed", failed)
@@ -141,7 +156,9 @@ def quality(docs: DataFrame) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality keeps; all columns of docs are kept, whatever their names.
 
-    The texts are written once with their measures and read back once.
+    Null, empty and blank texts go, as they fail the base; repeated rows stay or go
+    together; an empty table gives none. The texts are written once with their measures
+    and read back once.
     """
     names = [f"__in{i}" for i in range(len(docs.columns))]
     renamed = docs.toDF(*names)
@@ -152,16 +169,20 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB SQL: measures by unnesting, the fold as a recursive table."""
-    k, (share, good, bad) = len(RULES), START
+    k = len(RULES)
     strip = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
-    vote = ", ".join(f"case when {b} then 0 when {g} then 1 end as v{j}" for j, (b, g) in enumerate(RULES.values()))
-    evidence = " + ".join(["ln(share / (1 - share))", *[f"case v{j} when 1 then ln(a{j} / (1 - b{j})) when 0 then ln((1 - a{j}) / b{j}) else 0 end" for j in range(k)]])
+    vote = ", ".join(f"case when {b} then 0 when {g} then 1 end as v{j}" for j, (b, g, _) in enumerate(RULES.values()))
+    evidence = " + ".join(["ln(share / (1 - share))", *[f"w{j} * case v{j} when 1 then ln(a{j} / (1 - b{j})) when 0 then ln((1 - a{j}) / b{j}) else 0 end" for j in range(k)]])
     nth = ", ".join(f"a{j}, b{j}" for j in range(k))
-    first = ", ".join(f"{good}::double as a{j}, {bad}::double as b{j}" for j in range(k))
-    ratio = lambda top, where, of: f"(coalesce(sum(case when {top} then {of} end), 0) + 1) / (coalesce(sum(case when {where} then {of} end), 0) + 2)"
-    clip = lambda x, within: f"greatest({within[0]}::double, least({within[1]}::double, {x}))"
-    after = ", ".join(f"{clip(ratio(f'v{j} = 1', f'v{j} is not null', 'g'), GOOD_ON_GOOD)}, {clip(ratio(f'v{j} = 0', f'v{j} is not null', 'n - g'), BAD_ON_BAD)}" for j in range(k))
+    believed = [belief for *_, belief in RULES.values()]
+    first = ", ".join(f"{a}::double as a{j}, {b}::double as b{j}" for j, (a, b) in enumerate(believed))
+    shown = lambda j, vote, of: f"(coalesce(sum(case when v{j} = {vote} then {of} end), 0) + 1) / (coalesce(sum(case when v{j} is not null then {of} end), 0) + 2)"
+    mean = lambda belief, x: f"{BELIEF}::double * {belief}::double + {1 - BELIEF:.6g}::double * {x}"
+    after = ", ".join(f"{mean(a, shown(j, 1, 'g'))}, {mean(b, shown(j, 0, 'n - g'))}" for j, (a, b) in enumerate(believed))
     names = ", ".join(f"v{j}" for j in range(k))
+    votes_bad = lambda j, how, l: f"sum(case when v{j} = 0 {how} v{l} = 0 then n else 0 end)"
+    overlap = lambda j, l: "1" if j == l else f"coalesce({votes_bad(j, 'and', l)} / nullif({votes_bad(j, 'or', l)}, 0), 0)"
+    weights = ", ".join(f"1 / ({' + '.join(overlap(j, l) for l in range(k))}) as w{j}" for j in range(k))
     return rf"""
 with recursive docs as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as t,
@@ -180,16 +201,17 @@ measured as (
   from docs left join repeats on docs.rid = repeats.rid),
 voted as (select *, {vote} from measured),
 patterns as (select {names}, count(*)::double as n from voted group by all),
+weights as (select {weights} from patterns),
 em as (
-  select 0 as it, {share}::double as share, {first}
+  select 0 as it, {START}::double as share, {first}
   union all
-  select it + 1, (sum(g) + 1) / (sum(n) + 2), {after}
-  from (select *, n / (1 + exp(-({evidence}))) as g from em, patterns where it < {ITERATIONS}) group by it),
+  select it + 1, {BELIEF}::double * {START}::double + {1 - BELIEF:.6g}::double * (sum(g) + 1) / (sum(n) + 2), {after}
+  from (select *, n / (1 + exp(-({evidence}))) as g from em, weights, patterns where it < {ITERATIONS}) group by it),
 model as (select * from em where it = {ITERATIONS}),
 judged as (
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 1 / (1 + exp(-({evidence}))) as posterior
-  from voted, (select share, {nth} from model))
+  from voted, weights, (select share, {nth} from model))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and posterior >= {THRESHOLD}) as kept
 from judged
 """

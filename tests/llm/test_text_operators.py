@@ -120,13 +120,27 @@ def test_quality_measures(spark):
         assert quality.kept_rows(docs).columns == docs.columns and quality.kept_rows(docs).count() == sum(r.kept for r in found)
 
 
-def test_label_model_finds_junk_that_fails_one_rule(spark):
-    good, junk = [1] * 7, [1, 1, 0, 1, 1, 1, 1]
-    patterns = spark.createDataFrame([(good, 900), (junk, 70), ([1, 0, 1, 1, 0, 1, 0], 30)], "v array<int>, n long")
-    model = quality.label_model(patterns, 7).first()
+def test_label_model_weighs_votes(spark):
+    beliefs = [quality.SURE if j == 2 else quality.DOUBTFUL if j == 5 else quality.SURE for j in range(7)]
+    good, junk, short, both = [1] * 7, [1, 1, 0, 1, 1, 1, 1], [1, 1, 1, 1, 1, 0, 1], [0, 0, None, 1, 0, 0, 1]
+    patterns = spark.createDataFrame([(good, 860), (junk, 70), (short, 45), (both, 25)], "v array<int>, n long")
+    model = quality.label_model(patterns, beliefs).first()
     post = patterns.select("n", quality._posterior(model, F.col("v"), 7).alias("p")).collect()
-    assert {r.n: r.p >= 0.5 for r in post} == {900: True, 70: False, 30: False}
-    assert quality.label_model(patterns.limit(0), 7).first().share == 0.5
+    # one bad vote of a sure rule drops, one of a doubtful rule doesn't
+    assert {r.n: r.p >= 0.5 for r in post} == {860: True, 70: False, 45: True, 25: False}
+    # rules that fire on the same documents share their weight
+    assert model.weights[2] == 1.0 and model.weights[0] == pytest.approx(1 / (3 + 25 / 70)) and model.weights[5] == pytest.approx(1 / (1 + 3 * 25 / 70))
+    assert model.good_on_good[5] == pytest.approx(0.8 * 0.9 + 0.2 * sum(n * p for n, p in ((860, post[0].p), (70, post[1].p))) / sum(r.n * r.p for r in post), abs=2e-3)
+    assert quality.label_model(patterns.limit(0), beliefs).first().share == pytest.approx(0.8 * 0.8 + 0.2 * 0.5)
+
+
+def test_quality_is_not_all_must_pass(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    table = quality.measured(docs.select("doc_id", "text")).withColumn("passes", ~F.exists(F.transform(quality.votes(), lambda v: F.coalesce(v, F.lit(1)) == 0), lambda x: x))
+    rows = table.select("doc_id", "passes").join(quality.quality(docs), "doc_id").join(labels, "doc_id", "left").where("not base_failed").collect()
+    assert sum(r.kept and not r.passes for r in rows) >= 40
+    known = [r for r in rows if r["quality"] is not None]
+    assert sum(r.kept == (r["quality"] == 1) for r in known) >= 0.99 * len(known)
 
 
 def test_mixing(spark):
