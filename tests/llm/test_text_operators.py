@@ -258,6 +258,72 @@ def test_toxicity(spark):
     assert toxicity.toxicity(no_docs(spark), labels).count() == 0
 
 
+@pytest.fixture(scope="module")
+def toxic_corpus(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels
+
+
+def test_toxicity_hangs_on_rows_and_not_on_their_order(spark, toxic_corpus):
+    docs, labels = toxic_corpus
+    of = lambda d, l: {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(d, l).collect()}
+    one = of(docs, labels)
+    assert 0 < sum(p for _, p in one.values()) < len(one) / 2
+    other = of(docs.repartition(7, "n_chars").sortWithinPartitions(F.desc("doc_id")), labels.orderBy(F.desc("doc_id")).repartition(3))
+    assert one.keys() == other.keys() and all(abs(one[i][0] - other[i][0]) < 1e-9 and one[i][1] == other[i][1] for i in one)
+    # held-out labels change nothing
+    flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    third = of(docs, flipped)
+    assert all(abs(one[i][0] - third[i][0]) < 1e-9 for i in one)
+
+
+def test_awkward_texts_meet_a_fitted_model(spark, toxic_corpus):
+    docs, labels = toxic_corpus
+    odd = awkward_docs(spark).withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    names = ["doc_id", "text"]
+    both = docs.select(names).unionByName(odd.select(names)).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit("clash"))
+    marks = labels.select("doc_id", "toxic").unionByName(odd.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))).unionByName(spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(both.where(~held_out()), marks)
+    assert model is not None and len(model.words) > 10
+    rows = toxicity.scores(both, model).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in both.select("doc_id").collect()) and all(0 <= r.score <= 1 for r in rows)
+    silent = {round(r.score, 12) for r in toxicity.scores(odd.where("text is null or text in ('', ' \t\n')"), model).collect()}
+    assert len(silent) == 1 and silent.pop() < 0.5
+
+
+def test_label_model_is_the_plain_loop():
+    rng = np.random.default_rng(7)
+    votes, start = rng.integers(-1, 2, (60, 4)), rng.random(60)
+    q = start.tolist()
+    for _ in range(3):
+        rate = {}  # (class, voter, vote): how often
+        for y in (0, 1):
+            weight = [p if y else 1 - p for p in q]
+            for j in range(4):
+                for v in (-1, 0, 1):
+                    rate[y, j, v] = (sum(w for w, row in zip(weight, votes, strict=True) if row[j] == v) + 0.5) / (sum(weight) + 1.5)
+        mean = {(y, j): rate[y, j, 1] - rate[y, j, -1] for y in (0, 1) for j in range(4)}
+        rest = [[row[j] - p * mean[1, j] - (1 - p) * mean[0, j] for j in range(4)] for p, row in zip(q, votes, strict=True)]
+        cov = [[sum(r[i] * r[j] for r in rest) / 60 + 1e-6 * (i == j) for j in range(4)] for i in range(4)]
+        share = [1 / sum(min(1.0, max(0.0, cov[i][j] / (cov[i][i] * cov[j][j]) ** 0.5)) for j in range(4)) for i in range(4)]
+        prior = min(0.99, max(0.01, sum(q) / 60))
+        q = [1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(share[j] * np.log(rate[1, j, row[j]] / rate[0, j, row[j]]) for j in range(4))))) for row in votes]
+    assert np.allclose(toxicity.label_model(votes, start, rounds=3), q, atol=1e-9)
+
+
+def test_linear_classifier_is_at_the_optimum():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3))
+    q = 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] + 0.3)))
+    w = toxicity.linear_classifier(x, q)
+
+    def loss(w):
+        z = x @ w[:-1] + w[-1]
+        return np.sum(np.logaddexp(0, z) - q * z) + 0.5 * np.sum(w[:-1] ** 2) + 0.5e-3 * w[-1] ** 2
+
+    assert all(loss(w) <= loss(w + d) for d in np.concatenate([np.eye(4), -np.eye(4)]) * 1e-3)
+
+
 def test_correlated_voters_share_their_weight():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
