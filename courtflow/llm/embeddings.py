@@ -28,7 +28,7 @@ LEADING, FIT_VECTORS, FIT_NUMBERS = 6, 10_000, 4_000_000
 #: Numbers in an Arrow batch, about.
 BATCH_NUMBERS = 1_000_000
 #: Vectors in a block, and in a stretch that is no longer halved.
-BLOCK, LEAF = 4096, 512
+BLOCK, LEAF = 1024, 512
 #: Neighbours that a home block meets in one deal.
 DEAL = 8
 

@@ -105,7 +105,7 @@ def test_embeddings(spark):
     rows += [(n + i, v, None) for i, v in enumerate(odd)] + [(None, rows[0][1], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash"))
     old = embeddings.BLOCK, embeddings.LEAF
-    for block, leaf in ((4096, 512), (16, 4)):
+    for block, leaf in ((1024, 512), (16, 4)):
         embeddings.BLOCK, embeddings.LEAF = block, leaf
         try:
             found = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
