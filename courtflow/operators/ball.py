@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtflow.operators.timeseries import _chained, asof_nearest, within_intervals
+
 TURN_COS, SLOWEST, NEXT_WITHIN, APART = 0.5, 0.05, 0.25, 0.12
 TOUCH = 0.06
 
@@ -51,7 +53,7 @@ def events(turned: DataFrame) -> DataFrame:
     kind = F.when(hit, "hit").when((F.col("vy0") > 0) & (F.col("vy1") < 0), "bounce").otherwise("wall")
     player = F.when(hit, F.col("wrist_player")) if has else F.lit(None).cast("int")
     row = F.struct("t", "seq", "x", "y", kind.alias("kind"), player.alias("player_id"))
-    kept = turned.groupBy("match_id").agg(F.array_sort(F.collect_list(row)).alias("a")).select(
+    kept = _chained(turned, ["match_id"], "t", APART).groupBy("match_id", "__chain").agg(F.array_sort(F.collect_list(row)).alias("a")).select(
         "match_id",
         F.aggregate(
             "a", F.slice("a", 1, 0),
@@ -61,21 +63,36 @@ def events(turned: DataFrame) -> DataFrame:
     return kept.select("match_id", F.inline("k")).select("match_id", "seq", "t", "x", "y", "kind", "player_id")
 
 
+def nearest_wrists(turned: DataFrame, wrists: DataFrame, visible: float = 0.3) -> DataFrame:
+    """Adds ``wrist_player`` and ``wrist_distance``: the wrist nearest to the ball in the frame nearest in time, else nulls.
+
+    wrists(match_id, t, player_id, x, y, visibility) has a row for each wrist of a frame;
+    of equally near ones the least player's counts.
+    """
+    at = asof_nearest(turned, wrists.select("match_id", "t").distinct(), ["match_id"], "t", [])
+    seen = wrists.where(F.col("visibility") > visible).select("match_id", F.col("t").alias("near_t"), "player_id", F.col("x").alias("wx"), F.col("y").alias("wy"))
+    reach = F.hypot(F.col("x") - F.col("wx"), F.col("y") - F.col("wy"))
+    best = at.join(seen, ["match_id", "near_t"]).groupBy("match_id", "seq").agg(F.min(F.struct(reach.alias("d"), "player_id")).alias("w"))
+    return turned.join(best, ["match_id", "seq"], "left").withColumns({"wrist_player": F.col("w.player_id"), "wrist_distance": F.col("w.d")}).drop("w")
+
+
 def annotated_shots(shots: DataFrame, found: DataFrame, track: DataFrame, far_y: float, far_depth: float) -> DataFrame:
     """Shots with ``confirmed`` and ``lob`` from ball events.
 
     A shot is confirmed by the first hit of its player within 0.4 s. It is a lob if at
     least three observations follow until the next event (2.5 s at most), the highest
-    above the lob line, and the shot isn't overhead. Hits are joined by player, flights
-    by the hit, which bounds both joins.
+    above the lob line, and the shot isn't overhead. ``found`` comes from ``events``,
+    whose rows are at least 0.12 s apart, so a hit's next event is the next row. Flights
+    and hits near a shot meet by time bins.
     """
-    hits = found.where("kind = 'hit'").select("match_id", "player_id", F.col("t").alias("hit_t"), F.col("seq").alias("hit_seq"))
-    ahead = found.select("match_id", F.col("t").alias("next_t"))
-    after = hits.join(ahead, "match_id").where("next_t > hit_t + 0.05").groupBy("match_id", "player_id", "hit_t", "hit_seq").agg(F.min("next_t").alias("next_t"))
-    hits = hits.join(after, ["match_id", "player_id", "hit_t", "hit_seq"], "left").withColumn("until", F.least(F.coalesce("next_t", F.lit(float("inf"))), F.col("hit_t") + 2.5))
-    flights = hits.join(track.select("match_id", "t", "y"), "match_id", "left").where("t > hit_t and t <= until").groupBy("match_id", "hit_seq").agg(F.count("*").alias("n"), F.min("y").alias("apex"))
-    hits = hits.join(flights, ["match_id", "hit_seq"], "left")
-    near = shots.select("match_id", "seq", "t", "player_id").join(hits, ["match_id", "player_id"]).where("abs(hit_t - t) < 0.4")
+    ahead = F.lead("t").over(Window.partitionBy("match_id").orderBy("t", "seq"))
+    until = F.least(F.coalesce("next_t", F.lit(float("inf"))), F.col("t") + 2.5)
+    hits = found.withColumn("next_t", ahead).where("kind = 'hit'").select("match_id", "player_id", F.col("t").alias("hit_t"), F.col("seq").alias("hit_seq"), until.alias("until"))
+    flown = within_intervals(track.select("match_id", "t", "y"), hits.drop("player_id"), ["match_id"], "t", "hit_t", "until", 2.5).where("t > hit_t")
+    flights = flown.groupBy("match_id", "hit_seq").agg(F.count("*").alias("n"), F.min("y").alias("apex"))
+    hits = hits.join(flights, ["match_id", "hit_seq"], "left").withColumns({"from_t": F.col("hit_t") - 0.4, "to_t": F.col("hit_t") + 0.4})
+    own_key = ["match_id", "player_id"]
+    near = within_intervals(shots.select("match_id", "seq", "t", "player_id"), hits, own_key, "t", "from_t", "to_t", 0.8).where("abs(hit_t - t) < 0.4")
     first = near.withColumn("__place", F.row_number().over(Window.partitionBy("match_id", "seq").orderBy("hit_t", "hit_seq"))).where("__place = 1")
     flown = F.coalesce((F.col("n") >= 3) & (F.col("apex") < far_y - 0.5 * far_depth), F.lit(False))
     marks = first.select("match_id", "seq", F.lit(True).alias("__hit"), flown.alias("__flown"))

@@ -56,7 +56,7 @@ def detected_seconds(frames, poses):
 
 @query("frames", "poses", "shots")
 def player_stats(frames, poses, shots):
-    renamed = shots.withColumn("match_id", F.col("match_id") % 25)
+    renamed = shots.withColumn("match_id", F.floor(F.col("seq") / 400))
     s = m.player_stats(frames, poses, renamed)
     return s.select(
         "match_id", "player_id", "team", "label", r6("distance"), r6("max_speed"), r6("tracked_seconds"), r6("avg_speed"), r6("share_net"), r6("share_transition"),
@@ -89,7 +89,7 @@ def canonical_ids(poses):
 
 @query("shots", "frames")
 def asof_nearest(shots, frames):
-    probes = shots.select((F.col("match_id") % 25).alias("match_id"), "seq", (F.col("seq") % 997 / F.lit(20.0)).alias("t"))
+    probes = shots.select(F.floor(F.col("seq") / 400).alias("match_id"), "seq", (F.col("seq") % 997 / F.lit(20.0)).alias("t"))
     return ts.asof_nearest(probes, frames, ["match_id"], "t", ["frame_no"]).select("match_id", "seq", r6("t"), r6("near_t"), F.col("near_frame_no").alias("frame_no"))
 
 
@@ -146,7 +146,7 @@ ORACLE_SQL = {
     "detected_seconds": with_tables(f", {FRAME_DT} select match_id, player_id, {s6('sum(dt)')} as detected_seconds from poses join timed using (match_id, frame_no) group by all", "poses", "frames"),
     "player_stats": with_tables(
         f""", {TRACK}, {FRAME_DT}, seen as (select match_id, player_id, sum(dt) as detected_seconds from poses join timed using (match_id, frame_no) group by all),
-        counts as (select match_id % 25 as match_id, player_id, count(*) filter (shot_type = 'forehand') as f, count(*) filter (shot_type = 'backhand') as b,
+        counts as (select seq // 400 as match_id, player_id, count(*) filter (shot_type = 'forehand') as f, count(*) filter (shot_type = 'backhand') as b,
                           count(*) filter (shot_type = 'overhead') as o, count(*) as n, avg(swing_speed) as s from shots group by all),
         moved as (select match_id, player_id, {_MOVES} as distance, coalesce(sum(case when {_REAL} then dt end), 0) as moving, coalesce(max(case when {_REAL} then dist / dt end), 0) as max_speed,
                          coalesce(sum(case when dt > 0 and dt <= 1 then dt end), 0) as tracked, avg(case when {ZONE.format('court_y')} = 'net' then 1 else 0 end) as zn,
@@ -185,7 +185,7 @@ ORACLE_SQL = {
         select * from best union all select rest.match_id, raw_id, player_id from rest join free using (match_id, pos)""", "poses",
     ),
     "asof_nearest": with_tables(
-        f""", p as (select match_id % 25 as match_id, seq, (seq % 997) / 20.0::double as t from shots),
+        f""", p as (select seq // 400 as match_id, seq, (seq % 997) / 20.0::double as t from shots),
         b as (select p.*, f.t as bt, f.frame_no as bf from p asof left join frames f on p.match_id = f.match_id and p.t >= f.t),
         a as (select b.*, f.t as nt, f.frame_no as af from b asof left join frames f on b.match_id = f.match_id and b.t <= f.t)
         select match_id, seq, {s6('t')} as t, {s6('case when bt is not null and (nt is null or t - bt < nt - t) then bt else nt end')} as near_t,

@@ -69,7 +69,7 @@ def rally_servers(shots, rallies):
 
 @query("rallies", "point_tags")
 def first_untagged(rallies, tags):
-    return p.first_untagged(rallies, tags.where("rally_idx % 4 <> 2"))
+    return p.first_untagged(rallies, tags.where("ending <> 'unforced'"))
 
 
 @query("point_tags")
@@ -100,7 +100,7 @@ def team_tactics(frames, poses):
 
 
 def _pattern_inputs(frames, poses, rallies):
-    own = rallies.where("match_id < 25").withColumns({"start_t": F.col("rally_idx") * 3.0, "end_t": F.col("rally_idx") * 3.0 + 4.5})
+    own = rallies.withColumns({"start_t": F.col("rally_idx") * 3.0, "end_t": F.col("rally_idx") * 3.0 + 4.5})
     return tc.rally_patterns(tc.paired_frames(frames, poses), own), own
 
 
@@ -235,7 +235,7 @@ pairs as (select *, case when a = b then a when (a = 'net' and b = 'back') or (a
 _TACTICS = f"""{_PAIRS}, tactics as (select match_id, team, sum(dt) as paired_seconds, {', '.join(f"sum(case when pattern = '{k}' then dt else 0 end) / sum(dt) as share_{k}" for k in ('net', 'mid', 'back', 'staggered', 'split'))},
   sum(sqrt(power(x0 - x1, 2) + power(y0 - y1, 2)) * dt) / sum(dt) as avg_spacing, sum(abs(abs(y0 - 10) - abs(y1 - 10)) * dt) / sum(dt) as avg_depth_gap, sum(abs(x0 - x1) * dt) / sum(dt) as avg_lateral_gap,
   count(*) filter (pattern = 'net' and not before) as net_takings from (select *, coalesce(lag(pattern) over (partition by match_id, team order by t, frame_no) = 'net', false) as before from pairs) group by 1, 2)"""
-_PATTERNS = f"""{_PAIRS}, own as (select match_id, rally_idx, rally_idx * 3.0::double as start_t, rally_idx * 3.0::double + 4.5::double as end_t from rallies where match_id < 25),
+_PATTERNS = f"""{_PAIRS}, own as (select match_id, rally_idx, rally_idx * 3.0::double as start_t, rally_idx * 3.0::double + 4.5::double as end_t from rallies),
 counted as (select o.match_id, rally_idx, team, pattern, count(*) as n, min(t) as first from pairs p join own o on p.match_id = o.match_id and p.t between o.start_t and o.end_t group by 1, 2, 3, 4),
 patterns as (select match_id, rally_idx, team, pattern from (select *, row_number() over (partition by match_id, rally_idx, team order by n desc, first) as k from counted) where k = 1)"""
 _REAL = "dt > 0 and dt <= 1 and dist / dt <= 8"
@@ -300,7 +300,7 @@ ORACLE_SQL = {
     "rally_servers": with_tables(
         f""", {_SERVES}, f as (select r.match_id, r.rally_idx, s.player_id, row_number() over (partition by r.match_id, r.rally_idx order by s.t, s.seq) as k from served s join rallies r on s.match_id = r.match_id and s.t between r.start_t and r.end_t)
         select r.match_id, r.rally_idx, case when player_id < 2 then 'A' when player_id >= 2 then 'B' end as server from rallies r left join f on f.match_id = r.match_id and f.rally_idx = r.rally_idx and k = 1""", "shots", "rallies"),
-    "first_untagged": with_tables("select match_id, min(rally_idx) as rally_idx from rallies where rally_idx % 4 = 2 group by 1", "rallies"),
+    "first_untagged": with_tables("select match_id, min(rally_idx) as rally_idx from rallies where rally_idx % 3 = 2 group by 1", "rallies"),
     "tag_upsert": with_tables("select match_id, count(*) as n, count(*) filter (case when rally_idx % 5 = 0 then winner = 'B' else winner = 'A' end) as a from point_tags where rally_idx % 5 <> 1 group by 1", "point_tags"),
     "shot_edit": with_tables("select match_id, case when seq % 10 = 0 then 'overhead' else shot_type end as shot_type, count(*) as n, count(*) filter (seq % 10 = 0) as n_edited from shots where seq % 10 <> 1 group by 1, 2", "shots"),
     "default_players": with_tables(

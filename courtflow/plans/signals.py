@@ -31,15 +31,15 @@ def ball_events(obs):
     return bl.events(bl.turns(obs)).select("match_id", "seq", r6("t"), "kind")
 
 
-def _hits(obs):
-    near = bl.turns(obs).withColumns({"wrist_player": (F.col("seq") % 4).cast("int"), "wrist_distance": (F.col("seq") % 5) / F.lit(50.0)})
-    return bl.events(near)
+@query("ball_obs", "wrists")
+def wrist_events(obs, wrists):
+    found = bl.events(bl.nearest_wrists(bl.turns(obs), wrists))
+    return found.select("match_id", "seq", r6("t"), "kind", "player_id")
 
 
-@query("ball_obs", "shots")
-def hit_confirm(obs, shots):
-    own = shots.where("match_id < 20").withColumn("t", (F.col("seq") % 160) / F.lit(10.0))
-    done = bl.annotated_shots(own, _hits(obs), obs, 0.6, 0.2)
+@query("ball_obs", "wrists", "ball_shots")
+def hit_confirm(obs, wrists, shots):
+    done = bl.annotated_shots(shots, bl.events(bl.nearest_wrists(bl.turns(obs), wrists)), obs, 0.8, 0.2)
     return done.select("match_id", "seq", F.col("confirmed").cast("int").alias("confirmed"), F.col("lob").cast("int").alias("lob"))
 
 
@@ -101,8 +101,7 @@ def coverage(frames, poses, matches):
     """Reliability of each match that has poses."""
     length = frames.groupBy("match_id").agg(F.greatest(F.max("t"), F.lit(1e-3)).alias("seconds"))
     share = lambda i: F.least(F.lit(1.0), F.coalesce(F.max(F.when(F.col("player_id") == i, F.col("detected_seconds"))), F.lit(0.0)) / F.first("seconds")).alias(f"share{i}")
-    thin = poses.where("not (match_id % 3 = 1 and player_id >= 2 and frame_no % 3 > 0)")
-    rows = m.detected_seconds(frames, thin).join(length, "match_id").groupBy("match_id").agg(*[share(i) for i in range(4)])
+    rows = m.detected_seconds(frames, poses).join(length, "match_id").groupBy("match_id").agg(*[share(i) for i in range(4)])
     facts = rows.withColumns({"calibrated": F.col("match_id") % 4 > 0, "ball": F.when(F.col("match_id") % 2 == 0, (F.col("match_id") % 7) / F.lit(20.0)), "confirmed": F.lit(0.2)})
     out = ru.reliability(facts)
     return out.select("match_id", r6("mean_share"), r6("min_share"), "grade", F.array_join("tips", ",").alias("tips"))
@@ -137,7 +136,7 @@ def trimmed_turns(spark, sf_dir):
 
 
 _names = (
-    "clean_track turn_points ball_events hit_confirm ball_coverage ball_trail running_median onset_pops pop_usability sound_envelope clip_budget key_shots thinned_shots pair_insights "
+    "clean_track turn_points ball_events wrist_events hit_confirm ball_coverage ball_trail running_median onset_pops pop_usability sound_envelope clip_budget key_shots thinned_shots pair_insights "
     "coverage takeaways next_steps trimmed_turns"
 )
 QUERIES = {n: globals()[n] for n in _names.split()}
@@ -149,8 +148,13 @@ turns as (select * from turned where sqrt(vx0 * vx0 + vy0 * vy0) >= 0.05 and sqr
   and (vx0 * vx1 + vy0 * vy1) / (sqrt(vx0 * vx0 + vy0 * vy0) * sqrt(vx1 * vx1 + vy1 * vy1)) <= 0.5)"""
 _EVENTS = f"""{_TURNS}, times as (with recursive k as (select match_id, min(t) as t from turns group by 1 union all
   select k.match_id, (select min(u.t) from turns u where u.match_id = k.match_id and u.t > k.t and not (u.t - k.t < 0.12)) from k where k.t is not null) select * from k where t is not null),
-events as (select u.*, case when (seq % 5) / 50.0::double < 0.06 then 'hit' when vy0 > 0 and vy1 < 0 then 'bounce' else 'wall' end as near_kind, case when vy0 > 0 and vy1 < 0 then 'bounce' else 'wall' end as kind
-  from turns u join times using (match_id, t))"""
+events as (select u.*, case when vy0 > 0 and vy1 < 0 then 'bounce' else 'wall' end as kind from turns u join times using (match_id, t))"""
+_WRISTS = f"""{_EVENTS}, wt as (select distinct match_id, t from wrists),
+  wb as (select e.*, f.t as bt from events e asof left join wt f on e.match_id = f.match_id and e.t >= f.t),
+  wa as (select wb.*, f.t as nt from wb asof left join wt f on wb.match_id = f.match_id and wb.t <= f.t),
+  beside as (select *, case when bt is not null and (nt is null or t - bt < nt - t) then bt else nt end as near_t from wa),
+  best as (select a.match_id, a.seq, min({{'d': sqrt(power(a.x - w.x, 2) + power(a.y - w.y, 2)), 'p': w.player_id}}) as w from beside a join wrists w on w.match_id = a.match_id and w.t = a.near_t and w.visibility > 0.3 group by 1, 2),
+  seen as (select e.*, case when w.d < 0.06 then 'hit' else kind end as near_kind, case when w.d < 0.06 then w.p end as player_id from events e left join best using (match_id, seq))"""
 _RATIO = """medians as (select *, list_sort(list(env) over (partition by match_id order by hop rows between 25 preceding and 25 following)) as l from audio_env),
 ratios as (select match_id, hop, env, l[len(l) // 2 + 1] as median, env / (l[len(l) // 2 + 1] + 0.000001) as ratio from medians),
 peaks as (select match_id, hop * 0.01::double as t, ratio as v, row_number() over (partition by match_id order by hop) as i from (select *, lag(ratio) over w as a, lead(ratio) over w as c from ratios window w as (partition by match_id order by hop))
@@ -166,7 +170,7 @@ _FACTS = """facts as (select match_id as k, case when match_id % 5 > 0 then matc
   ((match_id * 7 + 1) % 8) / 30.0::double as split, match_id % 3 = 0 as gap, match_id % 4 as checked, least(match_id % 4, match_id % 3) as missed, match_id % 6 as chances, match_id % 2 as breaks, match_id % 7 as unforced,
   match_id % 5 as winners, case match_id % 3 when 0 then 'good' when 1 then 'fair' else 'poor' end as grade from (select distinct match_id from shots))"""
 _DET = """timed as (select *, coalesce(least(1, greatest(0, lead(t) over (partition by match_id order by t, frame_no) - t)), 0) as dt from frames),
-det as (select match_id, player_id, sum(dt) as d from poses join timed using (match_id, frame_no) where not (match_id % 3 = 1 and player_id >= 2 and frame_no % 3 > 0) group by 1, 2),
+det as (select match_id, player_id, sum(dt) as d from poses join timed using (match_id, frame_no) group by 1, 2),
 cov as (select match_id, """ + ", ".join(f"least(1, coalesce(max(case when player_id = {i} then d end), 0) / any_value(s)) as s{i}" for i in range(4)) + """ from det join (select match_id, greatest(max(t), 0.001) as s from frames group by 1) using (match_id) group by 1),
 facts as (select *, match_id % 4 > 0 as cal, case when match_id % 2 = 0 then (match_id % 7) / 20.0::double end as ball, (s0 + s1 + s2 + s3) / 4 as mean, least(s0, s1, s2, s3) as low from cov)"""
 
@@ -178,12 +182,13 @@ ORACLE_SQL = {
     "turn_points": with_tables(f", {_TURNS} select match_id, seq, {s6('vx0')} as vx0, {s6('vy0')} as vy0, {s6('vx1')} as vx1, {s6('vy1')} as vy1 from turns", "ball_obs"),
     "ball_events": with_tables(f", {_EVENTS} select match_id, seq, {s6('t')} as t, kind from events", "ball_obs"),
     "hit_confirm": with_tables(
-        f""", {_EVENTS}, own as (select match_id, seq, player_id, shot_type, (seq % 160) / 10.0::double as t from shots where match_id < 20),
-        hits as (select match_id, seq as hseq, t as ht, seq % 4 as player_id, least(coalesce((select min(e.t) from events e where e.match_id = h.match_id and e.t > h.t + 0.05), 1e9), h.t + 2.5) as until from events h where near_kind = 'hit'),
+        f""", {_WRISTS}, own as (select * from ball_shots),
+        hits as (select match_id, seq as hseq, t as ht, player_id, least(coalesce((select min(e.t) from events e where e.match_id = h.match_id and e.t > h.t + 0.05), 1e9), h.t + 2.5) as until from seen h where near_kind = 'hit'),
         flown as (select h.match_id, hseq, count(*) as n, min(y) as apex from hits h join ball_obs o on o.match_id = h.match_id and o.t > ht and o.t <= until group by 1, 2),
         near as (select o.match_id, o.seq, h.hseq, row_number() over (partition by o.match_id, o.seq order by ht, hseq) as k from own o join hits h on h.match_id = o.match_id and h.player_id = o.player_id and abs(ht - o.t) < 0.4)
-        select o.match_id, o.seq, case when k is null then 0 else 1 end as confirmed, case when f.n >= 3 and f.apex < 0.6 - 0.5 * 0.2 and shot_type <> 'overhead' then 1 else 0 end as lob
-        from own o left join near on near.match_id = o.match_id and near.seq = o.seq and k = 1 left join flown f on f.match_id = near.match_id and f.hseq = near.hseq""", "ball_obs", "shots"),
+        select o.match_id, o.seq, case when k is null then 0 else 1 end as confirmed, case when f.n >= 3 and f.apex < 0.8 - 0.5 * 0.2 and shot_type <> 'overhead' then 1 else 0 end as lob
+        from own o left join near on near.match_id = o.match_id and near.seq = o.seq and k = 1 left join flown f on f.match_id = near.match_id and f.hseq = near.hseq""", "ball_obs", "wrists", "ball_shots"),
+    "wrist_events": with_tables(f", {_WRISTS} select match_id, seq, {s6('t')} as t, near_kind as kind, player_id from seen", "ball_obs", "wrists"),
     "ball_coverage": with_tables(f"select match_id, {s6('coalesce(sum(case when dt > 0 and dt < 0.2 then dt end), 0)')} as covered from (select match_id, t - lag(t) over (partition by match_id order by t, seq) as dt from ball_obs) group by 1", "ball_obs"),
     "ball_trail": with_tables(f"select match_id, seq, {s6('1 - (5 - t) / 0.5')} as alpha from ball_obs where t between 4.5 and 5", "ball_obs"),
     "running_median": with_tables(f", {_RATIO} select match_id, hop, {s6('median')} as median from ratios", "audio_env"),

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtflow.functions.geometry import on_court
 from courtflow.operators import tracking as tr
 from courtflow.plans.shared import query, r6
 from courtflow.streaming import live
@@ -16,7 +17,7 @@ from courtflow.streaming import live
 @query("poses")
 def identity_tracks(poses):
     """How often the tracker's slots agree with the players that detections came from."""
-    seen = poses.where("court_x < 12").select("match_id", "t", ((F.col("player_id") * 7 + F.col("frame_no")) % 4).cast("int").alias("seq"), F.col("court_x").alias("x"), F.col("court_y").alias("y"))
+    seen = poses.where(on_court(F.col("court_x"), F.col("court_y"))).select("match_id", "t", ((F.col("player_id") * 7 + F.col("frame_no")) % 4).cast("int").alias("seq"), F.col("court_x").alias("x"), F.col("court_y").alias("y"))
     return tr.identified(seen).groupBy("match_id", "player_id").agg(F.count("*").alias("n"), r6(F.avg("x"), "x"))
 
 
@@ -25,13 +26,20 @@ def ball_tracks(obs):
     return tr.ball_track(obs.select("match_id", "t", "x", "y")).groupBy("match_id").agg(F.count("*").alias("n"), r6(F.min("t"), "first"), r6(F.max("t"), "last"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or tempfile.mkdtemp(prefix="courtflow-")).rstrip("/")
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of events per user without a pause over 40,000 s, by a stream that reads the table once and ends.
 
     The sessions still open at the end count too, so the sink takes the complete state.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="courtflow-")
-    path = f"{base.rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
     source = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*").select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("ts"))
     sessions = live.rallies(events, "40000 seconds", "1 hour")

@@ -28,6 +28,8 @@ TABLES = {
                     else 10 - cast((event_id * 91) % 1000 as double) / 100 end as court_y,
                event_id % 3 = 0 as confirmed, event_id % 7 = 0 and event_type <> 'purchase' as lob
         from events""",
+    "ball_shots": """
+        select seq {div} 500 as match_id, seq, (seq % 500) / cast(30 as double) as t, player_id, shot_type, swing_speed, court_x, court_y from ({shots}) as s""",
     "frames": """
         select match_id, frame_no, cast(frame_no as double) / 2 as t
         from (select distinct event_id {div} 400 as match_id, (event_id % 400) {div} 4 as frame_no from events) as f""",
@@ -43,12 +45,26 @@ TABLES = {
     "point_feed": """
         select match_id, rally_idx, case when (e * e + v) % 5 < 3 then 'A' else 'B' end as winner,
                case when event_type = 'signup' then case when e % 2 = 0 then 'A' else 'B' end end as server
-        from (select user_id % 10 as match_id, event_id as e, {hundred} as v, event_type,
-                     row_number() over (partition by user_id % 10 order by event_id) - 1 as rally_idx from events) as p""",
+        from (select event_id {div} 400 as match_id, event_id as e, {hundred} as v, event_type,
+                     row_number() over (partition by event_id {div} 400 order by event_id) - 1 as rally_idx from events) as p""",
     "ball_obs": f"""
         select event_id {{div}} 500 as match_id, event_id % 500 as seq, cast(event_id % 500 as double) / 30 as t,
                cast({_tri('2 * event_id', 120)} as double) / 60 as x, cast({_tri('3 * event_id', 40)} as double) / 40 + cast(0.1 as double) as y
         from events where event_id % 13 <> 0""",
+    "wrists": f"""
+        select event_id {{div}} 500 as match_id, cast(event_id % 500 as double) / 30 as t, cast(event_id % 4 as {{int}}) as player_id,
+               cast({_tri('2 * event_id', 120)} as double) / 60 + cast((event_id * 7) % 11 - 5 as double) / 60 as x,
+               cast({_tri('3 * event_id', 40)} as double) / 40 + cast(0.1 as double) + cast((event_id * 5) % 9 - 4 as double) / 60 as y,
+               cast(event_id % 10 as double) / 10 as visibility
+        from events where event_id % 13 <> 5""",
+    "bodies": """
+        select match_id, frame_no, t, player_id, court_x, court_y, cast(0.2 as double) + player_id / cast(5 as double) + (e % 5) / cast(500 as double) as cx, cast(0.5 as double) + (e % 9) / cast(300 as double) as cy,
+               cast((e * 37) % 200 - 100 as double) / 500 + (court_x - floor(court_x)) / 50 as w0x, cast((e * 53) % 240 - 140 as double) / 700 as w0y, case when e % 7 = 0 then cast(0.2 as double) else cast(0.9 as double) end as w0v,
+               cast((e * 91) % 220 - 110 as double) / 500 as w1x, cast((e * 29) % 250 - 150 as double) / 700 - (court_x - floor(court_x)) / 30 as w1y, case when e % 6 = 1 then cast(0.3 as double) else cast(0.8 as double) end as w1v
+        from (select *, frame_no * 4 + match_id * 400 + player_id as e from ({poses}) as p) as b""",
+    "heard": """
+        select event_id {div} 400 as match_id, cast((event_id % 400) {div} 4 as double) / 2 + cast(event_id % 3 as double) / 10 as t
+        from events where event_id % 9 = 4""",
     "audio_env": """
         select event_id {div} 1000 as match_id, event_id % 1000 as hop, value as env from events""",
     "matches": """
