@@ -291,3 +291,63 @@ def test_long_urls_and_templates(spark):
     found = urlrules.judged(pages, labels).collect()
     assert len(found) == 404 and all((r.verdict == "block") == (r.page_id is None or r.page_id < 300 and r.page_id % 3 == 0 and "other" not in r.path) for r in found)
     assert {r.mined for r in found if r.verdict == "block"} == {"q:sess"}
+
+
+def test_pipeline_stages_are_brute_force(spark):
+    import hashlib
+
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from courtflow.llm import langid, mixing, quality
+    from courtflow.llm.shared import held_out
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    copies = docs.where("n_chars > 400").orderBy("doc_id").limit(3).selectExpr("doc_id + 100000 as doc_id", "concat(text, ' and one more') as text", "lang", "source", "n_chars")
+    docs = docs.unionByName(copies.select(docs.columns)).cache()
+
+    def sql(query, table):
+        con = duckdb.connect()
+        con.register("documents", table.toPandas())
+        return con.execute(query).df()
+
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    # quality: the recursive SQL
+    want = sql(quality.oracle(), docs)
+    good = stages["quality rules"](spark, docs, sf_dir).cache()
+    assert ids(good) == sorted(want[want.kept].doc_id) and 0 < good.count() < docs.count()
+    # language: one text at a time under the fitted model
+    model = langid.fit(good, ~held_out())
+    found = {r.doc_id: langid.Identifier(model).predict([r.text])[0] for r in good.collect()}
+    known = stages["language id"](spark, good, sf_dir).cache()
+    assert ids(known) == sorted(i for i, (lang, score) in found.items() if lang != "und" and score >= 0.5)
+    # near copies: every pair of shingle sets
+    rows = known.orderBy("doc_id").select("doc_id", "text").collect()
+    sets = []
+    for r in rows:
+        w = r.text.encode().lower().split()
+        sets.append(set(zip(*(w[i:] for i in range(5)), strict=False)) or {tuple(w)})
+    near = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    top = roots(len(rows), near)
+    single = stages["simhash near-dedup"](spark, known, sf_dir).cache()
+    assert ids(single) == sorted(r.doc_id for i, r in enumerate(rows) if top[i] == i) and single.count() < known.count()
+    # mixing: one running sum over hashes
+    want = sql(mixing.ORACLE, single)
+    mixed = stages["mixing"](spark, single, sf_dir).cache()
+    assert Counter(ids(mixed)) == Counter({int(r.doc_id): int(r.taken // r.size) for r in want.itertuples() if r.taken})
+    # token ids: the library
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    coded = [(r.doc_id, t.encode(r.text, add_special_tokens=False).ids) for r in mixed.collect()]
+    want = Counter((d, len(i), sha(" ".join(map(str, i))), sha(t.decode(i, skip_special_tokens=False))) for d, i in coded)
+    assert Counter(map(tuple, stages["bpe"](spark, mixed, sf_dir).collect())) == want
+
+
+def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
+    for name, docs in (("odd", awkward_docs(spark, clashing=False)), ("none", no_docs(spark))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
