@@ -102,7 +102,7 @@ def surface_color(pixels: DataFrame, width: int, height: int) -> DataFrame:
 def carpet_mask(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Pixels of the surface's colour, gaps of lines and net closed (dilated, then eroded)."""
     alike = (F.hypot(F.col("cr") - F.col("sr"), F.col("cg") - F.col("sg")) < 0.045) & (F.col("lum") > F.col("sl") * 0.45) & (F.col("lum") < F.col("sl") * 1.8)
-    seen = pixels.withColumns(chroma(F.col("r"), F.col("g"), F.col("b"))).join(F.broadcast(surface_color(pixels, width, height)), FRAME)
+    seen = pixels.withColumns(chroma(F.col("r"), F.col("g"), F.col("b"))).join(surface_color(pixels, width, height), FRAME)
     seen = seen.select(*FRAME, "y", "x", alike.cast("int").alias("on"))
     reach = max(2, round(width / 110))
     for f in (F.max, F.min):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from courtflow.plans import bodies, movement, points, review, signals, stateful
+from courtflow.plans import bodies, movement, pictures, points, review, signals, stateful
 
-_PARTS = (bodies, movement, points, review, signals, stateful)
+_PARTS = (bodies, movement, pictures, points, review, signals, stateful)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

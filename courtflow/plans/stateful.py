@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from courtflow.functions.geometry import on_court
 from courtflow.operators import tracking as tr
 from courtflow.plans.shared import query, r6
+from courtflow.sources.store import Checkpoint, MatchStore
+from courtflow.sources.surrogate import table, with_tables
 from courtflow.streaming import live
 
 
@@ -49,9 +51,48 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("match_id", "n_shots", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
-QUERIES = {"identity_tracks": identity_tracks, "ball_tracks": ball_tracks, "streamed_sessions": streamed_sessions}
+@query("known_players")
+def known_identities(seen):
+    """Four players who keep their places, listed in another order in each frame: the tracker must tell who is who."""
+    found = tr.identified(seen.select("match_id", "t", "seq", "x", "y"))
+    return found.groupBy("match_id", "player_id").agg(F.count("*").alias("n"), r6(F.sum("x"), "x"), r6(F.sum("y"), "y"))
+
+
+@query("known_ball")
+def known_ball(seen):
+    """One ball that flies and a spot that stays: the track is the flight."""
+    return tr.ball_track(seen.select("match_id", "t", "x", "y")).groupBy("match_id").agg(F.count("*").alias("n"), r6(F.min("t"), "first"), r6(F.max("t"), "last"), r6(F.sum("x"), "x"), F.max("seq").alias("last_seq"))
+
+
+def saved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches saved, saved again in part with other values, read back newest first and slim."""
+    store = MatchStore(spark, f"{shared_folder(spark)}/matches-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "matches").select("created_at", "me", F.lit("first").alias("title"), F.array(F.lit(1.0)).alias("frames"), "match_id")
+    store.save(rows)
+    store.save(rows.where("me is not null").withColumn("title", F.concat(F.lit("again "), "me")))
+    return store.list(rows.drop("frames").schema).select("match_id", "created_at", "title")
+
+
+def joined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames saved in four chunks and joined again; a job with a chunk missing gives none."""
+    chunks = Checkpoint(spark, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}")
+    frames = table(spark, sf_dir, "frames")
+    quarter = F.floor(F.col("t") / 12.5)
+    for i in range(4):
+        chunks.append("whole", i, frames.where(quarter == i))
+        if i != 2:
+            chunks.append("torn", i, frames.where(quarter == i))
+    whole, torn = chunks.load("whole", 4), chunks.load("torn", 4)
+    return whole.groupBy("match_id").agg(F.count("*").alias("n"), r6(F.max("t"), "last"), F.lit(torn is None).cast("int").alias("torn"))
+
+
+QUERIES = {"known_identities": known_identities, "known_ball": known_ball, "saved_matches": saved_matches, "joined_chunks": joined_chunks, "identity_tracks": identity_tracks, "ball_tracks": ball_tracks, "streamed_sessions": streamed_sessions}
 
 ORACLE_SQL = {
+    "known_identities": with_tables("select match_id, place as player_id, count(*) as n, floor(sum(x) * 1000000 + 0.5) / 1000000 as x, floor(sum(y) * 1000000 + 0.5) / 1000000 as y from known_players group by 1, 2", "known_players"),
+    "known_ball": with_tables("select match_id, count(*) as n, floor(min(t) * 1000000 + 0.5) / 1000000 as first, floor(max(t) * 1000000 + 0.5) / 1000000 as last, floor(sum(x) * 1000000 + 0.5) / 1000000 as x, count(*) - 1 as last_seq from known_ball where moving group by 1", "known_ball"),
+    "saved_matches": with_tables("select match_id, created_at, case when me is null then 'first' else 'again ' || me end as title from matches", "matches"),
+    "joined_chunks": with_tables("select match_id, count(*) as n, max(t) as last, 1 as torn from frames where t < 50 group by 1", "frames"),
     "streamed_sessions": """
         select match_id, count(*) as n_shots, min(us) as start_us, max(us) as last_us
         from (select *, sum(case when gap > 40000000000 then 1 else 0 end) over (partition by match_id order by us, event_id rows unbounded preceding) as island

@@ -65,6 +65,19 @@ TABLES = {
     "heard": """
         select event_id {div} 400 as match_id, cast((event_id % 400) {div} 4 as double) / 2 + cast(event_id % 3 as double) / 10 as t
         from events where event_id % 9 = 4""",
+    "pixels": """
+        select match_id, frame_no, y, x, case when ball then 200 + e % 9 when court then 30 + e % 11 else 60 + (x * 3 + y * 5 + frame_no * 23) % 60 end as r,
+               case when ball then 220 - e % 7 when court then 90 + e % 13 else 62 + (x * 3 + y * 5 + frame_no * 23) % 60 end as g,
+               case when ball then 60 + e % 5 when court then 190 + e % 17 else 58 + (x * 3 + y * 5 + frame_no * 23) % 60 end as b
+        from (select *, (x + frame_no * 3) % 20 in (4, 5) and y in (3, 4) or e % 83 = 0 as ball, y >= 8 and x >= 3 and x <= 16 and e % 19 <> 3 as court
+              from (select event_id as e, event_id {div} 4000 as match_id, (event_id {div} 400) % 10 as frame_no, (event_id % 400) {div} 20 as y, event_id % 20 as x from events) as p) as q""",
+    "known_ball": """
+        select event_id {div} 100 as match_id, cast(event_id % 100 as double) / 30 as t, case when event_id % 5 = 0 then cast(0.9 as double) else cast(0.05 as double) + cast(0.008 as double) * (event_id % 100) end as x,
+               case when event_id % 5 = 0 then cast(0.95 as double) else cast(0.4 as double) + cast(0.001 as double) * (event_id % 100) end as y, event_id % 5 <> 0 as moving from events""",
+    "known_players": """
+        select event_id {div} 400 as match_id, cast((event_id % 400) {div} 4 as double) / 2 as t, cast(event_id % 4 as {int}) as seq, place,
+               case when place % 2 = 0 then cast(2.5 as double) else cast(7.5 as double) end + value / cast(500 as double) as x, case when place < 2 then cast(15 as double) else cast(5 as double) end + value / cast(400 as double) as y
+        from (select *, cast((event_id % 4 + ((event_id % 400) {div} 4) * 3) % 4 as {int}) as place from events) as p""",
     "audio_env": """
         select event_id {div} 1000 as match_id, event_id % 1000 as hop, value as env from events""",
     "matches": """
