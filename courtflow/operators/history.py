@@ -77,21 +77,35 @@ def trends(metrics: DataFrame, names: list[str]) -> DataFrame:
     return ends.where("n >= 2").withColumn("change", F.col("last") - F.col("first"))
 
 
-def goal_results(metrics: DataFrame, goals: DataFrame) -> DataFrame:
+def trend_axes(trends: DataFrame) -> DataFrame:
+    """Adds axis_low, axis_high and rising to trends: one unit to each side where all values are alike; no change counts as rising."""
+    flat = F.col("high") - F.col("low") < 1e-9
+    axis = {"axis_low": F.when(flat, F.col("low") - 1).otherwise(F.col("low")), "axis_high": F.when(flat, F.col("high") + 1).otherwise(F.col("high"))}
+    return trends.withColumns(axis).withColumn("rising", F.col("last") >= F.col("first"))
+
+
+def latest(metrics: DataFrame, most: int = 8) -> DataFrame:
+    """Each owner's newest ``most`` matches; of matches of one time those with the greater id come first."""
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("match_id")))
+    return metrics.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def goal_results(metrics: DataFrame, goals: DataFrame, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
     """(match_id, metric, target, value, met) for every match and goal; met is null if it can't be measured.
 
-    goals(metric, target) is a short list, repeated for each match by an explode of its rows.
+    goals(metric, target); Spark broadcasts it where its size is known to be small. Other
+    columns of metrics are kept if ``keys`` names them.
     """
     pairs = ", ".join(f"'{n}', cast(`{c}` as double)" for n, c in {"split": "split", "netTogether": "together", "netTime": "net", "unforced": "unforced_count", "winners": "winners", "breakPoints": "break_points", "distance": "pace"}.items())
-    values = metrics.selectExpr("match_id", f"stack({len(GOALS)}, {pairs}) as (metric, value)")
+    values = metrics.selectExpr(*keys, f"stack({len(GOALS)}, {pairs}) as (metric, value)")
     most = F.col("metric").isin([m for m, (up_to, *_) in GOALS.items() if up_to])
     met = F.when(F.col("value").isNotNull(), F.when(most, F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target")))
-    return values.join(F.broadcast(goals), "metric").select("match_id", "metric", "target", "value", met.alias("met"))
+    return values.join(goals, "metric").select(*keys, "metric", "target", "value", met.alias("met"))
 
 
-def goals_met(results: DataFrame) -> DataFrame:
-    """(metric, met, checked): matches that met a goal, of those where it could be measured."""
-    return results.groupBy("metric").agg(F.sum(F.when(F.col("met"), 1).otherwise(0)).cast("bigint").alias("met"), F.count("met").alias("checked"))
+def goals_met(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, met, checked): matches that met a goal, of those where it could be measured; by ``keys`` too where given."""
+    return results.groupBy(*keys, "metric").agg(F.sum(F.when(F.col("met"), 1).otherwise(0)).cast("bigint").alias("met"), F.count("met").alias("checked"))
 
 
 def _record(won: Column, decided: Column) -> list[Column]:

@@ -109,6 +109,23 @@ def rally_patterns(frames, poses, rallies):
     return _pattern_inputs(frames, poses, rallies)[0]
 
 
+@query("frames", "poses")
+def swapped_tactics(frames, poses):
+    """Tactics after two players of different pairs were exchanged from a time on."""
+    t = tc.team_tactics(tc.paired_frames(frames, m.swapped(poses, 0, 2, 20.0)))
+    return t.select("match_id", "team", r6("paired_seconds"), r6("share_net"), r6("share_split"), r6("avg_spacing"), "net_takings")
+
+
+@query("frames", "poses", "rallies")
+def swapped_patterns(frames, poses, rallies):
+    return _pattern_inputs(frames, m.swapped(poses, 0, 2, 20.0), rallies)[0]
+
+
+@query("shots")
+def swapped_shots(shots):
+    return m.shot_counts(m.swapped(shots, 0, 2, 20.0)).select("match_id", "player_id", "total_shots", r6("avg_swing_speed"))
+
+
 @query("frames", "poses", "rallies", "point_tags")
 def point_rates(frames, poses, rallies, tags):
     patterns, own = _pattern_inputs(frames, poses, rallies)
@@ -185,18 +202,34 @@ def trend_metrics(*tables):
     return t.select("owner", "metric", "n", r6("low"), r6("high"), r6("first"), r6("last"), r6("change"))
 
 
+@query("matches", "frames", "poses", "rallies", "point_tags")
+def trend_axes(*tables):
+    t = h.trend_axes(h.trends(_metrics(*tables), ["net", "together", "split", "pace", "won"]))
+    return t.select("owner", "metric", r6("axis_low"), r6("axis_high"), F.col("rising").cast("int").alias("rising"))
+
+
+def _goals(spark):
+    return spark.createDataFrame([(k, v[1]) for k, v in h.GOALS.items()], "metric string, target double")
+
+
+@query("matches", "frames", "poses", "rallies", "point_tags")
+def goal_board(*tables):
+    """Goals met in each owner's newest eight matches."""
+    recent = h.latest(_metrics(*tables))
+    return h.goals_met(h.goal_results(recent, _goals(recent.sparkSession), ("owner", "match_id")), ("owner",))
+
+
 @query("matches", "frames", "poses", "rallies", "point_tags")
 def goal_grid(*tables):
     metrics = _metrics(*tables)
-    goals = metrics.sparkSession.createDataFrame([(k, v[1]) for k, v in h.GOALS.items()], "metric string, target double")
+    goals = _goals(metrics.sparkSession)
     return h.goal_results(metrics, goals).select("match_id", "metric", "target", r6("value"), F.col("met").cast("int").alias("met"))
 
 
 @query("matches", "frames", "poses", "rallies", "point_tags")
 def goals_met(*tables):
     metrics = _metrics(*tables)
-    goals = metrics.sparkSession.createDataFrame([(k, v[1]) for k, v in h.GOALS.items()], "metric string, target double")
-    return h.goals_met(h.goal_results(metrics, goals))
+    return h.goals_met(h.goal_results(metrics, _goals(metrics.sparkSession)))
 
 
 @query("shots")
@@ -220,7 +253,7 @@ def local_peaks(shots):
 _names = (
     "rallies longest_rallies hardest_swings highlight_filter shot_mix match_kpis last_hitters serve_marking rally_servers first_untagged tag_upsert shot_edit default_players "
     "team_tactics rally_patterns point_rates point_scores point_endings score_match match_winner people_records my_record match_metrics usual_vs_now trend_metrics goal_grid "
-    "goals_met cooldown_peaks debounced_shots local_peaks"
+    "goals_met cooldown_peaks debounced_shots local_peaks trend_axes goal_board swapped_tactics swapped_patterns swapped_shots"
 )
 QUERIES = {n: globals()[n] for n in _names.split()}
 
@@ -252,6 +285,7 @@ _MELT = lambda names: " union all ".join(f"select match_id, created_at, demo, ow
 _GOALS = f""", goals(metric, target, most) as (values {', '.join(f"('{k}', {v[1]}::double, {str(v[0]).lower()})" for k, v in h.GOALS.items())}),
 vals as ({_MELT({'split': 'split', 'netTogether': 'together', 'netTime': 'net', 'unforced': 'unforced_count', 'winners': 'winners', 'breakPoints': 'break_points', 'distance': 'pace'})}),
 graded as (select match_id, metric, target, value, case when value is not null then case when most then value <= target else value >= target end end as met from vals join goals using (metric))"""
+_SWAPPED = "swapped as (select * replace (case when t >= 20 and player_id = 0 then 2 when t >= 20 and player_id = 2 then 0 else player_id end as player_id) from {0})"
 _M_TABLES = ("matches", "frames", "poses", "rallies", "point_tags")
 _WON = "case when m.match_id % 5 = 0 then null when m.match_id % 5 < 3 then 'A' else 'B' end"
 _wins = lambda a, b: f"(case when tb then {a} >= 7 and {a} - {b} >= 2 else {a} >= 4 and {a} - {b} >= case when golden then 1 else 2 end end)"
@@ -332,6 +366,17 @@ ORACLE_SQL = {
         f"""{_METRICS}, long as ({_MELT({c: c for c in ('net', 'together', 'split', 'pace', 'won')})})
         select owner, metric, count(*) as n, {s6('min(value)')} as low, {s6('max(value)')} as high, {s6('first(value order by created_at, match_id)')} as first, {s6('last(value order by created_at, match_id)')} as last,
                {s6('last(value order by created_at, match_id) - first(value order by created_at, match_id)')} as change from long where value is not null and not demo group by 1, 2 having count(*) >= 2""", *_M_TABLES),
+    "trend_axes": with_tables(
+        f"""{_METRICS}, long as ({_MELT({c: c for c in ('net', 'together', 'split', 'pace', 'won')})}),
+        ends as (select owner, metric, min(value) as low, max(value) as high, arg_min(value, (created_at, match_id)) as a, arg_max(value, (created_at, match_id)) as b from long where value is not null and not demo group by 1, 2 having count(*) >= 2)
+        select owner, metric, {s6('case when high - low < 1e-9 then low - 1 else low end')} as axis_low, {s6('case when high - low < 1e-9 then high + 1 else high end')} as axis_high, (b >= a)::integer as rising from ends""", *_M_TABLES),
+    "goal_board": with_tables(
+        f"""{_METRICS}{_GOALS}, recent as (select match_id, owner from metrics qualify row_number() over (partition by owner order by created_at desc, match_id desc) <= 8)
+        select owner, metric, count(*) filter (met) as met, count(met) as checked from graded join recent using (match_id) group by 1, 2""", *_M_TABLES),
+    "swapped_tactics": with_tables(
+        f", {_SWAPPED.format('poses')}, {_TACTICS.replace('from poses', 'from swapped')} select match_id, team, {', '.join(f'{s6(c)} as {c}' for c in ('paired_seconds', 'share_net', 'share_split', 'avg_spacing'))}, net_takings from tactics", "frames", "poses"),
+    "swapped_patterns": with_tables(f", {_SWAPPED.format('poses')}, {_PATTERNS.replace('from poses', 'from swapped')} select * from patterns", "frames", "poses", "rallies"),
+    "swapped_shots": with_tables(f", {_SWAPPED.format('shots')} select match_id, player_id, count(*) as total_shots, {s6('avg(swing_speed)')} as avg_swing_speed from swapped group by 1, 2", "shots"),
     "goal_grid": with_tables(f"{_METRICS}{_GOALS} select match_id, metric, target, {s6('value')} as value, met::integer as met from graded", *_M_TABLES),
     "goals_met": with_tables(f"{_METRICS}{_GOALS} select metric, count(*) filter (met) as met, count(met) as checked from graded group by 1", *_M_TABLES),
     "local_peaks": with_tables(f", {_PEAKS} select match_id, seq, {s6('swing_speed')} as swing_speed from peaks", "shots"),
