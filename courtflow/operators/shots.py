@@ -164,6 +164,15 @@ def pose_box(landmarks: Column) -> Column:
     return F.struct(*[f(every(c)).alias(f"{c}{e}") for c in "xy" for e, f in (("0", F.array_min), ("1", F.array_max))])
 
 
+def padded_box(landmarks: Column) -> Column:
+    """x0, y0, x1, y1 around a player's visible landmarks with some room, in which no ball is looked for; all 0 if none is visible."""
+    seen = F.filter(landmarks, lambda p: p["visibility"] > 0.2)
+    end = lambda c, f: f(F.transform(seen, lambda p: p[c]))
+    tall = end("y", F.array_max) - end("y", F.array_min)
+    sides = {"x0": end("x", F.array_min) - tall * 0.12, "y0": end("y", F.array_min) - tall * 0.1, "x1": end("x", F.array_max) + tall * 0.12, "y1": end("y", F.array_max) + tall * 0.05}
+    return F.struct(*[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sides.items()])
+
+
 def same_person(a: Column, b: Column) -> Column:
     """Whether two poses show one body: their boxes overlap by 0.45 of the smaller, or their hips nearly meet."""
     p, q = pose_box(a), pose_box(b)

@@ -89,6 +89,13 @@ def pose_views(bodies):
     )
 
 
+@query("bodies")
+def padded_boxes(bodies):
+    """Boxes with room around players, in which no ball is looked for."""
+    p = posed(bodies).withColumn("box", sh.padded_box(F.col("landmarks")))
+    return p.select("match_id", "frame_no", "player_id", *[r6(F.col(f"box.{c}"), c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @query("bodies")
 def same_bodies(bodies):
     """Pairs of a frame's poses that show one body."""
@@ -97,7 +104,7 @@ def same_bodies(bodies):
     return p.join(other, ["match_id", "frame_no"]).where("player_id < other_id").where(sh.same_person(F.col("landmarks"), F.col("other"))).select("match_id", "frame_no", "player_id", "other_id")
 
 
-_names = "body_frames wrist_speeds swing_peaks swing_hands swing_classes detected_shots heard_shots best_snapshots pose_views same_bodies"
+_names = "body_frames wrist_speeds swing_peaks swing_hands swing_classes detected_shots heard_shots best_snapshots pose_views padded_boxes same_bodies"
 QUERIES = {n: globals()[n] for n in _names.split()}
 
 _BODY = """body as (select *, cx * 1.5::double as hx, cy as hy, cy - 0.07::double as sy, 0.07::double as torso, case when w0v >= 0.4 then (cx + w0x) * 1.5::double end as ax, case when w0v >= 0.4 then cy + w0y end as ay,
@@ -155,6 +162,10 @@ ORACLE_SQL = {
           least(-0.1::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y0, greatest(0.08::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y1 from bodies)
         select match_id, frame_no, player_id, {s6('(6 + w0v + w1v) / 8')} as quality, {s6('0.1::double + (cx + x0) * 0.5::double')} as x0, {s6('0.3::double + (cy + y0) * 0.6::double')} as y0, {s6('0.1::double + (cx + x1) * 0.5::double')} as x1,
           {s6('0.3::double + (cy + y1) * 0.6::double')} as y1, {s6('cx')} as feet_x, {s6('cy + 0.08::double')} as feet_y from v""", "bodies"),
+    "padded_boxes": with_tables(
+        f""", v as (select *, least(-0.02::double, case when w0v > 0.2 then w0x else 0 end, case when w1v > 0.2 then w1x else 0 end) as x0, greatest(0.02::double, case when w0v > 0.2 then w0x else 0 end, case when w1v > 0.2 then w1x else 0 end) as x1,
+          least(-0.1::double, case when w0v > 0.2 then w0y else 0 end, case when w1v > 0.2 then w1y else 0 end) as y0, greatest(0.08::double, case when w0v > 0.2 then w0y else 0 end, case when w1v > 0.2 then w1y else 0 end) as y1 from bodies)
+        select match_id, frame_no, player_id, {s6('cx + x0 - (y1 - y0) * 0.12::double')} as x0, {s6('cy + y0 - (y1 - y0) * 0.1::double')} as y0, {s6('cx + x1 + (y1 - y0) * 0.12::double')} as x1, {s6('cy + y1 + (y1 - y0) * 0.05::double')} as y1 from v""", "bodies"),
     "same_bodies": with_tables(
         """, v as (select match_id, frame_no, player_id, cx, cy, cx + least(-0.02::double, case when w0v > 0.3 then w0x else 0 end, case when w1v > 0.3 then w1x else 0 end) as x0, cx + greatest(0.02::double, case when w0v > 0.3 then w0x else 0 end, case when w1v > 0.3 then w1x else 0 end) as x1,
           cy + least(-0.1::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y0, cy + greatest(0.08::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y1 from bodies),
