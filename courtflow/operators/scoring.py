@@ -94,7 +94,7 @@ def scores(points: DataFrame) -> DataFrame:
         "'sets', cast(array() as array<struct<a:int,b:int,ta:int,tb:int>>), 'games_a', 0, 'games_b', 0, 'chances_a', 0, 'breaks_a', 0,"
         "'chances_b', 0, 'breaks_b', 0, 'served_a', 0, 'held_a', 0, 'served_b', 0, 'held_b', 0, 'points', 0)"
     ).cast(STATE)
-    s = ordered.select("match_id", "golden", F.aggregate("p", zero, _point).alias("s")).select("match_id", "golden", "s.*")
+    s = ordered.select("match_id", "golden", F.aggregate("p", zero, _point).alias("__state")).select("match_id", "golden", "__state.*")
     now = F.array(F.struct(F.col("ga").alias("a"), F.col("gb").alias("b"), F.lit(None).cast("int").alias("ta"), F.lit(None).cast("int").alias("tb")))
     pending = (F.col("ga") + F.col("gb") + F.col("pa") + F.col("pb") > 0) | (F.size("sets") == 0)
     label = lambda a, b: game_label(F.col(a), F.col(b), F.col("golden"), F.col("tiebreak"))

@@ -96,15 +96,17 @@ def pair_insights(frames, poses):
     return out.select("match_id", "team", F.array_join("insights", "; ").alias("insights"))
 
 
-@query("frames", "poses", "matches")
-def coverage(frames, poses, matches):
-    """Reliability of each match that has poses."""
+def _graded(frames, poses):
+    """Reliability of each match that has poses; its corners and ball by arithmetic on its number."""
     length = frames.groupBy("match_id").agg(F.greatest(F.max("t"), F.lit(1e-3)).alias("seconds"))
     share = lambda i: F.least(F.lit(1.0), F.coalesce(F.max(F.when(F.col("player_id") == i, F.col("detected_seconds"))), F.lit(0.0)) / F.first("seconds")).alias(f"share{i}")
     rows = m.detected_seconds(frames, poses).join(length, "match_id").groupBy("match_id").agg(*[share(i) for i in range(4)])
-    facts = rows.withColumns({"calibrated": F.col("match_id") % 4 > 0, "ball": F.when(F.col("match_id") % 2 == 0, (F.col("match_id") % 7) / F.lit(20.0)), "confirmed": F.lit(0.2)})
-    out = ru.reliability(facts)
-    return out.select("match_id", r6("mean_share"), r6("min_share"), "grade", F.array_join("tips", ",").alias("tips"))
+    return ru.reliability(rows.withColumns({"calibrated": F.col("match_id") % 4 > 0, "ball": F.when(F.col("match_id") % 2 == 0, (F.col("match_id") % 7) / F.lit(20.0)), "confirmed": F.lit(0.2)}))
+
+
+@query("frames", "poses")
+def coverage(frames, poses):
+    return _graded(frames, poses).select("match_id", r6("mean_share"), r6("min_share"), "grade", F.array_join("tips", ",").alias("tips"))
 
 
 def _facts(shots):
@@ -169,6 +171,17 @@ pops as (select match_id, ot as t, ov as ratio from folded where closed union al
 _FACTS = """facts as (select match_id as k, case when match_id % 5 > 0 then match_id % 4 end as me, match_id % 11 = 0 as demo, match_id % 9 as tagged, (match_id * 7) % 60 as paired, ((match_id * 7 + 3) % 10) / 15.0::double as net,
   ((match_id * 7 + 1) % 8) / 30.0::double as split, match_id % 3 = 0 as gap, match_id % 4 as checked, least(match_id % 4, match_id % 3) as missed, match_id % 6 as chances, match_id % 2 as breaks, match_id % 7 as unforced,
   match_id % 5 as winners, case match_id % 3 when 0 then 'good' when 1 then 'fair' else 'poor' end as grade from (select distinct match_id from shots))"""
+#: The rules over facts, and the first four of each match.
+_RULES = f"""r(k, pos, rule, tone, section, priority) as (
+          select k, 0, 'positions', 'warn', 'points', 100::double from facts where tagged >= 4 and gap
+          union all select k, 1, 'split', 'warn', 'pair', 80 + 40 * split from facts where paired >= 20 and split >= 0.15
+          union all select k, 2, 'net control', 'good', 'pair', 60 from facts where paired >= 20 and split < 0.15 and net >= 0.35
+          union all select k, 3, 'goals met', 'good', 'goals', 70 from facts where me is not null and checked > 0 and missed = 0
+          union all select k, 4, 'goals missed', 'warn', 'goals', 75 from facts where me is not null and missed > 0
+          union all select k, 5, 'break points', 'warn', 'points', 65 from facts where tagged > 0 and chances >= 3 and breaks / chances < 0.3
+          union all select k, 6, 'unforced errors', 'warn', 'points', 62 from facts where me is not null and tagged > 0 and unforced >= 3 and unforced > winners
+          union all select k, 7, 'reliability', 'info', 'reliability', case when grade = 'poor' then 110 else 50 end from facts where not demo and grade <> 'good')
+        select * from (select k as match_id, rule, tone, section, {s6('priority')} as priority, row_number() over (partition by k order by r.priority desc, pos) as place from r) where place <= 4"""
 _DET = """timed as (select *, coalesce(least(1, greatest(0, lead(t) over (partition by match_id order by t, frame_no) - t)), 0) as dt from frames),
 det as (select match_id, player_id, sum(dt) as d from poses join timed using (match_id, frame_no) group by 1, 2),
 cov as (select match_id, """ + ", ".join(f"least(1, coalesce(max(case when player_id = {i} then d end), 0) / any_value(s)) as s{i}" for i in range(4)) + """ from det join (select match_id, greatest(max(t), 0.001) as s from frames group by 1) using (match_id) group by 1),
@@ -224,16 +237,7 @@ ORACLE_SQL = {
         f""", {_DET} select match_id, {s6('mean')} as mean_share, {s6('low')} as min_share, case when mean >= 0.75 and low >= 0.5 and cal then 'good' when mean >= 0.45 then 'fair' else 'poor' end as grade,
         concat_ws(',', case when low < 0.5 then 'lost' end, case when (s2 + s3) / 2 < (s0 + s1) / 2 * 0.6 then 'far' end, case when not cal then 'corners' end, case when ball < 0.15 then 'ball' end, case when ball >= 0.15 then 'confirm' end) as tips from facts""", "frames", "poses"),
     "takeaways": with_tables(
-        f""", {_FACTS}, r(k, pos, rule, tone, section, priority) as (
-          select k, 0, 'positions', 'warn', 'points', 100::double from facts where tagged >= 4 and gap
-          union all select k, 1, 'split', 'warn', 'pair', 80 + 40 * split from facts where paired >= 20 and split >= 0.15
-          union all select k, 2, 'net control', 'good', 'pair', 60 from facts where paired >= 20 and split < 0.15 and net >= 0.35
-          union all select k, 3, 'goals met', 'good', 'goals', 70 from facts where me is not null and checked > 0 and missed = 0
-          union all select k, 4, 'goals missed', 'warn', 'goals', 75 from facts where me is not null and missed > 0
-          union all select k, 5, 'break points', 'warn', 'points', 65 from facts where tagged > 0 and chances >= 3 and breaks / chances < 0.3
-          union all select k, 6, 'unforced errors', 'warn', 'points', 62 from facts where me is not null and tagged > 0 and unforced >= 3 and unforced > winners
-          union all select k, 7, 'reliability', 'info', 'reliability', case when grade = 'poor' then 110 else 50 end from facts where not demo and grade <> 'good')
-        select * from (select k as match_id, rule, tone, section, {s6('priority')} as priority, row_number() over (partition by k order by r.priority desc, pos) as place from r) where place <= 4""", "shots"),
+        f", {_FACTS}, {_RULES}", "shots"),
     "next_steps": with_tables(
         """select match_id, concat_ws(',', case when match_id % 4 > 0 and match_id % 3 < match_id % 4 then 'points' end, case when match_id % 5 = 0 then 'players' end, case when match_id % 2 > 0 then 'coach' end, 'highlights') as steps
         from (select distinct match_id from shots)""", "shots"),
