@@ -128,14 +128,17 @@ class Paths:
     live: list[list[tuple[float, float, float]]] = field(default_factory=list)
     speed: list[np.ndarray] = field(default_factory=list)
     done: list[list[tuple[float, float, float]]] = field(default_factory=list)
+    numbers: list[int] = field(default_factory=list)
+    begun: int = 0
 
-    def push(self, t: float, found: np.ndarray) -> None:
-        """Advances the paths by one frame's candidates (n, 2)."""
+    def push(self, t: float, found: np.ndarray) -> list[int]:
+        """Advances the paths by one frame's candidates (n, 2); the number of each candidate's path, -1 where it has none."""
         found = np.asarray(found, dtype=float).reshape(-1, 2)
         quiet = [t - path[-1][0] > QUIET_S for path in self.live]
         self.done += [p for p, q in zip(self.live, quiet, strict=True) if q]
-        self.live, self.speed = [p for p, q in zip(self.live, quiet, strict=True) if not q], [v for v, q in zip(self.speed, quiet, strict=True) if not q]
-        used: set[int] = set()
+        awake = [i for i, q in enumerate(quiet) if not q]
+        self.live, self.speed, self.numbers = ([own[i] for i in awake] for own in (self.live, self.speed, self.numbers))
+        owner = [-1] * len(found)
         if self.live and len(found):
             last = np.array([p[-1] for p in self.live])
             dt = t - last[:, 0]
@@ -143,14 +146,18 @@ class Paths:
             apart = np.linalg.norm(ahead[:, None] - found[None], axis=2)
             reach = np.where(dt > 0, np.nextafter(0.05 + 1.2 * dt, 0), -1.0)  # strictly nearer than the gate
             for p, c in greedy_pairs(apart, np.broadcast_to(reach[:, None], apart.shape)):
-                used.add(c)
+                owner[c] = self.numbers[p]
                 v = (found[c] - last[p, 1:]) / max(dt[p], 1e-3)
                 self.speed[p] = v if len(self.live[p]) == 1 else 0.3 * self.speed[p] + 0.7 * v
                 self.live[p].append((t, *found[c].tolist()))
         for c in range(len(found)):
-            if c not in used and len(self.live) < MOST_PATHS:
+            if owner[c] < 0 and len(self.live) < MOST_PATHS:
+                owner[c] = self.begun
+                self.numbers.append(self.begun)
+                self.begun += 1
                 self.live.append([(t, *found[c].tolist())])
                 self.speed.append(np.zeros(2))
+        return owner
 
     def track(self) -> list[tuple[float, float, float]]:
         """The paths that travel, the farther one where two overlap in time, as one track."""
@@ -170,6 +177,29 @@ class Paths:
         return sorted((o for path in kept for o in path), key=lambda o: o[0])
 
 
+TRACK = "match_id long, seq long, t double, x double, y double"
+
+
+def _as_track(match_id: int, paths: Paths) -> pd.DataFrame:
+    out = pd.DataFrame(paths.track(), columns=["t", "x", "y"], dtype=float)
+    out.insert(0, "seq", np.arange(len(out), dtype=np.int64))
+    out.insert(0, "match_id", match_id)
+    return out
+
+
+def track_of_paths(paths: DataFrame) -> DataFrame:
+    """(match_id, seq, t, x, y): the ball's track from observations whose path is known, (match_id, path, t, x, y).
+
+    Rows without a path (-1) are left out.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        grouped = rows.sort_values(["path", "t"], kind="stable").groupby("path", sort=True)
+        return _as_track(rows["match_id"].iloc[0], Paths(done=[[tuple(o) for o in own[["t", "x", "y"]].to_numpy().tolist()] for _, own in grouped]))
+
+    return paths.select("match_id", "path", "t", "x", "y").where("path >= 0").groupBy("match_id").applyInPandas(run, TRACK)
+
+
 def ball_track(candidates: DataFrame) -> DataFrame:
     """(match_id, seq, t, x, y): the ball's track from candidates(match_id, t, x, y)."""
 
@@ -177,9 +207,6 @@ def ball_track(candidates: DataFrame) -> DataFrame:
         paths = Paths()
         for t, own in rows.sort_values("t", kind="stable").groupby("t", sort=True):
             paths.push(float(t), own[["x", "y"]].to_numpy())
-        out = pd.DataFrame(paths.track(), columns=["t", "x", "y"], dtype=float)
-        out.insert(0, "seq", np.arange(len(out), dtype=np.int64))
-        out.insert(0, "match_id", rows["match_id"].iloc[0])
-        return out
+        return _as_track(rows["match_id"].iloc[0], paths)
 
-    return candidates.select("match_id", "t", "x", "y").groupBy("match_id").applyInPandas(run, "match_id long, seq long, t double, x double, y double")
+    return candidates.select("match_id", "t", "x", "y").groupBy("match_id").applyInPandas(run, TRACK)

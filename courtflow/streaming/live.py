@@ -1,16 +1,18 @@
-"""Structured Streaming forms: rallies as session windows, identities as keyed state, checkpoints for recovery."""
+"""Structured Streaming forms: rallies as session windows, identities and ball paths as keyed state, checkpoints for recovery."""
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from courtflow.operators.tracking import IDENTITY, Players
+from courtflow.operators.tracking import IDENTITY, Paths, Players
 
 
 def rallies(shots: DataFrame, gap: str = "4 seconds", late: str = "10 seconds") -> DataFrame:
@@ -43,6 +45,29 @@ def identities(detections: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(run, IDENTITY, "slots binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def ball_paths(candidates: DataFrame) -> DataFrame:
+    """The ball tracker on a stream of candidates(match_id, t, x, y): each with the number of its path, -1 if it begins none.
+
+    ``tracking.track_of_paths`` makes the track from the rows written. Within a match
+    candidates must arrive in order of time over micro-batches, those of one time
+    together. The state holds at most twelve paths, of each its last observations.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        saved = json.loads(state.get[0]) if state.exists else {"live": [], "speed": [], "numbers": [], "begun": 0}
+        paths = Paths([[tuple(o) for o in p] for p in saved["live"]], [np.array(v) for v in saved["speed"]], [], saved["numbers"], saved["begun"])
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable").reset_index(drop=True)
+        owner = np.full(len(rows), -1)
+        for t, at in rows.groupby("t", sort=True).indices.items():
+            owner[at] = paths.push(float(t), rows.loc[at, ["x", "y"]].to_numpy())
+        # whether a path has one observation or more decides how its speed is updated
+        state.update((json.dumps({"live": [p[-2:] for p in paths.live], "speed": [v.tolist() for v in paths.speed], "numbers": paths.numbers, "begun": paths.begun}),))
+        yield rows.assign(path=owner.astype("int64"))[["match_id", "path", "t", "x", "y"]]
+
+    grouped = candidates.select("match_id", "t", "x", "y").groupBy("match_id")
+    return grouped.applyInPandasWithState(run, "match_id long, path long, t double, x double, y double", "paths string", "append", GroupStateTimeout.NoTimeout)
+
+
 def append_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Starts writing a stream to Parquet; a restart with the same checkpoint goes on where it stopped.
 

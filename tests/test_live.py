@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 
-from courtflow.operators.tracking import identified
+from courtflow.operators.tracking import ball_track, identified, track_of_paths
 from courtflow.sources.store import Checkpoint, MatchStore, checkpoint_key, valid_goals
 from courtflow.streaming import live
 
@@ -33,6 +33,35 @@ def test_streamed_identities_agree_with_batch_over_a_restart(spark, tmp_path):
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
 
 
+def test_streamed_ball_agrees_with_batch_over_restarts(spark, tmp_path):
+    """Three flights, the last two at one time, a spot that stays, and stray candidates away from them, in three runs of the stream."""
+    noise = np.random.default_rng(3)
+    rows = []
+    for frame in range(90):
+        t = frame / 30
+        rows.append((7, t, 0.9, 0.9))
+        if frame < 25:
+            rows.append((7, t, 0.1 + 0.02 * frame, 0.3))
+        if frame >= 45:
+            rows += [(7, t, 0.05 + 0.015 * (frame - 45), 0.5), (7, t, 0.6 - 0.004 * (frame - 45), 0.1)]
+        if frame % 4 == 0:
+            rows.append((7, t, 0.5 + 0.03 * float(noise.random()), 0.75 + 0.03 * float(noise.random())))  # a path of these travels less than the flights
+        rows.append((8, t, 0.2, 0.1 + 0.008 * frame))
+    schema = "match_id long, t double, x double, y double"
+    for lo, hi in ((0, 0.5), (0.5, 1.7), (1.7, 9)):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.append_parquet(live.ball_paths(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    paths = spark.read.parquet(str(tmp_path / "out"))
+    assert paths.count() == len(rows)
+    streamed = sorted(map(tuple, track_of_paths(paths).collect()))
+    assert streamed == sorted(map(tuple, ball_track(spark.createDataFrame(rows, schema)).collect()))
+    kept = {(r[0], *r[2:]) for r in streamed}
+    flights = {r for r in rows if r[0] == 8 or r[3] in (0.3, 0.5)}
+    shorter = {r for r in rows if r[3] == 0.1 and r[0] == 7}
+    assert len(flights) == 25 + 45 + 90 and flights <= kept and len(shorter) == 45 and not shorter & kept
+
+
 def test_saved_matches(spark, tmp_path):
     store = MatchStore(spark, str(tmp_path / "matches"))
     schema = "title string, created_at long, me int, match_id long"
