@@ -15,7 +15,7 @@ ASPECT, THRESHOLD, COOLDOWN = 1.5, 3.0, 2.2
 OFFSETS = {0: (0.0, -0.1), 11: (-0.02, -0.07), 12: (0.02, -0.07), 23: (-0.015, 0.0), 24: (0.015, 0.0), 27: (-0.01, 0.08), 28: (0.01, 0.08)}
 
 
-def posed(bodies):
+def landmarks(bodies):
     """bodies with 33 landmarks: those of the test body around (cx, cy), wrists where the columns say, others in the middle."""
 
     def point(i: int):
@@ -25,7 +25,12 @@ def posed(bodies):
         x, y = OFFSETS.get(i, (0.0, 0.0))
         return F.struct((F.col("cx") + x).alias("x"), (F.col("cy") + y).alias("y"), F.lit(1.0).alias("visibility"))
 
-    return bodies.withColumn("landmarks", F.array(*map(point, range(33)))).select("match_id", "frame_no", "t", "player_id", "court_x", "court_y", F.lit(False).alias("interpolated"), "landmarks")
+    return bodies.withColumn("landmarks", F.array(*map(point, range(33))))
+
+
+def posed(bodies):
+    """Poses of the test bodies."""
+    return landmarks(bodies).select("match_id", "frame_no", "t", "player_id", "court_x", "court_y", F.lit(False).alias("interpolated"), "landmarks")
 
 
 @query("bodies")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from courtflow.operators import analysis as an
 from courtflow.operators import history as h
 from courtflow.operators import points as p
 from courtflow.operators import rules as ru
 from courtflow.operators import scoring as sc
 from courtflow.operators import tactics as tc
+from courtflow.plans import bodies as bd
+from courtflow.plans import movement as mv
 from courtflow.plans import points as pp
 from courtflow.plans import signals as sg
-from courtflow.plans.shared import query, r6
+from courtflow.plans.shared import query, r6, s6
+from courtflow.plans.stateful import shared_folder
 from courtflow.sources.surrogate import with_tables
 
 _REVIEWED = ("shots", "matches", "frames", "poses", "rallies", "point_tags")
@@ -39,7 +45,38 @@ def match_next_steps(matches, shots, rallies, feed):
     return ru.next_steps(facts.fillna(0, ["n_shots", "n_rallies", "tagged"])).select("match_id", F.array_join("steps", ",").alias("steps"))
 
 
-QUERIES = {"match_takeaways": match_takeaways, "match_next_steps": match_next_steps}
+SWING = 12.0
+
+
+def _analysis(frames, sightings):
+    """The analysis of bodies that nobody has named."""
+    landmarks = bd.landmarks(sightings).select("match_id", "frame_no", "t", "seq", "x", "y", "landmarks")
+    spark, folder = frames.sparkSession, f"{shared_folder(frames.sparkSession)}/analysis-{uuid.uuid4().hex}"
+
+    def keep(rows, name):
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    return an.analysed(frames, landmarks, bd.ASPECT, keep, SWING, bd.COOLDOWN)
+
+
+@query("frames", "sightings")
+def match_analysis(frames, sightings):
+    """All players of each match after the whole analysis of unnamed bodies, beside the match's rallies."""
+    a = _analysis(frames, sightings)
+    rallies = a.rallies.groupBy("match_id").agg(F.count("*").alias("n_rallies"), F.max("n_shots").alias("longest"))
+    rows = a.stats.join(rallies, "match_id", "left")
+    return rows.select("match_id", "player_id", *[r6(c) for c in ("distance", "tracked_seconds", "detected_seconds", "avg_swing_speed")], "total_shots", "n_rallies", "longest")
+
+
+@query("frames", "sightings")
+def analysed_tactics(frames, sightings):
+    """Tactics of both pairs after the same analysis."""
+    t = _analysis(frames, sightings).tactics
+    return t.select("match_id", "team", *[r6(c) for c in ("paired_seconds", "share_net", "share_mid", "avg_spacing")], "net_takings")
+
+
+QUERIES = {"match_analysis": match_analysis, "analysed_tactics": analysed_tactics, "match_takeaways": match_takeaways, "match_next_steps": match_next_steps}
 
 _SERVERS = f"""{pp._SERVES}, served_first as (select r.match_id, r.rally_idx, s.player_id, row_number() over (partition by r.match_id, r.rally_idx order by s.t, s.seq) as k
   from served s join rallies r on s.match_id = r.match_id and s.t between r.start_t and r.end_t),
@@ -58,7 +95,27 @@ _PATTERNS = pp._PATTERNS.removeprefix(f"{pp._PAIRS}, ")
 _COVERED = sg._DET[sg._DET.index("det as") :].replace("facts as", "covered as")
 _REPLAY = pp._REPLAY.replace("from point_feed", "from fed")
 
+_SEEN = "seen_poses as (select match_id, frame_no, t, place as player_id, x as court_x, y as court_y from sightings)"
+_FILLED = """n as (select *, row_number() over (partition by match_id order by t, frame_no) as i from frames),
+gaps as (select p.*, n.i, lead(n.i) over w as j, lead(p.t) over w as nt, lead(court_x) over w as nx, lead(court_y) over w as ny
+  from seen_poses p join n on p.match_id = n.match_id and p.frame_no = n.frame_no window w as (partition by p.match_id, p.player_id order by p.t, p.frame_no)),
+poses as (select match_id, frame_no, t, player_id, court_x, court_y from seen_poses union all
+  select s.match_id, n.frame_no, n.t, s.player_id, court_x + (nx - court_x) * ((n.t - s.t) / (nt - s.t)), court_y + (ny - court_y) * ((n.t - s.t) / (nt - s.t))
+  from gaps s join n on s.match_id = n.match_id and n.i > s.i and n.i < s.j where nt - s.t <= 1)"""
+_HITS = bd._PEAKS.replace("from bodies", "from (select *, place as player_id, x as court_x, y as court_y from sightings)").replace(f"speed >= {bd.THRESHOLD}", f"speed >= {SWING}")
+
 ORACLE_SQL = {
+    "match_analysis": with_tables(
+        f""", {_SEEN}, {_FILLED}, {mv.TRACK}, {mv.FRAME_DT}, {_HITS}, seconds as (select match_id, player_id, sum(dt) as s from seen_poses join timed using (match_id, frame_no) group by 1, 2),
+        counts as (select match_id, player_id, count(*) as n, avg(speed) as v from peaks group by 1, 2),
+        runs as (select match_id, island, count(*) as n from (select *, sum(case when gap > 4 then 1 else 0 end) over (partition by match_id order by t, player_id rows unbounded preceding) as island
+          from (select *, t - lag(t) over (partition by match_id order by t, player_id) as gap from peaks)) group by 1, 2 having count(*) >= 2),
+        played as (select match_id, count(*) as n_rallies, max(n) as longest from runs group by 1),
+        moved as (select match_id, player_id, {mv._MOVES} as distance, coalesce(sum(case when dt > 0 and dt <= 1 then dt end), 0) as tracked from track group by 1, 2)
+        select match_id, player_id, {s6('distance')} as distance, {s6('tracked')} as tracked_seconds, {s6('s')} as detected_seconds, {s6('coalesce(v, 0)')} as avg_swing_speed, coalesce(n, 0) as total_shots, n_rallies, longest
+        from moved left join seconds using (match_id, player_id) left join counts using (match_id, player_id) left join played using (match_id)""", "frames", "sightings"),
+    "analysed_tactics": with_tables(
+        f", {_SEEN}, {_FILLED}, {pp._TACTICS} select match_id, team, {s6('paired_seconds')} as paired_seconds, {s6('share_net')} as share_net, {s6('share_mid')} as share_mid, {s6('avg_spacing')} as avg_spacing, net_takings from tactics", "frames", "sightings"),
     "match_takeaways": with_tables(f"{pp._METRICS}{pp._GOALS}, {_PATTERNS}, {_BEST}, {_COVERED}, {_SERVERS}{_REPLAY}, {_FACTS}, {sg._RULES}", *_REVIEWED),
     "match_next_steps": with_tables(
         """select match_id, concat_ws(',', case when r > 0 and t < r then 'points' end, case when me is null then 'players' end, case when not demo then 'coach' end, case when n > 0 then 'highlights' end) as steps

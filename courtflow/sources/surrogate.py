@@ -78,6 +78,12 @@ TABLES = {
         select event_id {div} 400 as match_id, cast((event_id % 400) {div} 4 as double) / 2 as t, cast(event_id % 4 as {int}) as seq, place,
                case when place % 2 = 0 then cast(2.5 as double) else cast(7.5 as double) end + value / cast(500 as double) as x, case when place < 2 then cast(15 as double) else cast(5 as double) end + value / cast(400 as double) as y
         from (select *, cast((event_id % 4 + ((event_id % 400) {div} 4) * 3) % 4 as {int}) as place from events) as p""",
+    "sightings": """
+        select match_id, frame_no, t, seq, place, x, y, cast(0.2 as double) + place / cast(5 as double) + (e % 5) / cast(500 as double) as cx, cast(0.5 as double) + (e % 9) / cast(300 as double) as cy,
+               cast((e * 37) % 200 - 100 as double) / 500 as w0x, cast((e * 53) % 240 - 140 as double) / 700 as w0y, case when e % 7 = 0 then cast(0.2 as double) else cast(0.9 as double) end as w0v,
+               cast((e * 91) % 220 - 110 as double) / 500 as w1x, cast((e * 29) % 250 - 150 as double) / 700 as w1y, case when e % 6 = 1 then cast(0.3 as double) else cast(0.8 as double) end as w1v
+        from (select *, frame_no * 4 + match_id * 400 + seq as e from (select *, cast(t * 2 as bigint) as frame_no from ({known_players}) as k) as f) as p
+        where frame_no = 0 or e % 11 <> 5""",
     "audio_env": """
         select event_id {div} 1000 as match_id, event_id % 1000 as hop, value as env from events""",
     "matches": """
