@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from courtflow.llm import bpe, embeddings, langid, lengths, mixing, quality, simhash, tokenfiles, toxicity, urlrules
+from courtflow.llm import bpe, embeddings, langid, lengths, linededup, mixing, quality, simhash, tokenfiles, toxicity, urlrules
 from courtflow.llm.shared import read
 
 BYTE_BPE, BYTE_BPE_END = public_tokenizers.path("byte_bpe_50k.json"), 2
@@ -21,9 +21,11 @@ QUERIES = {
     "op8_token_counts": lambda spark, d: lengths.length_histogram(lengths.encoded_lengths(read(spark, d, "documents"), BYTE_BPE)),
     "op9_token_files": lambda spark, d: tokenfiles.token_digest(read(spark, d, "documents"), BYTE_BPE, BYTE_BPE_END),
     "op10_mixing": lambda spark, d: mixing.mix_plan(read(spark, d, "documents")),
+    "op11_line_dedup": lambda spark, d: linededup.line_digest(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality.oracle(),
     "op10_mixing": mixing.ORACLE,
+    "op11_line_dedup": linededup.ORACLE,
 }
