@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from courtflow.llm import bpe, embeddings, langid, lengths, linededup, mixing, quality, simhash, tokenfiles, toxicity, urlrules, whitening
+from courtflow.llm import bpe, embeddings, langid, lengths, linededup, mixing, quality, simhash, spelling, tokenfiles, toxicity, urlrules, whitening
 from courtflow.llm.shared import read
 
 BYTE_BPE, BYTE_BPE_END = public_tokenizers.path("byte_bpe_50k.json"), 2
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_token_files": lambda spark, d: tokenfiles.token_digest(read(spark, d, "documents"), BYTE_BPE, BYTE_BPE_END),
     "op10_mixing": lambda spark, d: mixing.mix_plan(read(spark, d, "documents")),
     "op11_line_dedup": lambda spark, d: linededup.line_digest(read(spark, d, "documents")),
+    "op12_spelling_variants": lambda spark, d: spelling.spelling_groups(read(spark, d, "documents")),
     "op13_embedding_whitening": lambda spark, d: whitening.whitened(read(spark, d, "embeddings")),
 }
 
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality.oracle(),
     "op10_mixing": mixing.ORACLE,
     "op11_line_dedup": linededup.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
