@@ -241,8 +241,8 @@ SIMILAR = (4, 5)
 BANDS, IN_BAND = 64, 8
 #: Proposed texts that are compared in one go; a larger group is dealt to blocks, and each two blocks are compared.
 WIDE_TILE = 2048
-#: Rows of the Arrow batches that hold sets of shingles.
-SET_BATCH = 500
+#: Rows of the Arrow batches that hold sets of shingles, and nodes that a task remembers to send them once.
+SET_BATCH, LATELY = 500, 200_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(SEED))
 _ODD = _RANDOM.integers(0, 1 << 32, BANDS * IN_BAND, dtype=np.uint32) | np.uint32(1)
@@ -325,17 +325,25 @@ def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces text by its set of shingles."""
-    names = ["root", "node", "block", "blocks", "shingles"]
+    """Replaces text by its set of shingles; a node that the task has met lately isn't given again."""
+    names, met = ["root", "node", "block", "blocks", "shingles"], set()
     for batch in batches:
         for at in range(0, len(batch), SET_BATCH):
             part = batch.slice(at, SET_BATCH)
+            new = []
+            for i, node in enumerate(part.column("node").to_pylist()):
+                if node not in met:
+                    met.add(node)
+                    new.append(i)
+            if len(met) > LATELY:
+                met.clear()
+            part = part.take(pa.array(new, pa.int32()))
             sets = pa.array([np.unique(shingle_hashes(t.as_py(), STAGE_SHINGLE)).tobytes() for t in part.column("text").cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*map(part.column, names[:-1]), sets], names)
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the similar ones of the nodes of each (root, low, high); rows come sorted by these."""
+    """Edges between the similar ones of the nodes of each (root, low, high); rows come sorted by these and node, and a node counts once."""
     key, nodes, sets = None, [], []
 
     def found() -> pa.RecordBatch:
@@ -349,8 +357,9 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(sets) > 1:
                     yield found()
                 key, nodes, sets = now, [], []
-            nodes.append(node)
-            sets.append(np.frombuffer(shingles, dtype=np.uint64))
+            if not nodes or nodes[-1] != node:
+                nodes.append(node)
+                sets.append(np.frombuffer(shingles, dtype=np.uint64))
     if len(sets) > 1:
         yield found()
 
@@ -371,7 +380,7 @@ def _components(docs: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
         lookup(nodes.select("node", "doc_id", "text_hash").join(proposed, "node"), blocks, ["root"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
-    # exact repeats of a row give the same set twice, which is harmless
+    # exact repeats of a row are the same node: tasks send it once each, and it is compared once
     chosen = texts.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
     rows = _keyed(docs)
     held = rows.join(chosen, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "node", "block", "blocks", "text")
@@ -380,7 +389,7 @@ def _components(docs: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
         held.mapInArrow(_with_sets, "root long, node long, block int, blocks int, shingles binary")
         .withColumn("other", other)
         .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
-        .repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+        .repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
     )
     with arrow_rows(spark, SET_BATCH):
         edges = stash(sent.mapInArrow(_decide, "a long, b long"), "similar-links")

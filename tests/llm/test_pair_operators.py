@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -245,6 +246,24 @@ def test_rows_without_an_id_of_their_own_stay(spark):
     assert sorted(kept, key=str) == sorted(map(tuple, simhash.one_of_each(docs.repartition(3)).collect()), key=str)
 
 
+def test_repeats_of_a_row_are_compared_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(70))
+    one = spark.createDataFrame([(None, text, "s1")], "doc_id long, text string, source string")
+    near = spark.createDataFrame([(5, text + " more", "s2"), (6, text.replace("w1 ", "x "), "s2")], one.schema)
+    docs = one.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50_000)))).drop("k").repartition(8).unionByName(near)
+    assert [r.doc_id for r in simhash.one_of_each(docs).collect()] == [5]
+    # a task sends a node once, and what several tasks send is compared once
+    sets = np.arange(60, dtype=np.uint64).tobytes()
+    names = ["root", "low", "high", "node", "shingles"]
+    rows = pa.RecordBatch.from_pydict(dict(zip(names, ([1] * 9, [0] * 9, [0] * 9, [3] * 8 + [4], [sets] * 9), strict=True)))
+    compared = []
+    links = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda s: compared.append(len(s)) or links(s))
+    assert [b.to_pydict() for b in simhash._decide(iter([rows.slice(0, 5), rows.slice(5)]))] == [{"a": [3], "b": [4]}] and compared == [2]
+    texts = pa.RecordBatch.from_pydict({"root": [1] * 4, "node": [3, 3, 4, 3], "block": [0] * 4, "blocks": [1] * 4, "text": [text, text, text, text]})
+    assert [n for b in simhash._with_sets(iter([texts, texts])) for n in b.column("node").to_pylist()] == [3, 4]
+
+
 def test_rules_count_every_labelled_row(spark):
     # 30 hosts of which every second page is blocked, and one that always is; more rows than were once mined
     host = F.col("id") % 31
@@ -347,7 +366,25 @@ def test_pipeline_stages_are_brute_force(spark):
 
 
 def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
-    for name, docs in (("odd", awkward_docs(spark, clashing=False)), ("none", no_docs(spark))):
-        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
-        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
-        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+    """Clean texts with nulls in the other columns, repeats and ties reach every stage beside awkward ones; extra columns clash."""
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars between 900 and 9000")
+    odd_id = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 7 == 1, F.lit(77)).otherwise(F.col("doc_id") + 1000).alias("doc_id")
+    odd = clean.select(odd_id, "text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    odd = odd.unionByName(odd.limit(15)).unionByName(awkward_docs(spark, clashing=False)).cache()
+    for c in ("fp", "kept", "component_id", "size", "h", "score", "node", "label", "source_size", "__votes", "text_hash", "root"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    odd.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs, left = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == odd.columns
+        left.append(docs.count())
+    distinct = clean.select("text").distinct().count()
+    assert left[0] > clean.count() // 2 and left[1] > distinct // 2 and left[2] > distinct // 2 and left[3] > distinct // 2, (left, distinct)
+    # one row of each text stays, also where rows share an id or have none
+    single = docs.select("doc_id", "text").distinct()
+    assert single.count() == single.select("text").distinct().count() and single.where("doc_id is null").count() > 3
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert len(rows) == left[3] and {r.doc_id for r in rows} <= {r.doc_id for r in odd.select("doc_id").collect()}
+    no_docs(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
