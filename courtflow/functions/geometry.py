@@ -83,8 +83,63 @@ def homography(source: Sequence[Sequence[float]], target: Sequence[Sequence[floa
     return [*np.linalg.solve(matrix, np.array(right, dtype=float)).tolist(), 1.0]
 
 
-def project(h: Sequence[float], x: Column, y: Column) -> tuple[Column, Column]:
-    """Applies a homography to a point."""
+PIVOT = 1e-12
+
+
+def solve_linear(rows: Column, n: int) -> Column:
+    """The solution of n linear equations given as n rows of n + 1 numbers (array<array<double>>), null if they are degenerate.
+
+    Elimination with partial pivoting as a fold over the columns, so that every row of a
+    table can bring equations of its own.
+    """
+    at = lambda m, i, j: F.get(F.get(m, i), j)
+    let = lambda value, init, f: F.aggregate(F.array(value), init, lambda _, v: f(v))
+
+    def step(m: Column, c: Column) -> Column:
+        # of equal pivots the first row's
+        best = F.array_max(F.transform(F.sequence(c, F.lit(n - 1)), lambda r: F.struct(F.abs(at(m, r, c)).alias("size"), (-r).alias("minus"))))
+
+        def pivoted(p: Column) -> Column:
+            top = -p["minus"]
+            swapped = F.transform(m, lambda row, i: F.when(i == c, F.get(m, top)).when(i == top, F.get(m, c)).otherwise(row))
+            clear = lambda s: F.transform(s, lambda row, i: F.when(i == c, row).otherwise(F.zip_with(row, F.get(s, c), lambda a, b: a - F.get(row, c) / at(s, c, c) * b)))
+            return F.when(p["size"] >= PIVOT, let(swapped, m, clear))
+
+        return let(best, m, pivoted)
+
+    last = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows.cast("array<array<double>>"), step)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(last, i, F.lit(n)) / at(last, i, i))
+
+
+def points(corners: Sequence[Sequence[float]]) -> Column:
+    """Fixed points as an array of structs (x, y)."""
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in corners])
+
+
+def homographies(source: Column, target: Column) -> Column:
+    """The nine coefficients (the last is 1) that map four points to four others, both array<struct<x, y>>; null if there are none.
+
+    The column form of ``homography``: corners belong to a match, so each row has its own.
+    """
+    rows = []
+    for i in range(4):
+        p, q = F.get(source, F.lit(i)), F.get(target, F.lit(i))
+        for own, row in ((q["x"], [p["x"], p["y"], 1, 0, 0, 0]), (q["y"], [0, 0, 0, p["x"], p["y"], 1])):
+            rows.append(F.array(*[(c if isinstance(c, Column) else F.lit(float(c))) for c in row], -own * p["x"], -own * p["y"], own))
+    solved = solve_linear(F.array(*rows), 8)
+    return F.when(F.forall(solved, lambda v: v.isNotNull()), F.concat(solved, F.array(F.lit(1.0))))
+
+
+def image_to_court(corners: Column) -> Column:
+    return homographies(corners, points(COURT_CORNERS))
+
+
+def court_to_image(corners: Column) -> Column:
+    return homographies(points(COURT_CORNERS), corners)
+
+
+def project(h: Sequence[float] | Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Applies a homography, nine numbers or an array column of them, to a point."""
     w = x * h[6] + y * h[7] + h[8]
     return (x * h[0] + y * h[1] + h[2]) / w, (x * h[3] + y * h[4] + h[5]) / w
 
@@ -108,6 +163,18 @@ def in_polygon(x: Column, y: Column, polygon: Sequence[Sequence[float]]) -> Colu
     return inside
 
 
+def in_polygon_of(x: Column, y: Column, polygon: Column) -> Column:
+    """Ray casting against a polygon of the row, array<struct<x, y>>."""
+    n = F.size(polygon)
+
+    def crossed(inside: Column, i: Column) -> Column:
+        a, b = F.get(polygon, i), F.get(polygon, (i + n - 1) % n)
+        at = (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]
+        return inside != (((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < at, F.lit(False)))
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), crossed)
+
+
 def court_lines() -> list[tuple[float, float, float, float]]:
     """Segments of the court's lines: borders, net, service lines, centre line."""
     far, near = NET_Y - SERVICE_LINE, NET_Y + SERVICE_LINE

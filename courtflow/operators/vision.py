@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtflow.functions.geometry import DEFAULT_CORNERS
+from courtflow.functions.geometry import DEFAULT_CORNERS, cell, in_polygon_of
 from courtflow.operators.ball import ball_color
 
 FRAME = ["match_id", "frame_no"]
@@ -74,11 +74,26 @@ def ball_candidates(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return ball_mask(pixels).groupBy(*FRAME).applyInPandas(run, "match_id long, frame_no long, x double, y double, area long")
 
 
-def outside_boxes(candidates: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Candidates in none of their frame's boxes(match_id, frame_no, x0, y0, x1, y1)."""
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    hit = candidates.join(boxes, FRAME).where(inside).select(*FRAME, "x", "y").distinct()
-    return candidates.join(hit, [*FRAME, "x", "y"], "left_anti")
+#: Cells a side into which a frame is parted to find boxes around a point.
+CELLS = 8
+
+
+def free_candidates(candidates: DataFrame, boxes: DataFrame, areas: DataFrame) -> DataFrame:
+    """Candidates in none of their frame's boxes and inside their match's play area.
+
+    candidates(match_id, frame_no, x, y, ...), boxes(match_id, frame_no, x0, y0, x1, y1),
+    borders included, areas(match_id, area array<struct<x, y>>). A candidate meets only
+    the boxes that cover its cell of the frame; a match without an area has no bounds.
+    """
+    cells = lambda low, high: F.explode(F.sequence(cell(F.col(low) * CELLS, CELLS), F.greatest(cell(F.col(low) * CELLS, CELLS), cell(F.col(high) * CELLS, CELLS))))
+    covered = boxes.select(*FRAME, "x0", "y0", "x1", "y1").withColumn("__cx", cells("x0", "x1")).withColumn("__cy", cells("y0", "y1"))
+    placed = candidates.withColumns({"__cx": cell(F.col("x") * CELLS, CELLS), "__cy": cell(F.col("y") * CELLS, CELLS)})
+    on = [placed[c] == covered[c] for c in (*FRAME, "__cx", "__cy")]
+    inside = placed["x"].between(covered["x0"], covered["x1"]) & placed["y"].between(covered["y0"], covered["y1"])
+    free = placed.join(covered, [*on, inside], "left_anti").drop("__cx", "__cy")
+    bounds = areas.select("match_id", F.col("area").alias("__area"))
+    kept = free.join(bounds, "match_id", "left").where(F.col("__area").isNull() | in_polygon_of(F.col("x"), F.col("y"), F.col("__area")))
+    return kept.select(*candidates.columns)
 
 
 # ---- the court

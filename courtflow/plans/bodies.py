@@ -94,11 +94,15 @@ def pose_views(bodies):
     )
 
 
-@query("bodies")
-def padded_boxes(bodies):
+def boxes(bodies):
     """Boxes with room around players, in which no ball is looked for."""
     p = posed(bodies).withColumn("box", sh.padded_box(F.col("landmarks")))
-    return p.select("match_id", "frame_no", "player_id", *[r6(F.col(f"box.{c}"), c) for c in ("x0", "y0", "x1", "y1")])
+    return p.select("match_id", "frame_no", "player_id", "box.*")
+
+
+@query("bodies")
+def padded_boxes(bodies):
+    return boxes(bodies).select("match_id", "frame_no", "player_id", *[r6(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query("bodies")
@@ -135,6 +139,10 @@ def _class(hand: str) -> str:
     return f"case when ({base}) <> 'overhead' and {ZONE.format('court_y')} = 'net' then ({base}) || '-volley' else ({base}) end"
 
 
+PADDED = """seen as (select *, least(-0.02::double, case when w0v > 0.2 then w0x else 0 end, case when w1v > 0.2 then w1x else 0 end) as x0, greatest(0.02::double, case when w0v > 0.2 then w0x else 0 end, case when w1v > 0.2 then w1x else 0 end) as x1,
+  least(-0.1::double, case when w0v > 0.2 then w0y else 0 end, case when w1v > 0.2 then w1y else 0 end) as y0, greatest(0.08::double, case when w0v > 0.2 then w0y else 0 end, case when w1v > 0.2 then w1y else 0 end) as y1 from bodies),
+padded as (select match_id, frame_no, player_id, cx + x0 - (y1 - y0) * 0.12::double as x0, cy + y0 - (y1 - y0) * 0.1::double as y0, cx + x1 + (y1 - y0) * 0.12::double as x1, cy + y1 + (y1 - y0) * 0.05::double as y1 from seen)"""
+
 ORACLE_SQL = {
     "body_frames": with_tables(f", {_BODY} select match_id, frame_no, player_id, {s6('torso')} as torso, {s6('hx')} as hip_x, {s6('cy - 0.1::double')} as nose_y, {s6('ax')} as w0, {s6('by_')} as w1 from body", "bodies"),
     "wrist_speeds": with_tables(f", {_SPEEDS} select match_id, frame_no, player_id, wrist, {s6('speed')} as speed from speeds", "bodies"),
@@ -167,10 +175,7 @@ ORACLE_SQL = {
           least(-0.1::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y0, greatest(0.08::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y1 from bodies)
         select match_id, frame_no, player_id, {s6('(6 + w0v + w1v) / 8')} as quality, {s6('0.1::double + (cx + x0) * 0.5::double')} as x0, {s6('0.3::double + (cy + y0) * 0.6::double')} as y0, {s6('0.1::double + (cx + x1) * 0.5::double')} as x1,
           {s6('0.3::double + (cy + y1) * 0.6::double')} as y1, {s6('cx')} as feet_x, {s6('cy + 0.08::double')} as feet_y from v""", "bodies"),
-    "padded_boxes": with_tables(
-        f""", v as (select *, least(-0.02::double, case when w0v > 0.2 then w0x else 0 end, case when w1v > 0.2 then w1x else 0 end) as x0, greatest(0.02::double, case when w0v > 0.2 then w0x else 0 end, case when w1v > 0.2 then w1x else 0 end) as x1,
-          least(-0.1::double, case when w0v > 0.2 then w0y else 0 end, case when w1v > 0.2 then w1y else 0 end) as y0, greatest(0.08::double, case when w0v > 0.2 then w0y else 0 end, case when w1v > 0.2 then w1y else 0 end) as y1 from bodies)
-        select match_id, frame_no, player_id, {s6('cx + x0 - (y1 - y0) * 0.12::double')} as x0, {s6('cy + y0 - (y1 - y0) * 0.1::double')} as y0, {s6('cx + x1 + (y1 - y0) * 0.12::double')} as x1, {s6('cy + y1 + (y1 - y0) * 0.05::double')} as y1 from v""", "bodies"),
+    "padded_boxes": with_tables(f", {PADDED} select match_id, frame_no, player_id, {', '.join(f'{s6(c)} as {c}' for c in ('x0', 'y0', 'x1', 'y1'))} from padded", "bodies"),
     "same_bodies": with_tables(
         """, v as (select match_id, frame_no, player_id, cx, cy, cx + least(-0.02::double, case when w0v > 0.3 then w0x else 0 end, case when w1v > 0.3 then w1x else 0 end) as x0, cx + greatest(0.02::double, case when w0v > 0.3 then w0x else 0 end, case when w1v > 0.3 then w1x else 0 end) as x1,
           cy + least(-0.1::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y0, cy + greatest(0.08::double, case when w0v > 0.3 then w0y else 0 end, case when w1v > 0.3 then w1y else 0 end) as y1 from bodies),

@@ -53,14 +53,15 @@ middle as (select match_id, frame_no, list_sort(list(cr)) as a, list_sort(list(c
 surface as (select * from (select match_id, frame_no, a[len(a) // 2 + 1] as sr, c[len(c) // 2 + 1] as sg, l[len(l) // 2 + 1] as sl from middle) where sqrt(power(sr - 1 / 3, 2) + power(sg - 1 / 3, 2)) >= 0.03)"""
 _SQUARE = "from {0} p join {0} q on q.match_id = p.match_id and q.frame_no = p.frame_no and abs(q.x - p.x) <= 2 and abs(q.y - p.y) <= 2 group by 1, 2, 3, 4"
 
+BLOBS = f"""{_MASK}, reach as (with recursive k as (select match_id, frame_no, y, x, y * 100 + x as seed from mask
+  union select m.match_id, m.frame_no, m.y, m.x, k.seed from k join mask m on m.match_id = k.match_id and m.frame_no = k.frame_no and abs(m.y - k.y) <= 1 and abs(m.x - k.x) <= 1) select * from k),
+named as (select match_id, frame_no, y, x, min(seed) as blob from reach group by 1, 2, 3, 4),
+blobs as (select match_id, frame_no, (avg(x) + 0.5) / {WIDE} as x, (avg(y) + 0.5) / {HIGH} as y, count(*) as area from named group by match_id, frame_no, blob having count(*) <= {max(6, vi.MOST_SHARE * WIDE * HIGH)})"""
+
 ORACLE_SQL = {
     "box_means": with_tables(f", {_mean(2)} select match_id, frame_no, y, x, gray, {s6('mean')} as mean from around", "pixels"),
     "ball_pixels": with_tables(f", {_MASK} select * from mask", "pixels"),
-    "ball_blobs": with_tables(
-        f""", {_MASK}, reach as (with recursive k as (select match_id, frame_no, y, x, y * 100 + x as seed from mask
-          union select m.match_id, m.frame_no, m.y, m.x, k.seed from k join mask m on m.match_id = k.match_id and m.frame_no = k.frame_no and abs(m.y - k.y) <= 1 and abs(m.x - k.x) <= 1) select * from k),
-        named as (select match_id, frame_no, y, x, min(seed) as blob from reach group by 1, 2, 3, 4)
-        select match_id, frame_no, {s6(f'(avg(x) + 0.5) / {WIDE}')} as x, {s6(f'(avg(y) + 0.5) / {HIGH}')} as y, count(*) as area from named group by match_id, frame_no, blob having count(*) <= {max(6, vi.MOST_SHARE * WIDE * HIGH)}""", "pixels"),
+    "ball_blobs": with_tables(f", {BLOBS} select match_id, frame_no, {s6('x')} as x, {s6('y')} as y, area from blobs", "pixels"),
     "surface_colors": with_tables(f", {_SURFACE} select match_id, frame_no, {s6('sr')} as sr, {s6('sg')} as sg, {s6('sl')} as sl from surface", "pixels"),
     "carpet_pixels": with_tables(
         f""", {_SURFACE}, on0 as (select match_id, frame_no, y, x, case when sqrt(power(cr - sr, 2) + power(cg - sg, 2)) < 0.045 and lum > sl * 0.45 and lum < sl * 1.8 then 1 else 0 end as v from colored join surface using (match_id, frame_no)),

@@ -62,6 +62,13 @@ TABLES = {
                cast((e * 37) % 200 - 100 as double) / 500 + (court_x - floor(court_x)) / 50 as w0x, cast((e * 53) % 240 - 140 as double) / 700 as w0y, case when e % 7 = 0 then cast(0.2 as double) else cast(0.9 as double) end as w0v,
                cast((e * 91) % 220 - 110 as double) / 500 as w1x, cast((e * 29) % 250 - 150 as double) / 700 - (court_x - floor(court_x)) / 30 as w1y, case when e % 6 = 1 then cast(0.3 as double) else cast(0.8 as double) end as w1v
         from (select *, frame_no * 4 + match_id * 400 + player_id as e from ({poses}) as p) as b""",
+    "corners": """
+        select match_id, flx, fly, case when match_id % 7 = 3 then (flx + nrx) / 2 else frx end as frx, case when match_id % 7 = 3 then (fly + nry) / 2 else fry end as fry, nrx, nry,
+               case when match_id % 7 = 3 then flx + (nrx - flx) / 4 else nlx end as nlx, case when match_id % 7 = 3 then fly + (nry - fly) / 4 else nly end as nly
+        from (select match_id, cast(0.3 as double) + a / cast(5000 as double) as flx, cast(0.3 as double) - b / cast(6000 as double) as fly, cast(0.7 as double) + b / cast(4500 as double) as frx, cast(0.3 as double) + c / cast(5500 as double) as fry,
+                     cast(0.95 as double) - c / cast(4000 as double) as nrx, cast(0.95 as double) - d / cast(7000 as double) as nry, cast(0.05 as double) + d / cast(6000 as double) as nlx, cast(0.95 as double) - a / cast(6500 as double) as nly
+              from (select event_id {div} 400 as match_id, max(case when event_id % 4 = 0 then value else 0 end) as a, max(case when event_id % 4 = 1 then value else 0 end) as b,
+                           max(case when event_id % 4 = 2 then value else 0 end) as c, max(case when event_id % 4 = 3 then value else 0 end) as d from events group by event_id {div} 400) as m) as q""",
     "heard": """
         select event_id {div} 400 as match_id, cast((event_id % 400) {div} 4 as double) / 2 + cast(event_id % 3 as double) / 10 as t
         from events where event_id % 9 = 4""",
