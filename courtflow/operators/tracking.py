@@ -7,15 +7,17 @@ state that survives restarts, see ``courtflow.streaming``).
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLOTS, PER_SIDE, NET_Y = 4, 2, 10.0
 SPEED, SLACK, GATE, CUT_GATE, STALE_S = 8.0, 1.5, 4.0, 20.0, 2.0
+#: A player unseen for at most so long is looked for, within so many metres.
+LOOK_S, LOOK_M = 5.0, 4.0
 
 
 def greedy_pairs(cost: np.ndarray, limit: np.ndarray) -> list[tuple[int, int]]:
@@ -31,88 +33,165 @@ def greedy_pairs(cost: np.ndarray, limit: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
+ANYWHERE = 1e300
+
+
 @dataclass
 class Players:
-    """Up to four slots, two a side, each with the place and time it was last seen at (nan: not yet)."""
+    """Who is where: up to four slots, two a side, each with the place and the time of its last sighting.
+
+    A slot without a time (nan) is only reserved, because a slot of a higher number is
+    known. The whole state is these numbers and whether the picture has jumped.
+    """
 
     xy: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     seen: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    after_cut: bool = False
-
-    def cut(self) -> None:
-        """The picture jumped: the next detections are matched by side and nearness only."""
-        self.after_cut = True
-
-    def seed(self, t: float, places: dict[int, tuple[float, float]]) -> None:
-        """Starts from known places; ids keep their numbers."""
-        for i, xy in sorted(places.items()):
-            if 0 <= i < SLOTS:
-                while len(self.seen) <= i:
-                    self._open((-99.0, -99.0), math.nan)
-                self.xy[i], self.seen[i] = xy, t
-
-    def missing(self, t: float, within: float = 5.0) -> list[int]:
-        """Slots last seen before t, but no longer than ``within`` ago."""
-        return np.nonzero((self.seen < t) & (t - self.seen <= within))[0].tolist()
-
-    def confirm(self, i: int, t: float, xy: tuple[float, float]) -> bool:
-        """Records a sighting of a slot found by a closer look, if it could be there."""
-        if i >= len(self.seen) or math.isnan(self.seen[i]):
-            return False
-        near = math.dist(self.xy[i], xy) <= min(GATE, SPEED * max(t - self.seen[i], 0.0) + SLACK)
-        if not near or (self.xy[i, 1] > NET_Y) != (xy[1] > NET_Y):
-            return False
-        self.xy[i], self.seen[i] = xy, t
-        return True
+    jumped: bool = False
+
+    @staticmethod
+    def known(places: pd.DataFrame) -> Players:
+        """From places(slot, t, x, y), the last sightings of an analysis that goes on; numbers that are no slots are left out."""
+        own = places[places["slot"].between(0, SLOTS - 1)].sort_values("t", kind="stable").drop_duplicates("slot", keep="last")
+        out = Players()
+        for _ in range(int(own["slot"].max()) + 1 if len(own) else 0):
+            out._open((np.nan, np.nan), np.nan)
+        at = own["slot"].to_numpy(dtype=int)
+        out.xy[at], out.seen[at] = own[["x", "y"]].to_numpy(), own["t"].to_numpy()
+        return out
 
     def _open(self, xy, t: float) -> int:
         self.xy, self.seen = np.vstack([self.xy, [xy]]), np.append(self.seen, t)
         return len(self.seen) - 1
 
+    def distances(self, t: float, found: np.ndarray, jumped: bool = False) -> np.ndarray:
+        """Metres from each slot to each place, inf where the slot's player can't be there at t.
+
+        Nobody crosses the net, and nobody moves farther than a run since the last
+        sighting allows; after a jump of the picture anything on the own side goes.
+        """
+        apart = np.linalg.norm(self.xy[:, None] - found[None], axis=2)
+        with np.errstate(invalid="ignore"):
+            reach = np.where(jumped, CUT_GATE, np.minimum(GATE, SPEED * np.maximum(t - self.seen, 0) + SLACK))
+            possible = ~np.isnan(self.seen)[:, None] & (apart <= reach[:, None])
+            return np.where(possible & ((self.xy[:, None, 1] > NET_Y) == (found[None, :, 1] > NET_Y)), apart, np.inf)
+
     def assign(self, t: float, found: np.ndarray) -> list[int]:
         """The slot of each detection (n, 2), or -1."""
         found = np.asarray(found, dtype=float).reshape(-1, 2)
-        slots = np.full(len(found), -1)
-        known = ~np.isnan(self.seen)
-        apart = np.linalg.norm(self.xy[:, None] - found[None], axis=2)
-        with np.errstate(invalid="ignore"):
-            reach = np.full(len(self.seen), CUT_GATE) if self.after_cut else np.minimum(GATE, SPEED * np.maximum(t - self.seen, 0) + SLACK)
-        possible = known[:, None] & ((self.xy[:, None, 1] > NET_Y) == (found[None, :, 1] > NET_Y))
-        for s, d in greedy_pairs(np.where(possible, apart, np.inf), np.broadcast_to(np.where(known, reach, -1.0)[:, None], apart.shape)):
+        slots, apart = np.full(len(found), -1), self.distances(t, found, self.jumped)
+        for s, d in greedy_pairs(apart, np.full(apart.shape, ANYWHERE)):
             slots[d] = s
         taken = {int(s) for s in slots if s >= 0}
         for d in np.nonzero(slots < 0)[0]:
-            side = found[d, 1] > NET_Y
-            own_side = ~np.isnan(self.seen) & ((self.xy[:, 1] > NET_Y) == side)
+            own_side = ~np.isnan(self.seen) & ((self.xy[:, 1] > NET_Y) == (found[d, 1] > NET_Y))
             if len(self.seen) < SLOTS and own_side.sum() < PER_SIDE:
                 slots[d] = self._open(found[d], t)
             else:  # someone lost for a while on this half, or a slot that was only reserved
                 lost = np.isnan(self.seen) | ((t - self.seen >= STALE_S) & own_side)
                 lost[list(taken)] = False
                 if lost.any():
-                    slots[d] = int(np.argmin(np.where(lost, np.linalg.norm(self.xy - found[d], axis=1), np.inf)))
+                    # a reserved slot has been nowhere: it is taken if nobody lost is there
+                    slots[d] = int(np.argmin(np.where(lost, np.nan_to_num(np.linalg.norm(self.xy - found[d], axis=1), nan=ANYWHERE), np.inf)))
             taken.add(int(slots[d])) if slots[d] >= 0 else None
         for d in np.nonzero(slots >= 0)[0]:
             self.xy[slots[d]], self.seen[slots[d]] = found[d], t
-        if len(found):
-            self.after_cut = False
+        self.jumped &= not len(found)
         return slots.tolist()
 
-
+    def frame(self, t: float, found: np.ndarray, numbers: list[int], looks: list[tuple[int, int, tuple[float, float], frozenset[int]]], cut: bool = False) -> tuple[list[int], list[int]]:
+        """One frame: the slot of each detection, and which closer looks show the player they looked for.
+
+        ``numbers`` are the detections' numbers in the frame. A look is (number, slot,
+        place, numbers of sightings that show the same body), clearest first. It is for a
+        player seen lately but not now; the clearest one near enough that shows nobody
+        who is found already counts, if the player can be there.
+        """
+        self.jumped |= cut
+        slots = self.assign(t, found)
+        taken = {n for n, s in zip(numbers, slots, strict=True) if s >= 0}
+        good = []
+        for slot in np.nonzero((self.seen < t) & (t - self.seen <= LOOK_S))[0].tolist() if looks else ():
+            near = (look for look in looks if look[1] == slot and np.hypot(*(self.xy[slot] - look[2])) < LOOK_M and not look[3] & taken)
+            if (best := next(near, None)) and self.distances(t, np.array([best[2]]))[slot, 0] < np.inf:
+                self.xy[slot], self.seen[slot] = best[2], t
+                taken.add(best[0])
+                good.append(best[0])
+        return slots, good
+
+
+#: Kinds of a sighting: the picture jumps, somebody is detected, a closer look shows somebody, the match ends (a stream forgets it).
+CUT, DETECTED, LOOKED, END = 0, 1, 2, 3
+SIGHTING = "match_id long, t double, kind int, seq int, slot int, x double, y double, same array<int>"
 IDENTITY = "match_id long, t double, seq int, x double, y double, player_id int"
 
 
+def sightings(detections: DataFrame, looks: DataFrame | None = None, cuts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """All that the tracker goes by as one table, so that one keyed state meets it in order.
+
+    detections(match_id, t, seq, x, y), looks(match_id, t, seq, slot, x, y, same
+    array<int>), clearest first by seq, cuts and ends(match_id, t). ``seq`` numbers the sightings
+    of a frame, ``slot`` is the player looked for, ``same`` the sightings of one body.
+    """
+    names = [c.split()[0] for c in SIGHTING.split(", ")]
+    none = {"seq": "int", "slot": "int", "x": "double", "y": "double", "same": "array<int>"}
+
+    def kind(df: DataFrame, k: int) -> DataFrame:
+        have = {c: F.col(c) for c in df.columns}
+        return df.select("match_id", "t", F.lit(k).alias("kind"), *[have.get(c, F.lit(None)).cast(none[c]).alias(c) for c in names[3:]])
+
+    out = kind(detections, DETECTED)
+    for df, k in ((looks, LOOKED), (cuts, CUT), (ends, END)):
+        out = out.unionByName(kind(df, k)) if df is not None else out
+    return out
+
+
+def advance(players: Players, rows: pd.DataFrame) -> pd.DataFrame:
+    """Advances the state by one match's sightings, frame by frame; the detections, and the looks that count, with their player_id."""
+    rows = rows.sort_values(["t", "kind", "seq"], kind="stable").reset_index(drop=True)
+    kinds, numbers, places = rows["kind"].to_numpy(), rows["seq"].fillna(-1).to_numpy(dtype=int), rows[["x", "y"]].to_numpy(dtype=float)
+    same, slot = rows["same"], rows["slot"].fillna(-1).to_numpy(dtype=int)
+    ids = np.full(len(rows), -2)
+    for t, at in rows.groupby("t", sort=True).indices.items():
+        seen, near = at[kinds[at] == DETECTED], at[kinds[at] == LOOKED]
+        looks = [(int(numbers[i]), int(slot[i]), tuple(places[i]), frozenset() if same[i] is None else frozenset(map(int, same[i]))) for i in near]
+        slots, good = players.frame(float(t), places[seen], numbers[seen].tolist(), looks, bool((kinds[at] == CUT).any()))
+        ids[seen] = slots
+        for i in near:
+            if numbers[i] in good:
+                ids[i] = slot[i]
+    return rows.assign(player_id=ids.astype("int32"))[ids > -2][["match_id", "t", "seq", "x", "y", "player_id"]]
+
+
+def followed(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``sightings`` with ``player_id``, -1 where a detection is nobody's; looks only where they count.
+
+    known(match_id, slot, t, x, y) are sightings of an earlier part: slots keep their
+    numbers. Rows without a time are left out.
+    """
+    events = events.where("t is not null")
+    if known is None:
+        return events.groupBy("match_id").applyInPandas(lambda rows: advance(Players(), rows), IDENTITY)
+    both = lambda _, places, rows: advance(Players.known(places), rows)
+    empty = lambda key, places, rows: both(key, places, rows) if len(rows) else pd.DataFrame(columns=["match_id", "t", "seq", "x", "y", "player_id"])
+    return known.select("match_id", "slot", "t", "x", "y").groupBy("match_id").cogroup(events.groupBy("match_id")).applyInPandas(empty, IDENTITY)
+
+
 def identified(detections: DataFrame) -> DataFrame:
     """detections(match_id, t, seq, x, y) with ``player_id``, -1 where a detection is nobody's."""
+    return followed(sightings(detections.select("match_id", "t", "seq", "x", "y")))
+
+
+def last_places(saved: DataFrame) -> DataFrame:
+    """known(match_id, slot, t, x, y) of saved rows with player_id: who is in each match's last frame."""
+    last = saved.groupBy("match_id").agg(F.max("t").alias("t"))
+    return saved.where("player_id >= 0").join(last, ["match_id", "t"]).select("match_id", F.col("player_id").alias("slot"), "t", "x", "y")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, tracker = rows.sort_values(["t", "seq"], kind="stable").reset_index(drop=True), Players()
-        ids = np.full(len(rows), -1)
-        for t, at in rows.groupby("t", sort=True).indices.items():
-            ids[at] = tracker.assign(float(t), rows.loc[at, ["x", "y"]].to_numpy())
-        return rows.assign(player_id=ids.astype("int32"))[["match_id", "t", "seq", "x", "y", "player_id"]]
 
-    return detections.select("match_id", "t", "seq", "x", "y").groupBy("match_id").applyInPandas(run, IDENTITY)
+def joined_parts(saved: DataFrame, live: DataFrame) -> DataFrame:
+    """Rows of an earlier part and of the part that goes on from it; what is later than the earlier part's end counts, so no moment comes twice."""
+    ends = saved.groupBy("match_id").agg(F.max("t").alias("__end"))
+    new = live.join(ends, "match_id", "left").where(F.col("__end").isNull() | (F.col("t") > F.col("__end"))).drop("__end")
+    return saved.unionByName(new)
 
 
 # ---- the ball

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtflow.functions.geometry import on_court
+from courtflow.operators import shots as sh
 from courtflow.operators import tracking as tr
-from courtflow.plans.shared import query, r6
+from courtflow.plans.shared import query, r6, s6
 from courtflow.sources.store import Checkpoint, MatchStore
 from courtflow.sources.surrogate import table, with_tables
 from courtflow.streaming import live
@@ -36,18 +37,27 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or tempfile.mkdtemp(prefix="courtflow-")).rstrip("/")
 
 
+GAP, LATE = "40000 seconds", "1 hour"
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of events per user without a pause over 40,000 s, by a stream that reads the table once and ends.
+    """Sessions of events per user without a pause over 40,000 s, by a stream that appends each once its end has passed.
 
-    The sessions still open at the end count too, so the sink takes the complete state.
+    The stream reads the table and stops; started again from its checkpoint it meets one
+    row of nobody after all others, which lets the watermark pass the sessions that were
+    still open. What is closed leaves the state.
     """
     path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
-    source = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*").select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("ts"))
-    sessions = live.rallies(events, "40000 seconds", "1 hour")
-    stream = sessions.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    stream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
-    found = spark.read.parquet(f"{path}/out")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.select(F.lit(None).cast("long").alias("match_id"), (F.max(F.col("ts").cast("timestamp")) + F.expr(f"interval {GAP}") * 2 + F.expr(f"interval {LATE}") * 2).alias("ts"))
+    last.where("false").write.parquet(f"{path}/end")
+    exactly = f"{sf_dir}/events.parque[t]"  # a stream takes a folder or a pattern; this one fits the table alone, file or folder
+    for _ in range(2):
+        source = spark.readStream.schema(events.schema).parquet(exactly).select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("ts"))
+        end = spark.readStream.schema(last.schema).parquet(f"{path}/end")
+        live.append_parquet(live.rallies(source.unionByName(end), GAP, LATE), f"{path}/out", f"{path}/state").awaitTermination()
+        last.write.mode("append").parquet(f"{path}/end")
+    found = spark.read.schema("match_id long, start_ts timestamp, last_ts timestamp, n_shots long").parquet(f"{path}/out")
     return found.select("match_id", "n_shots", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
@@ -58,6 +68,66 @@ def known_identities(seen):
     return found.groupBy("match_id", "player_id").agg(F.count("*").alias("n"), r6(F.sum("x"), "x"), r6(F.sum("y"), "y"))
 
 
+def _by_player(found: DataFrame) -> DataFrame:
+    return found.groupBy("match_id", "player_id").agg(F.count("*").alias("n"), r6(F.sum("x"), "x"), r6(F.sum("y"), "y"))
+
+
+#: A player is hidden in every fifth frame, each in turn, and the picture cuts to players five metres to the right at this time.
+HIDDEN, CUT_T, MOVED = "cast(t * 2 as int) % 5 = 2 and place = cast(t * 2 as int) div 5 % 4", 20.0, 5.0
+
+
+@query("known_players")
+def focused_identities(seen):
+    """Players who are hidden now and then and found by a closer look, and a cut: the tracker goes by detections, looks and the cut.
+
+    Before the place that is right a look offers a body that is found already and, to no
+    avail, one across the net.
+    """
+    x = F.when(F.col("t") >= CUT_T, F.col("x") + MOVED).otherwise(F.col("x"))
+    places = seen.withColumn("x", x)
+    hidden = places.where(HIDDEN)
+    # after the cut each side's right player is where the left one is looked for
+    slot = F.when(F.col("t") >= CUT_T, F.col("place").bitwiseXOR(F.lit(1))).otherwise(F.col("place"))
+    partner = places.withColumn("place", F.col("place").bitwiseXOR(F.lit(1))).select("match_id", "t", "place", F.col("seq").alias("partner"))
+    looks = hidden.join(partner, ["match_id", "t", "place"], "left").select("match_id", "t", slot.alias("slot"), "x", "y", "partner")
+    body, across, right = (
+        looks.withColumns({"seq": F.lit(10), "same": F.array("partner")}),
+        looks.withColumns({"seq": F.lit(12), "same": F.lit(None).cast("array<int>"), "y": 20 - F.col("y")}),
+        looks.withColumns({"seq": F.lit(11), "same": F.lit(None).cast("array<int>")}),
+    )
+    cuts = seen.where(F.col("t") == CUT_T).select("match_id", "t").distinct()
+    events = tr.sightings(places.where(f"not ({HIDDEN})"), body.unionByName(right).unionByName(across), cuts)
+    return _by_player(tr.followed(events))
+
+
+def resumed_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker's first half of each match saved, the rest streamed from the places saved last, and both joined without a frame twice."""
+    path = f"{shared_folder(spark)}/resumed-{uuid.uuid4().hex}"
+    events = tr.sightings(table(spark, sf_dir, "known_players").select("match_id", "t", "seq", "x", "y"))
+    tr.followed(events.where("t < 25")).write.parquet(f"{path}/saved")
+    events.where("t >= 24").write.parquet(f"{path}/rest")
+    saved = spark.read.parquet(f"{path}/saved")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/rest")
+    live.append_parquet(live.followed(stream, tr.last_places(saved)), f"{path}/out", f"{path}/state").awaitTermination()
+    return _by_player(tr.joined_parts(saved, spark.read.schema(saved.schema).parquet(f"{path}/out")))
+
+
+@query("known_ball")
+def resumed_ball(seen):
+    """A ball track saved half-way and one that begins a little earlier, joined: no observation comes twice."""
+    track = lambda df: tr.ball_track(df.select("match_id", "t", "x", "y")).drop("seq")
+    whole = tr.joined_parts(track(seen.where("t < 1.6")), track(seen.where("t >= 1.3")))
+    return whole.groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("t").alias("times"), r6(F.min("t"), "first"), r6(F.max("t"), "last"), r6(F.sum("x"), "x"))
+
+
+@query("pixels")
+def picture_cuts(pixels):
+    """Frames whose red and green differ much from the frame before."""
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g")))
+    thumbs = pixels.groupBy("match_id", "frame_no").agg(F.flatten(F.transform(ordered, lambda p: F.array(p["r"], p["g"]))).alias("pixels"))
+    return sh.scene_cuts(thumbs)
+
+
 @query("known_ball")
 def known_ball(seen):
     """One ball that flies and a spot that stays: the track is the flight."""
@@ -86,10 +156,18 @@ def joined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("match_id").agg(F.count("*").alias("n"), r6(F.max("t"), "last"), F.lit(torn is None).cast("int").alias("torn"))
 
 
-QUERIES = {"known_identities": known_identities, "known_ball": known_ball, "saved_matches": saved_matches, "joined_chunks": joined_chunks, "identity_tracks": identity_tracks, "ball_tracks": ball_tracks, "streamed_sessions": streamed_sessions}
+QUERIES = {"focused_identities": focused_identities, "resumed_identities": resumed_identities, "resumed_ball": resumed_ball, "picture_cuts": picture_cuts, "known_identities": known_identities, "known_ball": known_ball, "saved_matches": saved_matches, "joined_chunks": joined_chunks, "identity_tracks": identity_tracks, "ball_tracks": ball_tracks, "streamed_sessions": streamed_sessions}
 
 ORACLE_SQL = {
     "known_identities": with_tables("select match_id, place as player_id, count(*) as n, floor(sum(x) * 1000000 + 0.5) / 1000000 as x, floor(sum(y) * 1000000 + 0.5) / 1000000 as y from known_players group by 1, 2", "known_players"),
+    "focused_identities": with_tables(
+        f"""select match_id, case when t >= {CUT_T} then xor(place, 1) else place end as player_id, count(*) as n, {s6(f'sum(case when t >= {CUT_T} then x + {MOVED}::double else x end)')} as x, {s6('sum(y)')} as y
+        from known_players group by 1, 2""", "known_players"),
+    "resumed_identities": with_tables(f"select match_id, place as player_id, count(*) as n, {s6('sum(x)')} as x, {s6('sum(y)')} as y from known_players group by 1, 2", "known_players"),
+    "resumed_ball": with_tables(f"select match_id, count(*) as n, count(*) as times, {s6('min(t)')} as first, {s6('max(t)')} as last, {s6('sum(x)')} as x from known_ball where moving group by 1", "known_ball"),
+    "picture_cuts": with_tables(
+        """select p.match_id, p.frame_no from pixels p join pixels q on q.match_id = p.match_id and q.frame_no = p.frame_no - 1 and q.y = p.y and q.x = p.x
+        group by 1, 2 having avg((abs(p.r - q.r) + abs(p.g - q.g)) / 2) > 12""", "pixels"),
     "known_ball": with_tables("select match_id, count(*) as n, floor(min(t) * 1000000 + 0.5) / 1000000 as first, floor(max(t) * 1000000 + 0.5) / 1000000 as last, floor(sum(x) * 1000000 + 0.5) / 1000000 as x, count(*) - 1 as last_seq from known_ball where moving group by 1", "known_ball"),
     "saved_matches": with_tables("select match_id, created_at, case when me is null then 'first' else 'again ' || me end as title from matches", "matches"),
     "joined_chunks": with_tables("select match_id, count(*) as n, max(t) as last, 1 as torn from frames where t < 50 group by 1", "frames"),

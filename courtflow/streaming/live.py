@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from courtflow.operators.tracking import IDENTITY, Paths, Players
+from courtflow.operators.tracking import END, IDENTITY, Paths, Players, advance, sightings
 
 
 def rallies(shots: DataFrame, gap: str = "4 seconds", late: str = "10 seconds") -> DataFrame:
@@ -25,24 +24,49 @@ def rallies(shots: DataFrame, gap: str = "4 seconds", late: str = "10 seconds")
     return windowed.agg(F.count("*").alias("n_shots"), F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts")).where("n_shots >= 2").select("match_id", "start_ts", "last_ts", "n_shots")
 
 
-def identities(detections: DataFrame) -> DataFrame:
-    """The tracker on a stream of detections(match_id, t, seq, x, y): one state of four slots for each match.
+#: The tracker's whole state of a match.
+PLAYERS_STATE = "x array<double>, y array<double>, seen array<double>, jumped boolean"
+PLACES = "array<struct<slot: int, t: double, x: double, y: double>>"
+
+
+def followed(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The tracker on a stream of ``tracking.sightings``, each match going on from known(match_id, slot, t, x, y) where that is given.
 
-    Within a match detections must arrive in order of time over micro-batches.
+    Within a match sightings must arrive in order of time over micro-batches, those of
+    one time together. ``known`` is a batch table; its places, four a match at most, come
+    with the rows and count where a match has no state yet. The state is typed numbers,
+    four places at most, and goes with the row that ends the match (a timeout by the
+    clock would keep a stream that reads what is there from ever ending).
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = pickle.loads(state.get[0]) if state.exists else Players()
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
-        ids = [-1] * len(rows)
-        for t, at in rows.groupby("t", sort=True).indices.items():
-            for i, player in zip(at, tracker.assign(float(t), rows.loc[at, ["x", "y"]].to_numpy()), strict=True):
-                ids[i] = player
-        state.update((pickle.dumps(tracker),))
-        yield rows.assign(player_id=pd.Series(ids, dtype="int32"))[["match_id", "t", "seq", "x", "y", "player_id"]]
+        rows = pd.concat(list(batches))
+        if state.exists:
+            x, y, seen, jumped = state.get
+            players = Players(np.array([x, y], dtype=float).T.reshape(-1, 2), np.array(seen, dtype=float), bool(jumped))
+        else:
+            given = rows["known"].iloc[0]
+            players = Players.known(pd.DataFrame(list(map(dict, given)) if given is not None else [], columns=["slot", "t", "x", "y"]))
+        out = advance(players, rows)
+        if (rows["kind"] == END).any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update((players.xy[:, 0].tolist(), players.xy[:, 1].tolist(), players.seen.tolist(), bool(players.jumped)))
+        yield out
+
+    if known is None:
+        events = events.withColumn("known", F.lit(None).cast(PLACES))
+    else:
+        place = F.struct(F.col("slot").cast("int").alias("slot"), F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        events = events.join(known.groupBy("match_id").agg(F.collect_list(place).alias("known")), "match_id", "left")
+    grouped = events.where("t is not null").groupBy("match_id")
+    return grouped.applyInPandasWithState(run, IDENTITY, PLAYERS_STATE, "append", GroupStateTimeout.NoTimeout)
+
 
-    grouped = detections.select("match_id", "t", "seq", "x", "y").groupBy("match_id")
-    return grouped.applyInPandasWithState(run, IDENTITY, "slots binary", "append", GroupStateTimeout.NoTimeout)
+def identities(detections: DataFrame) -> DataFrame:
+    """``followed`` for detections(match_id, t, seq, x, y) alone."""
+    return followed(sightings(detections.select("match_id", "t", "seq", "x", "y")))
 
 
 def ball_paths(candidates: DataFrame) -> DataFrame:

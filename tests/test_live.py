@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 
-from courtflow.operators.tracking import ball_track, identified, track_of_paths
+from courtflow.operators.tracking import ball_track, followed, identified, joined_parts, last_places, sightings, track_of_paths
 from courtflow.sources.store import Checkpoint, MatchStore, checkpoint_key, valid_goals
 from courtflow.streaming import live
 
@@ -33,6 +33,33 @@ def test_streamed_identities_agree_with_batch_over_a_restart(spark, tmp_path):
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
 
 
+def test_a_tracker_goes_on_from_saved_rows(spark, tmp_path):
+    """In one piece, in two batches, and as a batch and a stream: the same identities, also where a slot is missing at the seam."""
+    four = np.array([[2.5, 15.0], [7.5, 15.0], [2.5, 5.0], [7.5, 5.0]])
+    schema = "match_id long, t double, seq int, x double, y double"
+    rows = [(m, t / 10, i, *map(float, four[j] + 0.01 * t)) for m in (4, 5) for t in range(20) for i, j in enumerate(np.random.default_rng(t).permutation(4)) if (m, t, j) != (5, 9, 1)]
+    rows += [(6, 1.5, 0, 2.5, 15.0), (7, 0.2, 0, 2.5, 15.0)]  # matches of one part only
+    whole = sightings(spark.createDataFrame(rows, schema))
+    saved = followed(whole.where("t < 1")).cache()
+    known, rest = last_places(saved), whole.where("t >= 0.8")
+    assert known.where("match_id = 5").count() == 3
+    batch = joined_parts(saved, followed(rest, known))
+    # three micro-batches; one match ends in the second and starts anew in the third
+    again = sightings(spark.createDataFrame([(6, 0.0, 0, 7.5, 5.0)], schema))
+    ends = sightings(spark.createDataFrame([], schema), ends=spark.createDataFrame([(6, 1.6)], "match_id long, t double"))
+    for part in (rest.where("t < 1.4"), rest.where("t >= 1.4").unionByName(ends), again):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rest.schema).parquet(str(tmp_path / "in"))
+        live.append_parquet(live.followed(stream, known), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [tuple(r) for r in out.where("match_id = 6").orderBy("t").collect()] == [(6, 0.0, 0, 7.5, 5.0, 0), (6, 1.5, 0, 2.5, 15.0, 0)]
+    streamed = joined_parts(saved, out.where("t > 0"))
+    want = sorted(map(tuple, followed(whole).collect()))
+    assert len(want) == len(rows)
+    for got in (batch, streamed):
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_streamed_ball_agrees_with_batch_over_restarts(spark, tmp_path):
     """Three flights, the last two at one time, a spot that stays, and stray candidates away from them, in three runs of the stream."""
     noise = np.random.default_rng(3)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,12 +116,33 @@ def test_identities_survive_shuffling_and_reject_a_fifth():
     assert t.assign(0.0, FOUR) == [0, 1, 2, 3]
     assert t.assign(0.1, FOUR[[3, 0, 1, 2]]) == [3, 0, 1, 2]
     assert t.assign(0.2, np.vstack([FOUR, [[5.0, 15.0]]]))[4] == -1
-    assert t.missing(0.3) == [0, 1, 2, 3] and not t.confirm(0, 0.3, (2.5, 5.0)) and t.confirm(0, 0.3, (2.6, 15.1))
-    t.cut()
-    assert t.assign(0.4, FOUR[[1, 0, 3, 2]]) == [1, 0, 3, 2]
-    seeded = tr.Players()
-    seeded.seed(0.0, {i: tuple(xy) for i, xy in enumerate(FOUR)})
+    # a player lost for over two seconds is found again anywhere on the same half
+    assert t.assign(1.0, FOUR[[0, 2, 3]]) == [0, 2, 3]
+    assert t.assign(4.0, np.vstack([FOUR[0], [5.0, 11.0], FOUR[2:]])) == [0, 1, 2, 3]
+    seeded = tr.Players.known(pd.DataFrame({"slot": [0, 1, 2, 3, 7], "t": 0.0, "x": [*FOUR[:, 0], 1], "y": [*FOUR[:, 1], 1]}))
     assert seeded.assign(0.1, FOUR[[3, 0, 1, 2]]) == [3, 0, 1, 2]
+    # a slot that is only reserved waits for somebody new
+    gap = tr.Players.known(pd.DataFrame({"slot": [2], "t": [0.0], "x": [2.5], "y": [5.0]}))
+    assert np.isnan(gap.seen).tolist() == [True, True, False] and gap.assign(0.1, FOUR)[2] == 2 and len(gap.seen) == 4
+
+
+def test_closer_looks_and_cuts():
+    look = lambda n, slot, xy, same=(): (n, slot, xy, frozenset(same))
+    start = lambda: (t := tr.Players(), t.assign(0.0, FOUR))[0]
+    three, numbers = FOUR[[0, 1, 2]], [0, 1, 2]
+    # the clearest look that shows nobody who is found, near enough and on the right side
+    assert start().frame(0.5, three, numbers, [look(5, 3, (2.6, 5.1), {2}), look(6, 3, (7.4, 5.2)), look(7, 3, (7.5, 5.0))]) == ([0, 1, 2], [6])
+    assert start().frame(0.5, three, numbers, [look(5, 3, (7.5, 9.5))]) == ([0, 1, 2], [])
+    assert start().frame(0.1, three, numbers, [look(5, 3, (7.5, 7.5)), look(6, 3, (7.5, 5.0))]) == ([0, 1, 2], [])  # only the clearest is tried
+    assert start().frame(0.5, FOUR, [0, 1, 2, 3], [look(5, 3, (7.5, 5.0))]) == ([0, 1, 2, 3], [])
+    assert start().frame(5.5, three, numbers, [look(5, 3, (7.5, 5.0))]) == ([0, 1, 2], [])  # unseen for too long
+    assert start().frame(0.5, FOUR[:2], [0, 1], [look(5, 2, (4.9, 5.0)), look(6, 3, (5.0, 5.0), {5}), look(7, 3, (7.0, 5.0))]) == ([0, 1], [5, 7])
+    moved = FOUR + [[5.0, 0.0]]
+    assert start().frame(0.5, moved, [0, 1, 2, 3], [])[0] == [1, -1, 3, -1] and start().frame(0.5, moved, [0, 1, 2, 3], [], True)[0] == [1, 0, 3, 2]
+    # a cut holds until somebody is seen
+    t = start()
+    assert t.frame(0.5, np.zeros((0, 2)), [], [], True) == ([], []) and t.jumped
+    assert t.frame(0.6, moved, [0, 1, 2, 3], [])[0] == [1, 0, 3, 2] and not t.jumped
 
 
 def test_identities_and_ball_in_spark(spark):
