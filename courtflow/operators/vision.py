@@ -9,7 +9,6 @@ small numpy helpers run per frame.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -48,17 +47,38 @@ def ball_mask(pixels: DataFrame) -> DataFrame:
 
 
 def labels(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
-    """A number for the connected blob of each masked pixel: least numbers spread to neighbours until nothing changes."""
-    grid = np.full((y.max() + 3, x.max() + 3), len(y), dtype=np.int64)
-    grid[y + 1, x + 1] = np.arange(len(y))
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
-    while True:
-        own = grid[y + 1, x + 1]
-        least = np.minimum.reduce([own, *[grid[y + 1 + a, x + 1 + b] for a, b in steps]])
-        least = np.minimum(least, least[np.minimum(least, len(y) - 1)])
-        if (least == own).all():
-            return own
-        grid[y + 1, x + 1] = least
+    """A number for the connected blob of each masked pixel.
+
+    Runs of a row are the nodes; a run and those it touches in the next row are found in
+    one search over sorted run ends and united. The work grows with runs, not with how
+    long or bent a blob is.
+    """
+    order = np.lexsort((x, y))
+    ys, xs = y[order].astype(np.int64), x[order].astype(np.int64)
+    first = np.concatenate([[True], (ys[1:] != ys[:-1]) | (xs[1:] > xs[:-1] + 1)])
+    run = np.cumsum(first) - 1
+    last = np.concatenate([first[1:], [True]])
+    row, low, high = ys[first], xs[first], xs[last]
+    wide = int(xs.max() - xs.min()) + 3
+    at = lambda r, c: r * wide + (c - xs.min() + 1)
+    reach = 1 if diagonal else 0
+    begin = np.searchsorted(at(row, high), at(row + 1, low - reach), side="left")
+    end = np.searchsorted(at(row, low), at(row + 1, high + reach), side="right")
+    top = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, (s, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        for j in range(s, e):
+            p, q = find(i), find(j)
+            top[max(p, q)] = min(p, q)
+    out = np.empty(len(y), dtype=np.int64)
+    out[order] = np.array([find(i) for i in range(len(row))], dtype=np.int64)[run]
+    return out
 
 
 def ball_candidates(pixels: DataFrame, width: int, height: int) -> DataFrame:
@@ -146,12 +166,42 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]))
 
 
-def _four(hull: np.ndarray) -> np.ndarray:
-    """Four hull points of (nearly) largest area: all choices among the hull's sharpest corners."""
-    a, b = hull - np.roll(hull, 1, axis=0), np.roll(hull, -1, axis=0) - hull
-    turn = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0])
-    pick = np.sort(np.argsort(-turn)[:16])
-    return max((hull[list(c)] for c in combinations(pick.tolist(), 4)), key=_area)
+def largest_quad(hull: np.ndarray) -> np.ndarray:
+    """The four points of a convex hull (in order) whose quadrilateral is largest.
+
+    For every diagonal the farthest point on either side: as the diagonal's end moves on
+    round the hull, so do both of them, so the work grows with the square of the hull.
+    """
+    n, best, found = len(hull), -1.0, (0, 0, 0, 0)
+    x, y = hull[:, 0].tolist(), hull[:, 1].tolist()
+
+    def off(a: int, b: int, c: int) -> float:
+        return abs((x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a]))
+
+    for i in range(n):
+        j, m = i + 1, i + 3
+        for k in range(i + 2, i + n - 1):
+            while j + 1 < k and off(i, k % n, (j + 1) % n) >= off(i, k % n, j % n):
+                j += 1
+            m = max(m, k + 1)
+            while m + 1 < i + n and off(i, k % n, (m + 1) % n) >= off(i, k % n, m % n):
+                m += 1
+            area = off(i, k % n, j % n) + off(i, k % n, m % n)
+            if area > best:
+                best, found = area, (i, j % n, k % n, m % n)
+    return hull[list(found)]
+
+
+def largest_quads(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., area): of the point sets points(keys..., x, y) the area of the largest quadrilateral, if three points don't lie on a line."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        hull = _hull(rows[["x", "y"]].to_numpy(dtype=float))
+        out = rows[keys].head(1 if len(hull) > 2 else 0)
+        return out.assign(area=_area(largest_quad(hull) if len(hull) > 3 else hull) if len(out) else 0.0)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+    return points.select(*keys, "x", "y").groupBy(*keys).applyInPandas(run, f"{fields}, area double")
 
 
 def court_corners(pixels: DataFrame, width: int, height: int) -> DataFrame:
@@ -169,7 +219,7 @@ def court_corners(pixels: DataFrame, width: int, height: int) -> DataFrame:
         if not 0.05 <= len(y) / (width * height) <= 0.92:
             return none
         hull = _hull(np.concatenate([np.stack([x, y], 1), np.stack([x + 1, y], 1)]).astype(float))
-        if len(hull) < 4 or _area(quad := _four(hull)) < 0.85 * _area(hull):
+        if len(hull) < 4 or _area(quad := largest_quad(hull)) < 0.85 * _area(hull):
             return none
         quad = quad[np.argsort(quad[:, 1], kind="stable")] / [width, height]
         far, near = (q[np.argsort(q[:, 0])] for q in (quad[:2], quad[2:]))

@@ -110,3 +110,68 @@ def test_poses_of_a_tile_reach_the_court(spark):
     rows = spark.createDataFrame([(0, 1, body, tile), (0, 2, away, tile), (1, 3, body, tile), (7, 4, body, tile)], "match_id long, k int, landmarks array<struct<x: double, y: double, visibility: double>>, tile struct<x: double, y: double, w: double, h: double>")
     (r,) = court.seen_poses(rows, courts).collect()
     assert r.k == 1 and math.isclose(r.court_x, 5, abs_tol=1e-9) and abs(r.court_y) < 1e-9 and math.isclose(r.quality, 1.0) and math.isclose(r.landmarks[27].y, 0.3)
+
+
+def test_blobs_by_runs_agree_with_spreading():
+    def spread(y, x, diagonal):
+        """Blobs as sets of places, one flood at a time."""
+        steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (diagonal or abs(a) + abs(b) == 1) and (a or b)]
+        left, blobs = set(zip(y.tolist(), x.tolist(), strict=True)), set()
+        while left:
+            todo, blob = [left.pop()], set()
+            while todo:
+                p = todo.pop()
+                blob.add(p)
+                near = {(p[0] + a, p[1] + b) for a, b in steps} & left
+                left -= near
+                todo += near
+            blobs.add(frozenset(blob))
+        return blobs
+
+    r = np.random.default_rng(7)
+    for share in (0.05, 0.3, 0.5, 0.6, 0.95):
+        for _ in range(20):
+            y, x = np.nonzero(r.random((r.integers(1, 15), r.integers(1, 15))) < share)
+            if not len(y):
+                continue
+            order = r.permutation(len(y))
+            y, x = y[order], x[order] + int(r.integers(0, 5))
+            for diagonal in (False, True):
+                got = vision.labels(y, x, diagonal)
+                assert {frozenset((int(a), int(b)) for a, b in zip(y[got == k], x[got == k], strict=True)) for k in np.unique(got)} == spread(y, x, diagonal)
+    # a spiral of one pixel's width is one blob
+    grid = np.zeros((61, 61), bool)
+    for k in range(0, 30, 2):
+        grid[k, max(k - 1, 0) : 61 - k], grid[k : 61 - k, 60 - k], grid[60 - k, k : 61 - k], grid[k + 2 : 61 - k, k] = True, True, True, True
+    y, x = np.nonzero(grid)
+    assert len(np.unique(vision.labels(y, x, False))) == 1
+
+
+def test_largest_quads_agree_with_every_choice():
+    from itertools import combinations
+
+    r = np.random.default_rng(8)
+    for n in (4, 5, 6, 9, 30, 60):
+        for _ in range(5):
+            pts = r.normal(size=(n, 2)) * [3, 1] if n < 30 else np.stack([np.cos(a := r.uniform(0, 6.3, n)), np.sin(a)], 1) * [2, 1]
+            hull = vision._hull(pts)
+            if len(hull) < 4:
+                continue
+            some = hull if len(hull) <= 25 else hull[np.sort(r.choice(len(hull), 25, replace=False))]
+            best = max(vision._area(some[list(c)]) for c in combinations(range(len(some)), 4))
+            assert math.isclose(vision._area(vision.largest_quad(some)), best, rel_tol=1e-12)
+
+
+def test_corners_of_a_drawn_court(spark):
+    """A blue trapezoid with a white line across, on grey: its corners to a pixel."""
+    wide, high = 64, 36
+    left, right = (lambda y: 20 - 14 * (y - 8) / 24), (lambda y: 44 + 14 * (y - 8) / 24)
+    rows = []
+    for y in range(high):
+        for x in range(wide):
+            on = 8 <= y <= 32 and left(y) <= x <= right(y)
+            rows.append((1, 0, y, x, *((240, 240, 240) if on and y == 20 else (30, 90, 190) if on else (80, 80, 80))))
+    table = spark.createDataFrame(rows, "match_id long, frame_no long, y int, x int, r int, g int, b int")
+    (found,) = vision.court_corners(table, wide, high).collect()
+    want = [(20 / wide, 8 / high), (45 / wide, 8 / high), (59 / wide, 32 / high), (6 / wide, 32 / high)]
+    assert all(abs(a - b) <= 2 / high for p, q in zip(found.corners, want, strict=True) for a, b in zip(p, q, strict=True))
