@@ -75,6 +75,15 @@ def sound_envelope(env):
     return au.envelope(samples, 800).select("match_id", "hop", r6("env"))
 
 
+@query("audio_env")
+def chunked_envelope(env):
+    """The envelope of two channels that come in chunks of 30 samples, the first of a match shorter; hops of 8 cross them."""
+    channel = F.array_sort(F.collect_list(F.struct("hop", "env")))["env"]
+    parts = env.groupBy("match_id", F.floor((F.col("hop") + 17) / 30).alias("part")).agg(F.min("hop").alias("start"), channel.alias("a"))
+    chunks = parts.select("match_id", "start", F.array("a", F.transform("a", lambda v: v / 2 + 1)).alias("channels"))
+    return au.chunk_envelope(au.mono_chunks(chunks), 800).select("match_id", "hop", r6("env"))
+
+
 @query("shots")
 def clip_budget(shots):
     return ex.within_budget(ex.clips(shots), 60.0).select("match_id", "seq", r6("start_t"), r6("end_t"), "label", r6("total"))
@@ -138,7 +147,7 @@ def trimmed_turns(spark, sf_dir):
 
 
 _names = (
-    "clean_track turn_points ball_events wrist_events hit_confirm ball_coverage ball_trail running_median onset_pops pop_usability sound_envelope clip_budget key_shots thinned_shots pair_insights "
+    "clean_track turn_points ball_events wrist_events hit_confirm ball_coverage ball_trail running_median onset_pops pop_usability sound_envelope chunked_envelope clip_budget key_shots thinned_shots pair_insights "
     "coverage takeaways next_steps trimmed_turns"
 )
 QUERIES = {n: globals()[n] for n in _names.split()}
@@ -212,6 +221,8 @@ ORACLE_SQL = {
         from (select match_id, max(hop) * 0.01::double as seconds from audio_env group by 1) e left join st using (match_id)""", "audio_env"),
     "sound_envelope": with_tables(
         f"""select match_id, hop // 8 as hop, {s6('sqrt(sum(d * d) / 8)')} as env from (select match_id, hop, lead(env, 2) over w - 2 * lead(env) over w + env as d from audio_env window w as (partition by match_id order by hop)) group by 1, hop // 8 having count(d) = 8""", "audio_env"),
+    "chunked_envelope": with_tables(
+        f"""select match_id, hop // 8 as hop, {s6('sqrt(sum(d * d) / 8)')} as env from (select match_id, hop, lead(v, 2) over w - 2 * lead(v) over w + v as d from (select match_id, hop, (env + env / 2 + 1) / 2 as v from audio_env) window w as (partition by match_id order by hop)) group by 1, hop // 8 having count(d) = 8""", "audio_env"),
     "clip_budget": with_tables(
         f""", c as (select match_id, seq, greatest(0, t - 1.5) as start_t, t + 1.2 as end_t, 'player ' || player_id || ' ' || shot_type as label from shots),
         r as (select *, sum(greatest(0, end_t - start_t)) over w as total, row_number() over w as k from c window w as (partition by match_id order by start_t, seq rows unbounded preceding))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from courtflow.functions.geometry import on_court
 from courtflow.operators import shots as sh
 from courtflow.operators import tracking as tr
+from courtflow.plans import bodies as bo
 from courtflow.plans.shared import query, r6, s6
-from courtflow.sources.store import Checkpoint, MatchStore
+from courtflow.sources.store import Checkpoint, MatchStore, pack_frames, unpack_frames
 from courtflow.sources.surrogate import table, with_tables
 from courtflow.streaming import live
 
@@ -156,9 +157,30 @@ def joined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("match_id").agg(F.count("*").alias("n"), r6(F.max("t"), "last"), F.lit(torn is None).cast("int").alias("torn"))
 
 
-QUERIES = {"focused_identities": focused_identities, "resumed_identities": resumed_identities, "resumed_ball": resumed_ball, "picture_cuts": picture_cuts, "known_identities": known_identities, "known_ball": known_ball, "saved_matches": saved_matches, "joined_chunks": joined_chunks, "identity_tracks": identity_tracks, "ball_tracks": ball_tracks, "streamed_sessions": streamed_sessions}
+def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and poses packed into flat arrays, saved in chunks, joined and unpacked: what each player's poses hold afterwards."""
+    chunks = Checkpoint(spark, f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}")
+    frames, bodies = table(spark, sf_dir, "frames"), table(spark, sf_dir, "bodies")
+    # every third body has but its first sixteen landmarks, wrists left out
+    cut = F.when((F.col("frame_no") + F.col("player_id")) % 3 == 0, F.slice("landmarks", 1, 16)).otherwise(F.col("landmarks"))
+    packed = pack_frames(frames, bo.posed(bodies).withColumn("landmarks", cut), 40)
+    for i in range(3):
+        chunks.append("job", i, packed.where(F.col("chunk") == i).withColumnRenamed("chunk", "part"))
+    joined = chunks.load("job", 3).withColumnRenamed("part", "chunk")
+    times, poses = unpack_frames(joined)
+    sums = poses.groupBy("match_id", "player_id").agg(
+        F.count("*").alias("n"), r6(F.sum(F.col("court_x").cast("double")), "x"), r6(F.sum(F.col("court_y").cast("double")), "y"), r6(F.sum(F.get("landmarks", F.lit(15))["x"].cast("double")), "wrist"), r6(F.sum(F.get("landmarks", F.lit(16))["x"].cast("double")), "other")
+    )
+    return sums.join(times.groupBy("match_id").agg(F.count("*").alias("frames"), F.max("t").cast("double").alias("last")), "match_id")
+
+
+QUERIES = {"packed_frames": packed_frames, "focused_identities": focused_identities, "resumed_identities": resumed_identities, "resumed_ball": resumed_ball, "picture_cuts": picture_cuts, "known_identities": known_identities, "known_ball": known_ball, "saved_matches": saved_matches, "joined_chunks": joined_chunks, "identity_tracks": identity_tracks, "ball_tracks": ball_tracks, "streamed_sessions": streamed_sessions}
 
 ORACLE_SQL = {
+    "packed_frames": with_tables(
+        f"""select match_id, player_id, count(*) as n, {s6('sum(court_x::float::double)')} as x, {s6('sum(court_y::float::double)')} as y, {s6('sum((cx + w0x)::float::double)')} as wrist,
+          {s6('sum(case when (frame_no + player_id) % 3 = 0 then 0 else (cx + w1x)::float::double end)')} as other, any_value(f.n) as frames, any_value(f.last) as last
+        from bodies join (select match_id, count(*) as n, max(t) as last from frames group by 1) f using (match_id) group by 1, 2""", "frames", "bodies"),
     "known_identities": with_tables("select match_id, place as player_id, count(*) as n, floor(sum(x) * 1000000 + 0.5) / 1000000 as x, floor(sum(y) * 1000000 + 0.5) / 1000000 as y from known_players group by 1, 2", "known_players"),
     "focused_identities": with_tables(
         f"""select match_id, case when t >= {CUT_T} then xor(place, 1) else place end as player_id, count(*) as n, {s6(f'sum(case when t >= {CUT_T} then x + {MOVED}::double else x end)')} as x, {s6('sum(y)')} as y

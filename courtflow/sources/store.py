@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,6 +58,50 @@ class Checkpoint:
         return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+LANDMARKS = 33
+PACKED = "match_id long, chunk long, t array<float>, counts array<tinyint>, ids array<tinyint>, courts array<float>, lms array<float>"
+
+
+def pack_frames(frames: DataFrame, poses: DataFrame, per_chunk: int = 150) -> DataFrame:
+    """Stretches of ``per_chunk`` frames as one row each, every field a flat array of small numbers.
+
+    frames(match_id, frame_no, t), poses(match_id, frame_no, player_id, court_x, court_y,
+    landmarks). Poses go by frame and player; landmarks that are missing, or beyond the
+    33rd, are zeros and left out. Numbers are kept as floats. Nothing else is packed.
+    """
+    pose = F.struct("player_id", "court_x", "court_y", "landmarks")
+    seen = poses.groupBy("match_id", "frame_no").agg(F.collect_list(pose).alias("poses"))
+    by_player = F.array_sort("poses", lambda a, b: a["player_id"] - b["player_id"])
+    rows = frames.select("match_id", "frame_no", "t").join(seen, ["match_id", "frame_no"], "left").withColumn("poses", F.coalesce(by_player, F.array()))
+    chunk = F.floor((F.row_number().over(Window.partitionBy("match_id").orderBy("frame_no")) - 1) / per_chunk)
+    packed = rows.withColumn("chunk", chunk).groupBy("match_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("frame_no", "t", "poses")), lambda a, b: F.signum(a["frame_no"] - b["frame_no"]).cast("int")).alias("f"))
+    every = F.flatten("f.poses")
+    mark = lambda p, i: F.get(p["landmarks"], i)
+    three = lambda p, i: F.transform(F.array(mark(p, i)["x"], mark(p, i)["y"], mark(p, i)["visibility"]), lambda v: F.coalesce(v, F.lit(0.0)))
+    lms = F.flatten(F.transform(every, lambda p: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LANDMARKS - 1)), lambda i: three(p, i)))))
+    columns = {
+        "t": F.col("f.t"), "counts": F.transform("f", lambda f: F.size(f["poses"])), "ids": F.transform(every, lambda p: p["player_id"]),
+        "courts": F.flatten(F.transform(every, lambda p: F.array(p["court_x"], p["court_y"]))), "lms": lms,
+    }
+    kinds = dict(f.split(" ") for f in PACKED.split(", "))
+    return packed.select("match_id", "chunk", *[c.cast(kinds[n]).alias(n) for n, c in columns.items()])
+
+
+def unpack_frames(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """frames(match_id, chunk, place, t) and poses(match_id, chunk, place, player_id, court_x, court_y, landmarks) of packed rows.
+
+    ``place`` numbers a chunk's frames. Every pose has 33 landmarks, zeros where there were none.
+    """
+    frames = packed.select("match_id", "chunk", F.posexplode("t").alias("place", "t"))
+    of = F.flatten(F.transform("counts", lambda n, i: F.array_repeat(i, n.cast("int"))))
+    rows = packed.select("match_id", "chunk", "ids", "courts", "lms", F.posexplode(of).alias("k", "place"))
+    k = F.col("k")
+    at = lambda j, c: F.get("lms", (k * LANDMARKS + j) * 3 + c)
+    landmarks = F.transform(F.sequence(F.lit(0), F.lit(LANDMARKS - 1)), lambda j: F.struct(at(j, 0).alias("x"), at(j, 1).alias("y"), at(j, 2).alias("visibility")))
+    poses = rows.select("match_id", "chunk", "place", F.get("ids", k).cast("int").alias("player_id"), F.get("courts", k * 2).alias("court_x"), F.get("courts", k * 2 + 1).alias("court_y"), landmarks.alias("landmarks"))
+    return frames, poses
+
+
 def checkpoint_key(spark: SparkSession, **settings) -> str:
     """The job key of settings; numbers are rounded to three places, order doesn't matter."""
     fixed = {k: round(v, 3) if isinstance(v, float) else v for k, v in sorted(settings.items())}
