@@ -12,7 +12,7 @@ from courtflow.operators import scoring as sc
 from courtflow.operators import tactics as tc
 from courtflow.operators import timeseries as ts
 from courtflow.plans.movement import FRAME_DT, TRACK, ZONE
-from courtflow.plans.shared import query, r6, s6
+from courtflow.plans.shared import kept, query, r6, s6
 from courtflow.sources.surrogate import with_tables
 
 
@@ -176,7 +176,8 @@ def my_record(matches):
 
 
 def _metrics(matches, frames, poses, rallies, tags):
-    """Match metrics of the 25 matches that have poses, owned by four people."""
+    """Match metrics of the matches that have poses, owned by four people."""
+    rallies, tags = kept(rallies, "rallies"), kept(tags, "tags")  # scores and endings both go by them
     stats = m.movement(m.smoothed_track(poses))
     scores, _, endings = p.point_stats(rallies, tags, rallies.limit(0).selectExpr("match_id", "rally_idx", "'A' as team", "'net' as pattern"))
     length = frames.groupBy("match_id").agg(F.max("t").alias("seconds"))

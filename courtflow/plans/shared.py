@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,3 +32,18 @@ def r6(c: str | Column, name: str | None = None) -> Column:
 def s6(expr: str) -> str:
     """The same in SQL."""
     return f"floor(({expr}) * 1000000 + 0.5) / 1000000"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or tempfile.mkdtemp(prefix="courtflow-")).rstrip("/")
+
+
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once in the shared folder and read back, where several steps need what is dear to derive."""
+    path = f"{shared_folder(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -12,7 +12,7 @@ from courtflow.operators import rules as ru
 from courtflow.operators import tactics as tc
 from courtflow.operators import timeseries as ts
 from courtflow.plans.points import _TACTICS
-from courtflow.plans.shared import query, r6, s6
+from courtflow.plans.shared import kept, query, r6, s6
 from courtflow.sources.surrogate import with_tables
 
 
@@ -39,7 +39,8 @@ def wrist_events(obs, wrists):
 
 @query("ball_obs", "wrists", "ball_shots")
 def hit_confirm(obs, wrists, shots):
-    done = bl.annotated_shots(shots, bl.events(bl.nearest_wrists(bl.turns(obs), wrists)), obs, 0.8, 0.2)
+    found = kept(bl.events(bl.nearest_wrists(bl.turns(obs), wrists)), "ball-events")  # flights and shots both go by the events
+    done = bl.annotated_shots(shots, found, obs, 0.8, 0.2)
     return done.select("match_id", "seq", F.col("confirmed").cast("int").alias("confirmed"), F.col("lob").cast("int").alias("lob"))
 
 

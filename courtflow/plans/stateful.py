@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from courtflow.functions.geometry import on_court
 from courtflow.operators import shots as sh
 from courtflow.operators import tracking as tr
 from courtflow.plans import bodies as bo
-from courtflow.plans.shared import query, r6, s6
+from courtflow.plans.shared import query, r6, s6, shared_folder
 from courtflow.sources.store import Checkpoint, MatchStore, pack_frames, unpack_frames
 from courtflow.sources.surrogate import table, with_tables
 from courtflow.streaming import live
@@ -30,14 +29,6 @@ def ball_tracks(obs):
     return tr.ball_track(obs.select("match_id", "t", "x", "y")).groupBy("match_id").agg(F.count("*").alias("n"), r6(F.min("t"), "first"), r6(F.max("t"), "last"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster must name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (folder or tempfile.mkdtemp(prefix="courtflow-")).rstrip("/")
-
-
 GAP, LATE = "40000 seconds", "1 hour"
 
 

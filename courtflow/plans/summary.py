@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from courtflow.operators import analysis as an
@@ -16,8 +14,7 @@ from courtflow.plans import bodies as bd
 from courtflow.plans import movement as mv
 from courtflow.plans import points as pp
 from courtflow.plans import signals as sg
-from courtflow.plans.shared import query, r6, s6
-from courtflow.plans.stateful import shared_folder
+from courtflow.plans.shared import kept, query, r6, s6
 from courtflow.sources.surrogate import with_tables
 
 _REVIEWED = ("shots", "matches", "frames", "poses", "rallies", "point_tags")
@@ -51,13 +48,7 @@ SWING = 12.0
 def _analysis(frames, sightings):
     """The analysis of bodies that nobody has named."""
     landmarks = bd.landmarks(sightings).select("match_id", "frame_no", "t", "seq", "x", "y", "landmarks")
-    spark, folder = frames.sparkSession, f"{shared_folder(frames.sparkSession)}/analysis-{uuid.uuid4().hex}"
-
-    def keep(rows, name):
-        rows.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    return an.analysed(frames, landmarks, bd.ASPECT, keep, SWING, bd.COOLDOWN)
+    return an.analysed(frames, landmarks, bd.ASPECT, kept, SWING, bd.COOLDOWN)
 
 
 @query("frames", "sightings")
