@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtflow.functions.geometry import js_round, zone
+from courtflow.functions.text import SHOT_TYPES
+
 BEFORE_S, AFTER_S, MOST_CLIP_S = 1.5, 1.2, 180.0
 
 
@@ -69,6 +72,63 @@ def summary_documents(matches: DataFrame, players: DataFrame, teams: DataFrame)
     return rows.select("match_id", F.to_json(F.struct(*[c for c in rows.columns if c != "match_id"])).alias("document"))
 
 
+def coach_summaries(matches: DataFrame, stats: DataFrame, hands: DataFrame, teams: DataFrame, shots: DataFrame, most_shots: int = 2000) -> DataFrame:
+    """(match_id, document): the whole summary of a match as JSON, rounded as it is shown.
+
+    matches(match_id, seconds, calibrated, rallies, rally_shots, ...) with an optional map
+    column ``names`` and an optional ``me``; stats, teams and hands as ``player_stats``,
+    ``team_tactics`` and ``dominant_hand`` give them; shots(match_id, seq, t, player_id,
+    shot_type, court_y, swing_speed), of which the first ``most_shots`` by time are listed.
+    Flags of shots are only given where they are set, names and me where they are known.
+    """
+    tidy = lambda c, d=2: js_round(F.col(c), d)
+    have = set(matches.columns)
+    named = F.substring(F.trim(F.element_at("names", F.col("player_id"))), 1, 60) if "names" in have else F.lit(None).cast("string")
+    me = F.when(F.col("me") == F.col("player_id"), True) if "me" in have else F.lit(None).cast("boolean")
+    extra = [c for c in ("names", "me") if c in have]
+    rows = stats.join(hands, ["match_id", "player_id"], "left").join(matches.select("match_id", *extra), "match_id")
+    player = F.struct(
+        F.col("player_id").alias("playerId"), "label", F.when(named != "", named).alias("name"), me.alias("isMe"), "team",
+        tidy("distance", 0).alias("distanceMeters"), tidy("avg_speed").alias("avgSpeed"), tidy("max_speed").alias("maxSpeed"), tidy("tracked_seconds", 0).alias("trackedSeconds"),
+        F.struct(*[tidy(f"share_{z}").alias(z) for z in ("net", "transition", "baseline")]).alias("zoneShare"),
+        F.struct(*[F.col(f"n_{k.replace('-', '_')}").alias(k) for k in SHOT_TYPES]).alias("shots"),
+        F.col("total_shots").alias("totalShots"), tidy("avg_swing_speed", 1).alias("avgSwingSpeed"), F.coalesce("hand", F.lit("right")).alias("dominantHand"), tidy("avg_net_distance", 1).alias("avgNetDistance"),
+    )
+    players = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(player)).alias("players"))
+    shares = {"togetherNet": "share_net", "togetherMid": "share_mid", "togetherBack": "share_back", "staggered": "share_staggered", "split": "share_split"}
+    pair = F.struct(
+        "team", tidy("paired_seconds", 0).alias("pairedSeconds"), *[tidy(c).alias(n) for n, c in shares.items()],
+        tidy("avg_spacing", 1).alias("avgSpacing"), tidy("avg_depth_gap", 1).alias("avgDepthGap"), tidy("avg_lateral_gap", 1).alias("avgLateralGap"), F.col("net_takings").alias("netTakings"),
+    )
+    pairs = teams.groupBy("match_id").agg(F.array_sort(F.collect_list(pair)).alias("teams"))
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy("t", "seq"))
+    flags = [F.when(F.col(c), True).alias(c) for c in ("confirmed", "lob", "edited", "heard") if c in shots.columns]
+    shot = F.struct(tidy("t", 1).alias("t"), F.col("player_id").alias("playerId"), F.col("shot_type").alias("type"), zone(F.col("court_y")).alias("zone"), tidy("swing_speed", 1).alias("swingSpeed"), *flags)
+    listed = shots.withColumn("place", place).where(F.col("place") <= most_shots).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("place", shot.alias("shot"))))["shot"].alias("shots"))
+    whole = matches.join(players, "match_id", "left").join(pairs, "match_id", "left").join(listed, "match_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array())
+    document = F.struct(
+        tidy("seconds", 1).alias("durationSeconds"), "calibrated", "rallies", F.when(F.col("rallies") > 0, js_round(F.col("rally_shots") / F.col("rallies"), 1)).otherwise(0.0).alias("avgRallyShots"),
+        empty("players").alias("players"), empty("teams").alias("teams"), empty("shots").alias("shots"),
+    )
+    return whole.select("match_id", F.to_json(document).alias("document"))
+
+
+def chat_documents(summaries: DataFrame, reports: DataFrame, turns: DataFrame, most: int = 12) -> DataFrame:
+    """(match_id, document): a chat about a match: its summary, its report (null where there is none) and the last turns.
+
+    summaries(match_id, document), reports(match_id, report as JSON), turns(match_id,
+    turn, role, text), which begin with the user as ``trimmed_turns`` says. Matches
+    without such turns have no chat.
+    """
+    recent = trimmed_turns(turns.withColumnRenamed("match_id", "conv_id"), most)
+    line = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    said = recent.groupBy(F.col("conv_id").alias("match_id")).agg(F.to_json(F.array_sort(F.collect_list(line))["m"]).alias("messages"))
+    rows = summaries.join(said, "match_id").join(reports.select("match_id", "report"), "match_id", "left")
+    text = F.concat(F.lit('{"summary":'), "document", F.lit(',"report":'), F.coalesce("report", F.lit("null")), F.lit(',"messages":'), "messages", F.lit("}"))
+    return rows.select("match_id", text.alias("document"))
+
+
 def trimmed_turns(conversations: DataFrame, most: int = 12) -> DataFrame:
     """The last ``most`` turns of each conversation from the first one of the user on; earlier ones go."""
     last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
