@@ -128,7 +128,7 @@ def known_ball(seen):
 
 def saved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches saved, saved again in part with other values, read back newest first and slim."""
-    store = MatchStore(spark, f"{shared_folder(spark)}/matches-{uuid.uuid4().hex}")
+    store = MatchStore(spark, f"{shared_folder(spark)}/matches-{uuid.uuid4().hex}", 16)
     rows = table(spark, sf_dir, "matches").select("created_at", "me", F.lit("first").alias("title"), F.array(F.lit(1.0)).alias("frames"), "match_id")
     store.save(rows)
     store.save(rows.where("me is not null").withColumn("title", F.concat(F.lit("again "), "me")))

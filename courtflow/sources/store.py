@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,29 +14,70 @@ from courtflow.operators.export import job_key
 HEAVY = ("landmarks", "frames", "ball_track")
 
 
+BUCKET = "__bucket"
+
+
 class MatchStore:
-    """Saved rows by match: each match is a partition folder that a save replaces."""
+    """Saved rows by match, in a fixed number of bucket folders however many matches there are.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A save or delete rewrites the buckets that it touches and no other. The rows of a
+    match lie in one bucket, by a hash of its id; the number of buckets can't change.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _folder(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _there(self) -> bool:
+        where, fs = self._folder(self.path)
+        return fs.exists(where)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.col("match_id").cast("long")), F.lit(self.buckets)).cast("int"))
+
+    def _saved(self, buckets: list[int]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path).where(F.col(BUCKET).isin(buckets))
+
+    def _replace(self, rows: DataFrame, buckets: list[int]) -> None:
+        """These buckets hold these rows from now on; the rows are written beside the store first, as they are read from it."""
+        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
+        rows.write.partitionBy(BUCKET).parquet(staged)
+        full = [r[0] for r in rows.sparkSession.read.schema(rows.schema).parquet(staged).select(BUCKET).distinct().collect()]
+        new = self.spark.read.schema(rows.schema).parquet(staged).repartition(BUCKET)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        for path in [staged, *[f"{self.path}/{BUCKET}={b}" for b in buckets if b not in full]]:
+            where, fs = self._folder(path)
+            fs.delete(where, True)
 
     def save(self, rows: DataFrame) -> None:
         """Replaces the matches that occur in rows, and only those; heavy columns aren't stored."""
-        slim = rows.drop(*[c for c in HEAVY if c in rows.columns])
-        slim.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(self.path)
+        slim = self._placed(rows.drop(*[c for c in HEAVY if c in rows.columns]))
+        touched = [r[0] for r in slim.select(BUCKET).distinct().collect()]  # at most the number of buckets
+        if touched and self._there():
+            others = self._saved(touched).join(slim.select("match_id").distinct(), "match_id", "left_anti")
+            slim = others.unionByName(slim, allowMissingColumns=True)
+        if touched:
+            self._replace(slim, touched)
 
     def list(self, schema: StructType) -> DataFrame:
         """All saved rows, newest first; columns that older rows lack are null, a store that isn't there is empty."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if not self._there():
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path).orderBy(F.desc("created_at"), "match_id")
+        return self.spark.read.schema(schema).parquet(self.path).select(schema.names).orderBy(F.desc("created_at"), "match_id")
 
     def delete(self, match_id: int) -> bool:
-        """Removes one match's folder; whether there was one."""
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/match_id={match_id}")
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        """Removes one match; whether there was one. An empty bucket's folder goes, the store itself stays."""
+        if not self._there():
+            return False
+        bucket = self._placed(self.spark.range(1).select(F.lit(match_id).cast("long").alias("match_id"))).first()[BUCKET]
+        own = self._saved([bucket])
+        if not own.where(F.col("match_id") == match_id).limit(1).count():
+            return False
+        self._replace(own.where(~F.col("match_id").eqNullSafe(F.lit(match_id))), [bucket])
+        return True
 
 
 class Checkpoint:

@@ -100,6 +100,28 @@ def test_saved_matches(spark, tmp_path):
     store.save(spark.createDataFrame([("c", 3, 1, 1)], schema))
     assert [(r.match_id, r.title) for r in store.list(kind).collect()] == [(1, "c"), (2, "b")]
     assert store.delete(2) and [r.match_id for r in store.list(kind).collect()] == [1]
+    assert not store.delete(2) and not store.delete(77)
+
+
+def test_a_store_of_many_matches_has_few_folders(spark, tmp_path):
+    """Saves rewrite the buckets they touch; later columns are null in older rows; nothing staged is left."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = "title string, created_at long, match_id long"
+    store = MatchStore(spark, str(tmp_path / "matches"), 4)
+    store.save(spark.createDataFrame([(f"t{i}", i, i) for i in range(200)], schema))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "matches").glob("*/*.parquet")}
+    assert len(list((tmp_path / "matches").glob("__bucket=*"))) == 4 and len(before) == 4
+    store.save(spark.createDataFrame([("new", 500, 7, 3)], f"{schema}, extra int"))
+    after = {f for f in (tmp_path / "matches").glob("*/*.parquet")}
+    assert len(after & set(before)) == 3 and [f.name for f in tmp_path.iterdir()] == ["matches"]
+    rows = store.list(_parse_datatype_string(f"{schema}, extra int")).collect()
+    assert len(rows) == 200 and tuple(rows[0]) == ("new", 500, 7, 3) and all(r.extra is None for r in rows[1:])
+    assert all(store.delete(i) for i in (7, 100)) and not store.delete(7) and store.list(_parse_datatype_string(schema)).count() == 198
+    store.save(spark.createDataFrame([], schema))
+    one = MatchStore(spark, str(tmp_path / "one"), 1)
+    one.save(spark.createDataFrame([("a", 1, 5)], schema))
+    assert one.delete(5) and one.list(_parse_datatype_string(schema)).count() == 0
 
 
 def test_chunks_count_only_together(spark, tmp_path):
