@@ -11,6 +11,7 @@ from courtflow.functions.geometry import on_court
 from courtflow.operators import shots as sh
 from courtflow.operators import tracking as tr
 from courtflow.plans import bodies as bo
+from courtflow.plans.pictures import HIGH, WIDE
 from courtflow.plans.shared import query, r6, s6, shared_folder
 from courtflow.sources.store import Checkpoint, MatchStore, pack_frames, unpack_frames
 from courtflow.sources.surrogate import table, with_tables
@@ -114,10 +115,10 @@ def resumed_ball(seen):
 
 @query("pixels")
 def picture_cuts(pixels):
-    """Frames whose red and green differ much from the frame before."""
+    """Whole pictures whose red and green differ much from the one before."""
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g")))
     thumbs = pixels.groupBy("match_id", "frame_no").agg(F.flatten(F.transform(ordered, lambda p: F.array(p["r"], p["g"]))).alias("pixels"))
-    return sh.scene_cuts(thumbs)
+    return sh.scene_cuts(thumbs.where(F.size("pixels") == 2 * WIDE * HIGH))
 
 
 @query("known_ball")
@@ -180,7 +181,7 @@ ORACLE_SQL = {
     "resumed_ball": with_tables(f"select match_id, count(*) as n, count(*) as times, {s6('min(t)')} as first, {s6('max(t)')} as last, {s6('sum(x)')} as x from known_ball where moving group by 1", "known_ball"),
     "picture_cuts": with_tables(
         """select p.match_id, p.frame_no from pixels p join pixels q on q.match_id = p.match_id and q.frame_no = p.frame_no - 1 and q.y = p.y and q.x = p.x
-        group by 1, 2 having avg((abs(p.r - q.r) + abs(p.g - q.g)) / 2) > 12""", "pixels"),
+        group by 1, 2 having avg((abs(p.r - q.r) + abs(p.g - q.g)) / 2) > 12 and count(*) = 400""", "pixels"),
     "known_ball": with_tables("select match_id, count(*) as n, floor(min(t) * 1000000 + 0.5) / 1000000 as first, floor(max(t) * 1000000 + 0.5) / 1000000 as last, floor(sum(x) * 1000000 + 0.5) / 1000000 as x, count(*) - 1 as last_seq from known_ball where moving group by 1", "known_ball"),
     "saved_matches": with_tables("select match_id, created_at, case when me is null then 'first' else 'again ' || me end as title from matches", "matches"),
     "joined_chunks": with_tables("select match_id, count(*) as n, max(t) as last, 1 as torn from frames where t < 50 group by 1", "frames"),
