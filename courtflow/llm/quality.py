@@ -1,16 +1,20 @@
 """Quality by weak supervision: rules vote or abstain, and a posterior decides instead of all rules together.
 
 Everything on the main path is a DataFrame expression. Each document gets a vote of
-every rule (1 good, 0 bad, null abstains). The distinct vote patterns, at most
-3^rules rows however large the input, are one array; expectation-maximisation folds
-over it inside one SQL expression and gives the share of good documents and, for each
-rule, how often it votes good on good and bad on bad ones. Rules that vote bad on the
-same documents share their weight. A document is kept if its posterior probability of
-being good is at least one half, so good votes can outweigh a doubtful bad one.
+every rule (1 good, 0 bad, null abstains). The distinct vote patterns of the documents
+that pass the base, at most 3^rules rows however large the input, are one array;
+expectation-maximisation folds over it inside one SQL expression and gives the share of
+good documents and, for each rule, how often it votes bad, good or not at all on good
+and on bad ones. All rules start alike, so which of them find junk and which only
+dislike a text's form is told by what the votes have in common. Rules that vote bad on
+the same documents share their weight. A document is kept if its posterior probability
+of being good is at least one half, so good votes can outweigh a bad one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,27 +24,25 @@ ITERATIONS = 40
 THRESHOLD = 0.5
 #: What is believed of the share of good documents; the fold starts from it.
 START = 0.8
-#: What is believed of a rule before any document is seen: how often it votes good on good documents, and bad on bad ones.
-#: A sure rule looks at plain junk. A doubtful one also votes against texts that are only short, plain or unusual.
-SURE, DOUBTFUL = (0.999, 0.3), (0.9, 0.2)
+#: What is believed of every rule alike before any document is seen: how often it votes bad, votes good and abstains
+#: on good documents, and on bad ones.
+GOOD, BAD = (0.03, 0.92, 0.05), (0.15, 0.7, 0.15)
 #: Weight of the belief beside what the documents show. It is a share and not a count, so the model is alike at every size.
-#: Junk comes in kinds that fail one rule each; without any belief the fold takes the most frequent kind as the bad
-#: class and every other kind as a whim of its rule.
-BELIEF = 0.8
+BELIEF = 0.1
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
-#: Bad and good conditions of each rule on the measured columns, alike in Spark and in the oracle's SQL, and the belief in it.
+#: Bad and good conditions of each rule on the measured columns, alike in Spark and in the oracle's SQL.
 RULES = {
-    "length": ("n_words < 80", "n_words >= 120", DOUBTFUL),
-    "repetition": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words", SURE),
-    "symbols": ("20 * n_symbols > n_words", "50 * n_symbols <= n_words", SURE),
-    "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0", SURE),
-    "few_lines": ("n_lines <= 1 and n_words >= 200", "n_lines >= 3", DOUBTFUL),
-    "capitals": ("20 * n_upper > word_chars", "30 * n_upper <= word_chars", DOUBTFUL),
-    "shouting": ("10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars", SURE),
-    "word_length": ("10 * word_chars < 40 * n_words or word_chars > 9 * n_words", "10 * word_chars >= 45 * n_words and word_chars <= 7 * n_words", DOUBTFUL),
-    "odd_words": ("10 * word_chars < 25 * n_words or word_chars > 14 * n_words", "10 * word_chars >= 35 * n_words and word_chars <= 10 * n_words", SURE),
-    "marks": ("10 * n_marks > 4 * n_words", "10 * n_marks <= 3 * n_words", SURE),
+    "length": ("n_words < 80", "n_words >= 120"),
+    "repetition": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
+    "symbols": ("20 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
+    "few_lines": ("n_lines <= 1 and n_words >= 200", "n_lines >= 3"),
+    "capitals": ("20 * n_upper > word_chars", "30 * n_upper <= word_chars"),
+    "shouting": ("10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars"),
+    "word_length": ("10 * word_chars < 40 * n_words or word_chars > 9 * n_words", "10 * word_chars >= 45 * n_words and word_chars <= 7 * n_words"),
+    "odd_words": ("10 * word_chars < 25 * n_words or word_chars > 14 * n_words", "10 * word_chars >= 35 * n_words and word_chars <= 10 * n_words"),
+    "marks": ("10 * n_marks > 4 * n_words", "10 * n_marks <= 3 * n_words"),
 }
 MARKS = "!?:;@=_{}[]~^"
 
@@ -85,59 +87,62 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
 
 def votes(rules: dict = RULES) -> Column:
     """The rules' votes as an array: 1 good, 0 bad, null abstains."""
-    return F.array(*[F.expr(f"case when {bad} then 0 when {good} then 1 end") for bad, good, _ in rules.values()])
+    return F.array(*[F.expr(f"case when {bad} then 0 when {good} then 1 end") for bad, good in rules.values()])
 
 
-def label_model(patterns: DataFrame, beliefs: list[tuple[float, float]], iterations: int = ITERATIONS) -> DataFrame:
-    """One row (share, good_on_good, bad_on_bad, weights) from patterns(v array<int>, n): the whole fold is one expression.
+def label_model(patterns: DataFrame, rules: int, iterations: int = ITERATIONS) -> DataFrame:
+    """One row (share, good, bad, weights) from patterns(v array<int>, n): the whole fold is one expression.
 
-    A rule's accuracies are those that the posteriors show, averaged with the belief in
-    it by the weight ``BELIEF``, and so is the share. Its weight is one over the sum of its overlaps with all
-    rules, itself included: documents that both vote bad on among those that either
-    does. Without patterns the shown share is one half.
+    good and bad hold for each rule how often it votes bad, votes good and abstains on
+    documents of either class. They are what the posteriors show, with the belief counted
+    as ``BELIEF`` times the documents and one more, and so is the share; without
+    iterations or without patterns they are the belief. A rule's weight is one over the
+    sum of its overlaps with all rules, itself included: documents that both vote bad on
+    among those that either does.
     """
-    k = len(beliefs)
+    each = f"sequence(0, {rules} - 1)"
     votes_bad = lambda how: f"aggregate(pats, 0D, (t, p) -> t + CASE WHEN p.v[j] = 0 {how} p.v[l] = 0 THEN p.n ELSE 0D END)"
     overlap = f"CASE WHEN j = l THEN 1D ELSE coalesce(try_divide({votes_bad('AND')}, {votes_bad('OR')}), 0D) END"
-    weights = f"transform(sequence(0, {k} - 1), j -> 1 / aggregate(sequence(0, {k} - 1), 0D, (t, l) -> t + {overlap}))"
-    first = [f"array({', '.join(f'{b[i]}D' for b in beliefs)})" for i in range(2)]
-    start = f"named_struct('share', {START}D, 'a', {first[0]}, 'b', {first[1]})"
-    evidence = """aggregate(sequence(0, {k} - 1), ln(m.share / (1 - m.share)), (t, j) -> t +
-        weights[j] * CASE p.v[j] WHEN 1 THEN ln(m.a[j] / (1 - m.b[j])) WHEN 0 THEN ln((1 - m.a[j]) / m.b[j]) ELSE 0D END)""".format(k=k)
-    weighted = f"transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'g', p.n / (1 + exp(-({evidence})))))"
-    total = lambda what, where: f"aggregate(w, 0D, (t, p) -> t + CASE WHEN {where} THEN {what} ELSE 0D END)"
-    shown = lambda what, vote: f"({total(what, f'p.v[j] = {vote}')} + 1) / ({total(what, 'p.v[j] IS NOT NULL')} + 2)"
-    mean = lambda believed, x: f"{BELIEF}D * {believed}[j] + {1 - BELIEF:.6g}D * {x}"
+    weights = f"transform({each}, j -> 1 / aggregate({each}, 0D, (t, l) -> t + {overlap}))"
+    belief = {of: f"array({', '.join(f'{x}D' for x in p)})" for of, p in (("good", GOOD), ("bad", BAD))}
+    start = f"named_struct('share', {START}D, 'good', array_repeat({belief['good']}, {rules}), 'bad', array_repeat({belief['bad']}, {rules}))"
+    vote = "coalesce(p.v[j], 2)"
+    evidence = f"aggregate({each}, ln(m.share / (1 - m.share)), (t, j) -> t + weights[j] * ln(m.good[j][{vote}] / m.bad[j][{vote}]))"
+    weighted = f"transform(pats, p -> named_struct('v', p.v, 'n', p.n, 'good', p.n / (1 + exp(-({evidence}))), 'bad', p.n / (1 + exp({evidence}))))"
+    total = lambda what, where="true": f"aggregate(w, 0D, (t, p) -> t + CASE WHEN {where} THEN p.{what} ELSE 0D END)"
+    believed = f"({BELIEF}D * {total('n')} + 1)"
+
+    def shown(of: str, share: float) -> str:
+        own = f"{believed} * {share:.6g}D"
+        return f"transform({each}, j -> transform(sequence(0, 2), o -> ({total(of, f'{vote} = o')} + {own} * {belief[of]}[o]) / ({total(of)} + {own})))"
+
     step = f"""aggregate(array({weighted}), m, (old, w) -> named_struct(
-        'share', {BELIEF}D * {START}D + {1 - BELIEF:.6g}D * ({total('p.g', 'true')} + 1) / ({total('p.n', 'true')} + 2),
-        'a', transform(sequence(0, {k} - 1), j -> {mean(first[0], shown('p.g', 1))}),
-        'b', transform(sequence(0, {k} - 1), j -> {mean(first[1], shown('p.n - p.g', 0))})))"""
+        'share', ({total('good')} + {believed} * {START}D) / ({total('n')} + {believed}),
+        'good', {shown('good', START)}, 'bad', {shown('bad', 1 - START)}))"""
     rows = patterns.select(F.struct(F.col("n").cast("double").alias("n"), "v").alias("p"))
     one = rows.agg(F.array_sort(F.collect_list("p")).alias("pats")).select("pats", F.expr(weights).alias("weights"))
-    return one.select(F.expr(f"aggregate(sequence(1, {iterations}), {start}, (m, i) -> {step})").alias("m"), "weights").select(
-        F.col("m.share").alias("share"), F.col("m.a").alias("good_on_good"), F.col("m.b").alias("bad_on_bad"), "weights"
-    )
+    fold = F.expr(f"aggregate(sequence(1, {iterations}), {start}, (m, i) -> {step})" if iterations else start)
+    return one.select(fold.alias("m"), "weights").select("m.share", "m.good", "m.bad", "weights")
 
 
-def _posterior(model, v: Column, k: int) -> Column:
+def _posterior(model, v: Column) -> Column:
     """Probability that a document with these votes is good; the model's few numbers become literals."""
-    num = lambda x: F.lit(float(x))
-    odds = F.log(num(model["share"]) / (1 - num(model["share"])))
-    for j, (a, b, w) in enumerate(zip(model["good_on_good"], model["bad_on_bad"], model["weights"], strict=True)):
+    odds = F.lit(math.log(model["share"] / (1 - model["share"])))
+    for j, (good, bad, w) in enumerate(zip(model["good"], model["bad"], model["weights"], strict=True)):
+        against, for_it, none = (F.lit(w * math.log(g / b)) for g, b in zip(good, bad, strict=True))
         one = F.get(v, F.lit(j))
-        odds = odds + num(w) * F.when(one == 1, F.log(num(a) / (1 - num(b)))).when(one == 0, F.log((1 - num(a)) / num(b))).otherwise(0.0)
+        odds = odds + F.when(one == 1, for_it).when(one == 0, against).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 
-def _judged(table: DataFrame) -> DataFrame:
-    """Adds base_failed, posterior and kept to a stashed table of measured rows."""
-    table = table.withColumn("__votes", votes())
-    patterns = table.groupBy(F.col("__votes").alias("v")).agg(F.count("*").alias("n"))
-    model = label_model(patterns, [belief for *_, belief in RULES.values()]).first()  # 3 * rules + 1 numbers
+def _judged(table: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """Adds base_failed, posterior and kept to a stashed table of measured rows; the model is of those that pass the base."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    table = table.withColumn("__votes", votes()).withColumn("base_failed", failed)
+    patterns = table.where(~F.col("base_failed")).groupBy(F.col("__votes").alias("v")).agg(F.count("*").alias("n"))
+    model = label_model(patterns, len(RULES), iterations).first()  # 7 * rules + 1 numbers
     return (
-        table.withColumn("base_failed", failed)
-        .withColumn("posterior", _posterior(model, F.col("__votes"), len(RULES)))
+        table.withColumn("posterior", _posterior(model, F.col("__votes")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
         .drop("__votes")
     )
@@ -171,14 +176,15 @@ def oracle() -> str:
     """The same in DuckDB SQL: measures by unnesting, the fold as a recursive table."""
     k = len(RULES)
     strip = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
-    vote = ", ".join(f"case when {b} then 0 when {g} then 1 end as v{j}" for j, (b, g, _) in enumerate(RULES.values()))
-    evidence = " + ".join(["ln(share / (1 - share))", *[f"w{j} * case v{j} when 1 then ln(a{j} / (1 - b{j})) when 0 then ln((1 - a{j}) / b{j}) else 0 end" for j in range(k)]])
-    nth = ", ".join(f"a{j}, b{j}" for j in range(k))
-    believed = [belief for *_, belief in RULES.values()]
-    first = ", ".join(f"{a}::double as a{j}, {b}::double as b{j}" for j, (a, b) in enumerate(believed))
-    shown = lambda j, vote, of: f"(coalesce(sum(case when v{j} = {vote} then {of} end), 0) + 1) / (coalesce(sum(case when v{j} is not null then {of} end), 0) + 2)"
-    mean = lambda belief, x: f"{BELIEF}::double * {belief}::double + {1 - BELIEF:.6g}::double * {x}"
-    after = ", ".join(f"{mean(a, shown(j, 1, 'g'))}, {mean(b, shown(j, 0, 'n - g'))}" for j, (a, b) in enumerate(believed))
+    vote = ", ".join(f"case when {b} then 0 when {g} then 1 else 2 end as v{j}" for j, (b, g) in enumerate(RULES.values()))
+    ratio = lambda j: f"case v{j} when 0 then ln(g{j}_0 / b{j}_0) when 1 then ln(g{j}_1 / b{j}_1) else ln(g{j}_2 / b{j}_2) end"
+    evidence = " + ".join(["ln(share / (1 - share))", *[f"w{j} * {ratio(j)}" for j in range(k)]])
+    classes = [("g", GOOD, START), ("b", BAD, 1 - START)]
+    nth = ", ".join(f"{c}{j}_{o}" for c, *_ in classes for j in range(k) for o in range(3))
+    first = ", ".join(f"{p[o]}::double as {c}{j}_{o}" for c, p, _ in classes for j in range(k) for o in range(3))
+    believed = f"({BELIEF}::double * sum(n) + 1)"
+    shown = lambda c, p, share, j, o: f"(sum(case when v{j} = {o} then {c} else 0 end) + {believed} * {share:.6g}::double * {p[o]}::double) / (sum({c}) + {believed} * {share:.6g}::double)"
+    after = ", ".join(shown(c, p, share, j, o) for c, p, share in classes for j in range(k) for o in range(3))
     names = ", ".join(f"v{j}" for j in range(k))
     votes_bad = lambda j, how, l: f"sum(case when v{j} = 0 {how} v{l} = 0 then n else 0 end)"
     overlap = lambda j, l: "1" if j == l else f"coalesce({votes_bad(j, 'and', l)} / nullif({votes_bad(j, 'or', l)}, 0), 0)"
@@ -199,19 +205,18 @@ measured as (
          {strip(SYMBOLS)}::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
          coalesce(repeats.n, 0)::bigint as n_repeat_words, {strip(UPPER)}::bigint as n_upper, {strip(MARKS)}::bigint as n_marks
   from docs left join repeats on docs.rid = repeats.rid),
-voted as (select *, {vote} from measured),
-patterns as (select {names}, count(*)::double as n from voted group by all),
+voted as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {vote} from measured),
+patterns as (select {names}, count(*)::double as n from voted where not base_failed group by all),
 weights as (select {weights} from patterns),
 em as (
   select 0 as it, {START}::double as share, {first}
   union all
-  select it + 1, {BELIEF}::double * {START}::double + {1 - BELIEF:.6g}::double * (sum(g) + 1) / (sum(n) + 2), {after}
-  from (select *, n / (1 + exp(-({evidence}))) as g from em, weights, patterns where it < {ITERATIONS}) group by it),
-model as (select * from em where it = {ITERATIONS}),
+  select it + 1, (sum(g) + {believed} * {START}::double) / (sum(n) + {believed}), {after}
+  from (select *, n / (1 + exp(-odds)) as g, n / (1 + exp(odds)) as b from (select *, {evidence} as odds from em, weights, patterns where it < {ITERATIONS})) group by it),
+model as (select share, {nth} from em order by it desc limit 1),
 judged as (
-  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-         n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 1 / (1 + exp(-({evidence}))) as posterior
-  from voted, weights, (select share, {nth} from model))
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, 1 / (1 + exp(-({evidence}))) as posterior
+  from voted, weights, model)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and posterior >= {THRESHOLD}) as kept
 from judged
 """

@@ -1,6 +1,7 @@
 """Tokenizers, lengths, languages, quality, mixing and toxicity against brute force."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,18 +121,61 @@ def test_quality_measures(spark):
         assert quality.kept_rows(docs).columns == docs.columns and quality.kept_rows(docs).count() == sum(r.kept for r in found)
 
 
+def folded(patterns, iterations):
+    """The label model in plain loops: (share, good, bad, weights)."""
+    k, n = len(patterns[0][0]), sum(m for _, m in patterns)
+    votes = [[2 if x is None else x for x in v] for v, _ in patterns]
+    share, good, bad, weights = quality.START, [quality.GOOD] * k, [quality.BAD] * k, []
+    for j in range(k):
+        overlaps = []
+        for i in range(k):
+            both, either = (sum(m for v, (_, m) in zip(votes, patterns) if how([v[j] == 0, v[i] == 0])) for how in (all, any))
+            overlaps.append(1 if i == j else both / either if either else 0)
+        weights.append(1 / sum(overlaps))
+    posts = lambda: [1 / (1 + (1 - share) / share * math.prod((bad[j][x] / good[j][x]) ** weights[j] for j, x in enumerate(v))) for v in votes]
+    believed = quality.BELIEF * n + 1
+    for _ in range(iterations):
+        p, (old_good, old_bad) = posts(), (good, bad)
+        good, bad = [], []
+        for of, belief, prior, table in ((p, quality.GOOD, quality.START, good), ([1 - x for x in p], quality.BAD, 1 - quality.START, bad)):
+            whole = sum(m * x for (_, m), x in zip(patterns, of))
+            for j in range(k):
+                seen = [sum(m * x for v, (_, m), x in zip(votes, patterns, of) if v[j] == o) for o in range(3)]
+                table.append([(seen[o] + believed * prior * belief[o]) / (whole + believed * prior) for o in range(3)])
+        share = (sum(m * x for (_, m), x in zip(patterns, p)) + believed * quality.START) / (n + believed)
+    return share, good, bad, weights, posts()
+
+
 def test_label_model_weighs_votes(spark):
-    beliefs = [quality.SURE if j == 2 else quality.DOUBTFUL if j == 5 else quality.SURE for j in range(7)]
-    good, junk, short, both = [1] * 7, [1, 1, 0, 1, 1, 1, 1], [1, 1, 1, 1, 1, 0, 1], [0, 0, None, 1, 0, 0, 1]
-    patterns = spark.createDataFrame([(good, 860), (junk, 70), (short, 45), (both, 25)], "v array<int>, n long")
-    model = quality.label_model(patterns, beliefs).first()
-    post = patterns.select("n", quality._posterior(model, F.col("v"), 7).alias("p")).collect()
-    # one bad vote of a sure rule drops, one of a doubtful rule doesn't
-    assert {r.n: r.p >= 0.5 for r in post} == {860: True, 70: False, 45: True, 25: False}
-    # rules that fire on the same documents share their weight
-    assert model.weights[2] == 1.0 and model.weights[0] == pytest.approx(1 / (3 + 25 / 70)) and model.weights[5] == pytest.approx(1 / (1 + 3 * 25 / 70))
-    assert model.good_on_good[5] == pytest.approx(0.8 * 0.9 + 0.2 * sum(n * p for n, p in ((860, post[0].p), (70, post[1].p))) / sum(r.n * r.p for r in post), abs=2e-3)
-    assert quality.label_model(patterns.limit(0), beliefs).first().share == pytest.approx(0.8 * 0.8 + 0.2 * 0.5)
+    # two rules that meet on junk, one that votes bad by itself, and one that abstains at times
+    patterns = [([1] * 7, 860), ([1, 1, 0, None, 1, 1, 1], 60), ([1, 1, 0, 0, 1, 1, 1], 15), ([1, 1, 1, 1, 1, 0, 1], 45), ([1, None, 1, 1, 1, 1, 1], 20)]
+    for rows, iterations in ((patterns, quality.ITERATIONS), (patterns, 3), (patterns, 0), (patterns[:1], 5)):
+        model = quality.label_model(spark.createDataFrame(rows, "v array<int>, n long"), 7, iterations).first()
+        share, good, bad, weights, posts = folded(rows, iterations)
+        assert model.share == pytest.approx(share) and model.weights == pytest.approx(weights)
+        assert [x for r in model.good for x in r] == pytest.approx([x for r in good for x in r]) and [x for r in model.bad for x in r] == pytest.approx([x for r in bad for x in r])
+        found = spark.createDataFrame(rows, "v array<int>, n long").select("n", quality._posterior(model, F.col("v")).alias("p")).collect()
+        assert {r.n: r.p for r in found} == pytest.approx({m: p for (_, m), p in zip(rows, posts)}, abs=1e-9)
+    # the rules that meet are believed after the fold, the lone one isn't; before it all are alike
+    first, last = (dict(zip([n for _, n in patterns], folded(patterns, i)[4])) for i in (0, quality.ITERATIONS))
+    assert {n: p >= 0.5 for n, p in last.items()} == {860: True, 60: False, 15: False, 45: True, 20: True}
+    assert first[60] >= 0.5
+    none = quality.label_model(spark.createDataFrame([], "v array<int>, n long"), 7).first()
+    assert none.share == pytest.approx(quality.START) and none.good[0] == pytest.approx(quality.GOOD) and none.weights == [1.0] * 7
+
+
+def test_quality_estimation_decides(spark):
+    """Without the fold at least one verdict in a hundred is another; with it labels agree better. All-failing tables have no model."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    table = quality.measured(docs.select("doc_id", "text")).cache()
+    with_it, without = (quality._judged(table, i).select("doc_id", "base_failed", F.col("kept").alias(f"kept{i}")) for i in (quality.ITERATIONS, 0))
+    rows = with_it.join(without.drop("base_failed"), "doc_id").join(labels, "doc_id", "left").where("not base_failed").collect()
+    on = f"kept{quality.ITERATIONS}"
+    assert sum(r[on] != r.kept0 for r in rows) >= 0.01 * docs.count()
+    agree = [sum(r[c] == (r["quality"] == 1) for r in rows if r["quality"] is not None) for c in (on, "kept0")]
+    assert agree[0] > agree[1]
+    short = docs.select("doc_id", F.lit("a few words").alias("text"))
+    assert quality.quality(short).where("kept or not base_failed").count() == 0
 
 
 def test_quality_is_not_all_must_pass(spark):
