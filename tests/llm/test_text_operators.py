@@ -206,6 +206,89 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(r.t - r.target) <= 50 for r in by)
 
 
+def test_mixing_takes_ties_alike(spark):
+    """A source that is one repeated row, rows alike at the threshold, and a source without words, against the running sum."""
+    import duckdb
+
+    rows = [(7, "one two three", "one")] * 300 + [(100 + i // 40, "a b " * (i // 40 % 3 + 1), "ties") for i in range(400)] + [(900 + i, f"w{i}", None) for i in range(50)] + [(1000, None, "none")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix_plan(docs).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = con.execute(mixing.ORACLE).df()[names].sort_values(names, ignore_index=True)
+    found = found[names].sort_values(names, ignore_index=True)
+    assert len(found) == len(rows) and (found.drop(columns="target") == want.drop(columns="target")).all(axis=None) and np.allclose(found.target, want.target)
+    assert (found.groupby("doc_id").taken.nunique() == 1).all() and found[found.doc_id == 1000].taken.sum() == 0
+    one = found[found.doc_id == 7]  # 900 words or 1,800, whichever is nearer to the target
+    assert abs(one.taken.sum() - one.target.iloc[0]) <= 450 and mixing.mixed(docs).where("doc_id = 7").count() == one.taken.sum() // 3
+
+
+def test_language_model_counts_all_grams(spark):
+    """The fitted table, the scripts and the scores of words against plain loops."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = [(1, "Straße ΑΒΓ дом", "de"), (2, "x" * 60 + " x" * 3, "de"), (3, None, "fr"), (6, "12 34", "fr"), (7, "abc abc", None)]
+    docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+
+    def plain_grams(word):
+        letters = [c for c in word.lower() if c.isalpha()]
+        runs = []
+        for c in letters:
+            if runs and langid.script_of(runs[-1][-1]) == langid.script_of(c):
+                runs[-1] += c
+            else:
+                runs.append(c)
+        for run in runs:
+            for i in range(0, len(run), 24):
+                piece = ("^" if i == 0 else "") + run[i : i + 24] + ("$" if i + 24 >= len(run) else "")
+                three = [piece[j : j + 3] for j in range(len(piece) - 2)]
+                yield langid.script_of(run[0]), ([piece] if i == 0 and len(run) <= 24 or not three else []) + three
+
+    grams, scripts = defaultdict(Counter), defaultdict(Counter)
+    for r in docs.collect():
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            grams[r.lang], scripts[r.lang]
+            for word in (r.text or "").split():
+                for script, own in plain_grams(word):
+                    scripts[r.lang][script] += 1
+                    grams[r.lang].update(own)
+    model = langid.fit(docs, ~held_out())
+    assert model.languages == sorted(grams)
+    kept = {lang: {g: n for g, n in c.items() if n > 1} for lang, c in grams.items()}
+    assert max(map(len, kept.values())) < langid.FIT_GRAMS and set(model.at) == set().union(*kept.values())
+    log = lambda lang, g: math.log((kept[lang].get(g, 0) + 0.5) / (sum(kept[lang].values()) + 0.5 * len(model.at) + 1))
+    for g in sorted(model.at)[::97]:
+        assert model.table[model.at[g]].tolist() == pytest.approx([log(lang, g) for lang in model.languages], abs=1e-4)
+    own = {lang: {s for s, n in scripts[lang].items() if 20 * n >= scripts[lang].total()} for lang in model.languages}
+    words_seen = sorted({w for r in docs.where("text is not null").limit(20).collect() for w in r.text.split() if len(list(plain_grams(w))) == 1})[::7]
+    for word, scores in zip(words_seen, model.score([langid.pieces_of(w)[0] for w in words_seen]), strict=True):
+        ((script, own_grams),) = plain_grams(word)
+        total = [sum(log(lang, g) for g in own_grams if g in model.at) for lang in model.languages]
+        shut = [-50.0 if script not in own[lang] and any(script in o for o in own.values()) else 0.0 for lang in model.languages]
+        assert scores.tolist() == pytest.approx([(t - max(total)) / 2 + c for t, c in zip(total, shut)], abs=1e-3)
+
+
+def test_toxic_terms_are_mined_from_all_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [(int(i % 6 == 0), sorted({f"t{x}" for x in rng.zipf(1.4, 12) if x < 300} | ({"foul", f"rude{i % 5}"} if i % 6 == 0 and i % 4 else set()))) for i in range(600)]
+    n = Counter(toxic for toxic, _ in texts)
+    both = {label: Counter(t for toxic, terms in texts if toxic == label for t in terms) for label in (0, 1)}
+    want = {}
+    for term, seen in both[1].items():
+        odds = math.log((seen + 0.5) / (n[1] + 1)) - math.log((both[0][term] + 0.5) / (n[0] + 1))
+        if seen >= toxicity.LEAST_SEEN and odds >= 1.0:
+            want[term] = odds
+    rows = spark.createDataFrame([(t, toxic) for toxic, terms in texts for t in terms], "term string, toxic int")
+    found = toxicity._mined(rows, n[1], n[0], 1.0)
+    assert found == pytest.approx(want) and {"foul", "rude0"} <= set(found) and "t1" not in found
+    assert toxicity._mined(rows.limit(0), n[1], n[0], 1.0) == {}
+    # a text's measures: hits of the lexicon, and of words in disguise
+    of = toxicity.Measures({"foul": 5.0}, {})
+    at = toxicity.Measures.NAMES.index
+    clean, hit, hidden = (of(t)[0] for t in ("nice day", "a foul day, foul", "f0uuul day"))
+    assert clean[at("one")] == clean[at("disguised")] == 0 and hit[at("one")] > 0 and hidden[at("disguised")] > 0
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identified(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("held_out").collect()
