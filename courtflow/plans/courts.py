@@ -76,8 +76,9 @@ QUERIES = {n: globals()[n] for n in _names.split()}
 
 # the unit square's mapping to a quadrilateral in closed form, its inverse, and both in metres
 _TURN = lambda a, b, c: f"abs(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+SOUND = f"greatest({_TURN('fl', 'fr', 'nr')}, {_TURN('fr', 'nr', 'nl')}, {_TURN('nr', 'nl', 'fl')}, {_TURN('nl', 'fl', 'fr')}) > 1e-9"
 COURTS = f"""sums as (select *, frx - nrx as dx1, fry - nry as dy1, nlx - nrx as dx2, nly - nry as dy2, flx - frx + nrx - nlx as sx, fly - fry + nry - nly as sy,
-  greatest({_TURN('fl', 'fr', 'nr')}, {_TURN('fr', 'nr', 'nl')}, {_TURN('nr', 'nl', 'fl')}, {_TURN('nl', 'fl', 'fr')}) > 1e-9 as sound from corners),
+  {SOUND} as sound from corners),
 bent as (select *, (sx * dy2 - dx2 * sy) / (dx1 * dy2 - dx2 * dy1) as g, (dx1 * sy - sx * dy1) / (dx1 * dy2 - dx2 * dy1) as h from sums),
 square as (select *, frx - flx + g * frx as a, nlx - flx + h * nlx as b, flx as c, fry - fly + g * fry as d, nly - fly + h * nly as e, fly as f from bent),
 adjoint as (select *, e - f * h as ia, c * h - b as ib, b * f - c * e as ic, f * g - d as id, a - c * g as ie, c * d - a * f as if_, d * h - e * g as ig, b * g - a * h as ih, a * e - b * d as ii from square),

@@ -11,6 +11,7 @@ from courtflow.operators import movement as m
 from courtflow.operators import rules as ru
 from courtflow.operators import tactics as tc
 from courtflow.operators import timeseries as ts
+from courtflow.plans.courts import SOUND, courts
 from courtflow.plans.points import _TACTICS
 from courtflow.plans.shared import kept, query, r6, s6
 from courtflow.sources.surrogate import with_tables
@@ -106,17 +107,24 @@ def pair_insights(frames, poses):
     return out.select("match_id", "team", F.array_join("insights", "; ").alias("insights"))
 
 
-def _graded(frames, poses):
-    """Reliability of each match that has poses; its corners and ball by arithmetic on its number."""
+_GRADED = ("frames", "poses", "corners", "ball_obs", "shots")
+
+
+def _graded(frames, poses, corners, obs, shots):
+    """Reliability of each match that has poses: its players' and ball's share of the time, whether its corners are sound, its confirmed shots."""
     length = frames.groupBy("match_id").agg(F.greatest(F.max("t"), F.lit(1e-3)).alias("seconds"))
     share = lambda i: F.least(F.lit(1.0), F.coalesce(F.max(F.when(F.col("player_id") == i, F.col("detected_seconds"))), F.lit(0.0)) / F.first("seconds")).alias(f"share{i}")
-    rows = m.detected_seconds(frames, poses).join(length, "match_id").groupBy("match_id").agg(*[share(i) for i in range(4)])
-    return ru.reliability(rows.withColumns({"calibrated": F.col("match_id") % 4 > 0, "ball": F.when(F.col("match_id") % 2 == 0, (F.col("match_id") % 7) / F.lit(20.0)), "confirmed": F.lit(0.2)}))
+    rows = m.detected_seconds(frames, poses).join(length, "match_id").groupBy("match_id").agg(*[share(i) for i in range(4)], F.first("seconds").alias("seconds"))
+    sound = courts(corners).select("match_id", F.col("to_court").isNotNull().alias("calibrated"))
+    sure = shots.groupBy("match_id").agg(F.avg(F.col("confirmed").cast("double")).alias("confirmed"))
+    for more in (sound, bl.coverage(obs), sure):
+        rows = rows.join(more, "match_id", "left")
+    return ru.reliability(rows.withColumns({"calibrated": F.coalesce("calibrated", F.lit(False)), "ball": F.when(F.col("covered").isNotNull(), F.least(F.lit(1.0), F.col("covered") / F.col("seconds")))}))
 
 
-@query("frames", "poses")
-def coverage(frames, poses):
-    return _graded(frames, poses).select("match_id", r6("mean_share"), r6("min_share"), "grade", F.array_join("tips", ",").alias("tips"))
+@query(*_GRADED)
+def coverage(frames, poses, corners, obs, shots):
+    return _graded(frames, poses, corners, obs, shots).select("match_id", r6("mean_share"), r6("min_share"), "grade", F.array_join("tips", ",").alias("tips"))
 
 
 def _facts(shots):
@@ -194,8 +202,12 @@ _RULES = f"""r(k, pos, rule, tone, section, priority) as (
         select * from (select k as match_id, rule, tone, section, {s6('priority')} as priority, row_number() over (partition by k order by r.priority desc, pos) as place from r) where place <= 4"""
 _DET = """timed as (select *, coalesce(least(1, greatest(0, lead(t) over (partition by match_id order by t, frame_no) - t)), 0) as dt from frames),
 det as (select match_id, player_id, sum(dt) as d from poses join timed using (match_id, frame_no) group by 1, 2),
-cov as (select match_id, """ + ", ".join(f"least(1, coalesce(max(case when player_id = {i} then d end), 0) / any_value(s)) as s{i}" for i in range(4)) + """ from det join (select match_id, greatest(max(t), 0.001) as s from frames group by 1) using (match_id) group by 1),
-facts as (select *, match_id % 4 > 0 as cal, case when match_id % 2 = 0 then (match_id % 7) / 20.0::double end as ball, (s0 + s1 + s2 + s3) / 4 as mean, least(s0, s1, s2, s3) as low from cov)"""
+cov as (select match_id, any_value(s) as s, """ + ", ".join(f"least(1, coalesce(max(case when player_id = {i} then d end), 0) / any_value(s)) as s{i}" for i in range(4)) + """ from det join (select match_id, greatest(max(t), 0.001) as s from frames group by 1) using (match_id) group by 1),
+cal_of as (select match_id, """ + SOUND + """ as cal from corners),
+ball_of as (select match_id, coalesce(sum(case when dt > 0 and dt < 0.2 then dt end), 0) as covered from (select match_id, t - lag(t) over (partition by match_id order by t, seq) as dt from ball_obs) group by 1),
+sure_of as (select match_id, avg(case when confirmed then 1::double else 0 end) as confirmed from shots group by 1),
+facts as (select cov.*, coalesce(cal, false) as cal, case when covered is not null then least(1, covered / s) end as ball, confirmed, (s0 + s1 + s2 + s3) / 4 as mean, least(s0, s1, s2, s3) as low
+  from cov left join cal_of on cal_of.match_id = cov.match_id left join ball_of on ball_of.match_id = cov.match_id left join sure_of on sure_of.match_id = cov.match_id)"""
 
 ORACLE_SQL = {
     "clean_track": with_tables(
@@ -247,7 +259,7 @@ ORACLE_SQL = {
         select match_id, team, case when paired_seconds < 20 then 'warn: too little footage' when x = '' then 'good: balanced' else x end as insights from told""", "frames", "poses"),
     "coverage": with_tables(
         f""", {_DET} select match_id, {s6('mean')} as mean_share, {s6('low')} as min_share, case when mean >= 0.75 and low >= 0.5 and cal then 'good' when mean >= 0.45 then 'fair' else 'poor' end as grade,
-        concat_ws(',', case when low < 0.5 then 'lost' end, case when (s2 + s3) / 2 < (s0 + s1) / 2 * 0.6 then 'far' end, case when not cal then 'corners' end, case when ball < 0.15 then 'ball' end, case when ball >= 0.15 then 'confirm' end) as tips from facts""", "frames", "poses"),
+        concat_ws(',', case when low < 0.5 then 'lost' end, case when (s2 + s3) / 2 < (s0 + s1) / 2 * 0.6 then 'far' end, case when not cal then 'corners' end, case when ball < 0.15 then 'ball' end, case when ball >= 0.15 and coalesce(confirmed, 1) < 0.3 then 'confirm' end) as tips from facts""", *_GRADED),
     "takeaways": with_tables(
         f", {_FACTS}, {_RULES}", "shots"),
     "next_steps": with_tables(

@@ -17,18 +17,18 @@ from courtflow.plans import signals as sg
 from courtflow.plans.shared import kept, query, r6, s6
 from courtflow.sources.surrogate import with_tables
 
-_REVIEWED = ("shots", "matches", "frames", "poses", "rallies", "point_tags")
+_REVIEWED = ("shots", "matches", "frames", "poses", "rallies", "point_tags", "corners", "ball_obs")
 
 
 @query(*_REVIEWED)
-def match_takeaways(shots, matches, frames, poses, rallies, tags):
+def match_takeaways(shots, matches, frames, poses, rallies, tags, corners, obs):
     """Takeaways from tactics, win rates by pattern, goals, replayed points and coverage of each match."""
     patterns, own = pp._pattern_inputs(frames, poses, rallies)
     scores, rates, endings = p.point_stats(own, tags, patterns)
     goals = h.goal_results(pp._metrics(matches, frames, poses, rallies, tags), pp._goals(matches.sparkSession))
     served = p.rally_servers(p.marked_serves(shots, rallies), rallies)
     score = sc.scores(tags.join(served, p.RALLY, "left").select(*p.RALLY, "winner", "server", (F.col("match_id") % 2 == 0).alias("golden")))
-    facts = ru.review_facts(matches, tc.team_tactics(tc.paired_frames(frames, poses)), ru.best_and_worst(rates), goals, scores, endings, score, sg._graded(frames, poses))
+    facts = ru.review_facts(matches, tc.team_tactics(tc.paired_frames(frames, poses)), ru.best_and_worst(rates), goals, scores, endings, score, sg._graded(frames, poses, corners, obs, shots))
     return ru.takeaways(facts).select("match_id", "rule", "tone", "section", r6("priority"), "place")
 
 

@@ -1,4 +1,4 @@
-"""Documents are checked and cleaned; demos are the same for the same seed."""
+"""Documents are checked and cleaned."""
 
 import json
 
@@ -6,29 +6,7 @@ from pyspark.sql import functions as F
 
 from courtflow.functions import documents as dc
 from courtflow.operators import export as ex
-from courtflow.operators import points as p
-from courtflow.sources.demo import demo_match, mulberry
-
-
-def js_mulberry(a):
-    a = (a + 0x6D2B79F5) & 0xFFFFFFFF
-    t = ((a ^ a >> 15) * (a | 1)) & 0xFFFFFFFF
-    t ^= (t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
-    return (t ^ t >> 14) / 4294967296
-
-
-def test_generator_is_exact(spark):
-    states = [0, 1, 7, 123456789, 0xFFFFFFFF, 2**31]
-    rows = spark.createDataFrame([(s,) for s in states], "s long").select("s", mulberry(F.col("s")).alias("v")).collect()
-    assert all(r.v == js_mulberry(r.s) for r in rows)
-
-
-def test_demo(spark):
-    a, b, c = (demo_match(spark, minutes=2, seed=s) for s in (7, 7, 8))
-    rows = lambda d, t: sorted(map(tuple, d[t].collect()))
-    assert rows(a, "poses") == rows(b, "poses") != rows(c, "poses") and a["poses"].count() == 4 * 1200
-    assert a["poses"].where("court_x < 0 or court_x > 10 or court_y < 0 or court_y > 20").count() == 0
-    assert p.rallies(a["shots"]).count() == 7
+from courtflow.sources.matches import new_match
 
 
 def summary(**more):
@@ -64,9 +42,15 @@ def test_texts(spark):
         dc.prompt_text(F.lit("{}"), F.lit(None).cast("string"), F.lit("net"), F.array(F.lit("x"), F.lit("y"))).alias("d"),
     ).first()
     assert (row.a, row.b, row.c, row.d) == ("Pair split ≤ 15%", "My winners ≥ 3", "40 m/min", "Match summary:\n{}\n\nFocus: net\n\nPictures:\nx\ny")
-    d = demo_match(spark, minutes=1)
     from courtflow.operators import movement as m
     from courtflow.operators import tactics as tc
+    from courtflow.sources.surrogate import table
 
+    d = {n: table(spark, "/root/testdata/sf0.001", n).where("match_id = 1") for n in ("frames", "poses")}
     doc = ex.summary_documents(d["frames"].groupBy("match_id").agg(F.max("t").alias("seconds")), m.movement(m.smoothed_track(d["poses"])), tc.team_tactics(tc.paired_frames(d["frames"], d["poses"]))).first().document
     assert len(json.loads(doc)["players"]) == 4 and len(json.loads(doc)["teams"]) == 2
+
+
+def test_new_match():
+    row = new_match(3, 5, "final")
+    assert (row["match_id"], row["created_at"], row["title"], row["me"], row["names"], row["demo"]) == (3, 5, "final", None, {}, False)
