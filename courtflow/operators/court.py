@@ -27,6 +27,15 @@ def calibrated(corners: DataFrame) -> DataFrame:
     return both.withColumn("to_image", F.when(F.col("to_court").isNotNull(), g.court_to_image(F.col("corners"))))
 
 
+def projected_lines(courts: DataFrame) -> DataFrame:
+    """(match_id, line, x0, y0, x1, y1): the court's lines as they lie in the picture; courts without homographies have none."""
+    ends = ("u0", "v0", "u1", "v1")
+    lines = [F.struct(F.lit(i).alias("line"), *[F.lit(float(v)).alias(c) for c, v in zip(ends, line, strict=True)]) for i, line in enumerate(g.court_lines())]
+    drawn = courts.where("to_image is not null").select("match_id", "to_image", F.explode(F.array(*lines)).alias("l"))
+    (x0, y0), (x1, y1) = (g.project(F.col("to_image"), F.col(f"l.u{i}"), F.col(f"l.v{i}")) for i in range(2))
+    return drawn.select("match_id", "l.line", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
 def net_row(to_image: Column) -> Column:
     """The height in the picture at which the middle of the net's foot is seen."""
     ends = [g.project(to_image, F.lit(x), F.lit(g.NET_Y))[1] for x in (0.0, float(g.WIDTH))]

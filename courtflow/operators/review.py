@@ -37,6 +37,13 @@ def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     return rows.withColumn("__at", at).where(F.col("__at") <= most).drop("__at")
 
 
+def listed(rows: DataFrame, order: list[str | Column], most: int = 40) -> DataFrame:
+    """Each match's first ``most`` rows with their ``place``, and how many ``more`` the list leaves out."""
+    w = Window.partitionBy("match_id")
+    placed = rows.withColumns({"place": F.row_number().over(w.orderBy(*order)), "more": F.greatest(F.count("*").over(w) - most, F.lit(0))})
+    return placed.where(F.col("place") <= most)
+
+
 def thinned_to_size(rows: DataFrame, order: list[str], json: Column, most_chars: int, least_rows: int = 20) -> DataFrame:
     """Keeps every other row of each match, again and again, while its JSON list is too long and has over ``least_rows`` rows.
 

@@ -45,6 +45,12 @@ def match_tiles(corners):
     return co.match_tiles(courts(corners), ASPECT).select("match_id", "tile", *[r6(c) for c in "xywh"])
 
 
+@query("corners")
+def projected_lines(corners):
+    """In thousandths of the picture: in shares, corners lie halfway between two values of six places."""
+    return co.projected_lines(courts(corners)).select("match_id", "line", *[r6(F.col(c) * 1000, c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @query("corners", "poses")
 def focus_crops(corners, poses):
     """The crop in which each player would be looked for again."""
@@ -71,7 +77,7 @@ def free_candidates(corners, pixels, bodies):
     return vi.free_candidates(blobs, boxes, areas).select("match_id", "frame_no", r6("x"), r6("y"), "area")
 
 
-_names = "match_homographies play_areas match_tiles focus_crops poses_in_metres free_candidates"
+_names = "match_homographies projected_lines play_areas match_tiles focus_crops poses_in_metres free_candidates"
 QUERIES = {n: globals()[n] for n in _names.split()}
 
 # the unit square's mapping to a quadrilateral in closed form, its inverse, and both in metres
@@ -108,6 +114,9 @@ ORACLE_SQL = {
         select match_id, {', '.join(f'{s6(v)} as h{i}' for i, v in enumerate(('10 * ia / ii', '10 * ib / ii', '10 * ic / ii', '20 * id / ii', '20 * ie / ii', '20 * if_ / ii', 'ig / ii', 'ih / ii')))},
           {s6('x')} as x, {s6('y')} as y, {s6('0.5::double')} as back_x, {s6('0.6::double')} as back_y from m
         union all select match_id, {', '.join(['null'] * 12)} from solved where not sound""", "corners"),
+    "projected_lines": with_tables(
+        f""", {COURTS}, lines(line, u0, v0, u1, v1) as (values {', '.join(f"({i}, {', '.join(f'{u / 10}::double, {v / 20}::double' for u, v in (line[:2], line[2:]))})" for i, line in enumerate(g.court_lines()))})
+        select match_id, line, {', '.join(f'{s6(f"({v}) * 1000")} as {c}{i}' for i in range(2) for c, v in zip('xy', _BACK(f'u{i}', f'v{i}')))} from solved cross join lines where sound""", "corners"),
     "play_areas": with_tables(
         f""", {_AREA} select match_id, {s6('abs(x0 * y1 - x1 * y0 + x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y0 - x0 * y3) / 2')} as size, {', '.join(f'{s6(f"{c}{i}")} as {c}{i}' for i in range(4) for c in 'xy')} from areas""", "corners"),
     "match_tiles": with_tables(

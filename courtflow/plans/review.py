@@ -87,6 +87,13 @@ def key_frames(shots, matches):
     return rv.key_frames(hard, spans).select("match_id", r6("t"), "caption")
 
 
+@query("ball_shots")
+def highlight_list(shots):
+    """The hardest overheads and forehands of each match, forty at most, and how many are left out."""
+    picked = shots.where(F.col("shot_type").isin("overhead", "forehand"))
+    return rv.listed(picked, [F.desc("swing_speed"), "seq"]).select("match_id", "seq", "place", "more")
+
+
 @query("shots")
 def shot_list(shots):
     return rv.first_rows(shots, ["t", "seq"], 30).groupBy("match_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
@@ -178,7 +185,7 @@ def display_names(names):
 
 
 _names = (
-    "analysed_seconds segment_scan seek_scan asof_tolerance recent_shots rally_timeline greedy_dedupe body_suppression key_frames shot_list thinned_json score_summary focus_player match_days "
+    "analysed_seconds segment_scan seek_scan asof_tolerance recent_shots rally_timeline greedy_dedupe body_suppression key_frames highlight_list shot_list thinned_json score_summary focus_player match_days "
     "dominant_hands player_cards result_labels unused_goals rapid_review rising_ticks work_marks best_patterns display_names"
 )
 QUERIES = {n: globals()[n] for n in _names.split()}
@@ -234,6 +241,9 @@ ORACLE_SQL = {
         picked as (select match_id, seq from folded where seq is not null union all select match_id, seq from r where n <= 6)
         select match_id, {s6('t')} as t, case when player_id < 2 then 'A' else 'B' end || (player_id % 2 + 1) || ': ' || shot_type || ' from the ' || zone as caption from hard join picked using (match_id, seq)
         union all select match_id, {s6('match_id % 10 + (i + 0.5::double) / 4 * 20')} as t, 'general play' from (select match_id, unnest([0, 1, 2, 3]) as i from matches where match_id not in (select match_id from hard))""", "shots", "matches"),
+    "highlight_list": with_tables(
+        """select match_id, seq, place, greatest(n - 40, 0) as more from (select match_id, seq, row_number() over (partition by match_id order by swing_speed desc, seq) as place, count(*) over (partition by match_id) as n
+        from ball_shots where shot_type in ('overhead', 'forehand')) where place <= 40""", "ball_shots"),
     "shot_list": with_tables("select match_id, count(*) as n, max(seq) as last from (select *, row_number() over (partition by match_id order by t, seq) as k from shots) where k <= 30 group by 1", "shots"),
     "thinned_json": with_tables(
         """, r as (select match_id, seq, length(to_json({'seq': seq, 'player_id': player_id, 'shot_type': shot_type})) as l, row_number() over (partition by match_id order by t, seq) - 1 as pos from shots),

@@ -200,3 +200,13 @@ def test_rules(spark):
     schema = "match_id long, share0 double, share1 double, share2 double, share3 double, calibrated boolean, ball double, confirmed double"
     rows = ru.reliability(table(spark, schema, [(0, 0.9, 0.9, 0.8, 0.8, True, None, None), (1, 0.9, 0.9, 0.2, 0.3, False, 0.1, 0.1)])).orderBy("match_id").collect()
     assert [(r.grade, r.tips) for r in rows] == [("good", []), ("fair", ["lost", "far", "corners", "ball"])]
+
+
+def test_listed_says_what_it_leaves_out(spark):
+    from courtflow.operators import review as rv
+
+    rows = spark.createDataFrame([(m, i, i % 3) for m, n in ((1, 7), (2, 3), (3, 4)) for i in range(n)], "match_id long, seq long, v int")
+    found = rv.listed(rows, [F.desc("v"), "seq"], 4).orderBy("match_id", "place").collect()
+    assert [(r.seq, r.more) for r in found if r.match_id == 1] == [(2, 3), (5, 3), (1, 3), (4, 3)]
+    assert {(r.match_id, r.more) for r in found} == {(1, 3), (2, 0), (3, 0)} and len(found) == 11
+    assert rv.listed(rows.limit(0), ["seq"]).count() == 0
