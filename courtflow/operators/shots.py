@@ -15,6 +15,8 @@ NOSE, SHOULDERS, WRISTS, HIPS, ANKLES = 0, (11, 12), (15, 16), (23, 24), (27, 28
 SENSITIVITY = {"low": 12.0, "normal": 9.0, "high": 6.5}
 SAMPLING_FPS = {"quick": 5, "standard": 10, "best": 15}
 COOLDOWN, VISIBLE = 0.8, 0.4
+#: What the middles of landmarks are off by in their last bits is far below this.
+NOISE = 1e-12
 HIT_WINDOW, MIN_RETURN, IN_RALLY = 0.35, 0.45, 3.0
 
 
@@ -58,13 +60,13 @@ def wrist_speeds(body: DataFrame) -> DataFrame:
 
 
 def swing(hand: Column) -> Column:
-    """forehand, backhand or overhead of a body frame at the peak of a swing with that hand."""
+    """forehand, backhand or overhead of a body frame at the peak of a swing with that hand; a wrist in the middle of the shoulders is a forehand's."""
     own, other = F.when(hand == "left", F.col("wrist0")).otherwise(F.col("wrist1")), F.when(hand == "left", F.col("wrist1")).otherwise(F.col("wrist0"))
     wrist = F.coalesce(own, other)
     side = F.when(hand == "right", 1.0).otherwise(-1.0)
     across = [side * (F.col("right_shoulder")[c] - F.col("left_shoulder")[c]) for c in "xy"]
     reach = [wrist[c] - F.col("shoulder")[c] for c in "xy"]
-    ahead = reach[0] * across[0] + reach[1] * across[1] >= 0
+    ahead = reach[0] * across[0] + reach[1] * across[1] >= -NOISE
     return F.when(wrist.isNull(), "forehand").when(F.col("nose.y") - wrist["y"] > F.col("torso") * 0.15, "overhead").when(ahead, "forehand").otherwise("backhand")
 
 
