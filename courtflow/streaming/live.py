@@ -79,13 +79,13 @@ def ball_paths(candidates: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = json.loads(state.get[0]) if state.exists else {"live": [], "speed": [], "numbers": [], "begun": 0}
-        paths = Paths([[tuple(o) for o in p] for p in saved["live"]], [np.array(v) for v in saved["speed"]], [], saved["numbers"], saved["begun"])
+        paths = Paths([[tuple(o) for o in p] for p in saved["live"]], [tuple(v) for v in saved["speed"]], [], saved["numbers"], saved["begun"])
         rows = pd.concat(list(batches)).sort_values("t", kind="stable").reset_index(drop=True)
-        owner = np.full(len(rows), -1)
+        owner, xs, ys = np.full(len(rows), -1), rows["x"].to_numpy(), rows["y"].to_numpy()
         for t, at in rows.groupby("t", sort=True).indices.items():
-            owner[at] = paths.push(float(t), rows.loc[at, ["x", "y"]].to_numpy())
+            owner[at] = paths.push(float(t), list(zip(xs[at].tolist(), ys[at].tolist(), strict=True)))
         # whether a path has one observation or more decides how its speed is updated
-        state.update((json.dumps({"live": [p[-2:] for p in paths.live], "speed": [v.tolist() for v in paths.speed], "numbers": paths.numbers, "begun": paths.begun}),))
+        state.update((json.dumps({"live": [p[-2:] for p in paths.live], "speed": paths.speed, "numbers": paths.numbers, "begun": paths.begun}),))
         yield rows.assign(path=owner.astype("int64"))[["match_id", "path", "t", "x", "y"]]
 
     grouped = candidates.select("match_id", "t", "x", "y").groupBy("match_id")

@@ -210,3 +210,18 @@ def test_listed_says_what_it_leaves_out(spark):
     assert [(r.seq, r.more) for r in found if r.match_id == 1] == [(2, 3), (5, 3), (1, 3), (4, 3)]
     assert {(r.match_id, r.more) for r in found} == {(1, 3), (2, 0), (3, 0)} and len(found) == 11
     assert rv.listed(rows.limit(0), ["seq"]).count() == 0
+
+
+def test_ball_tracks_of_many_matches_need_no_table_each(spark):
+    flight = lambda k: [(k, i / 30, 0.1 + 0.01 * i, 0.5 + (k or 0) / 100) for i in range(20)]
+    ball = [o for k in (*range(40), None) for o in [*flight(k), (k, None, 0.5, 0.5)]]
+    df = table(spark, "match_id long, t double, x double, y double", ball)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        track = tr.ball_track(df)
+        assert "FlatMapGroups" not in track._jdf.queryExecution().toString()
+        found = sorted(map(tuple, track.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == sorted(((k, i, *o[1:]) for k in (*range(40), None) for i, o in enumerate(flight(k))), key=str)
