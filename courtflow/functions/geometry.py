@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -86,6 +86,11 @@ def homography(source: Sequence[Sequence[float]], target: Sequence[Sequence[floa
 PIVOT = 1e-12
 
 
+def bound(value: Column, kind: str, f: Callable[[Column], Column]) -> Column:
+    """f(value), of the SQL type ``kind``, with value evaluated once however often f names it: a fold over a list of one."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: f(v))
+
+
 def solve_linear(rows: Column, n: int) -> Column:
     """The solution of n linear equations given as n rows of n + 1 numbers (array<array<double>>), null if they are degenerate.
 
@@ -93,7 +98,7 @@ def solve_linear(rows: Column, n: int) -> Column:
     table can bring equations of its own.
     """
     at = lambda m, i, j: F.get(F.get(m, i), j)
-    let = lambda value, init, f: F.aggregate(F.array(value), init, lambda _, v: f(v))
+    grid = "array<array<double>>"
 
     def step(m: Column, c: Column) -> Column:
         # of equal pivots the first row's
@@ -103,12 +108,12 @@ def solve_linear(rows: Column, n: int) -> Column:
             top = -p["minus"]
             swapped = F.transform(m, lambda row, i: F.when(i == c, F.get(m, top)).when(i == top, F.get(m, c)).otherwise(row))
             clear = lambda s: F.transform(s, lambda row, i: F.when(i == c, row).otherwise(F.zip_with(row, F.get(s, c), lambda a, b: a - F.get(row, c) / at(s, c, c) * b)))
-            return F.when(p["size"] >= PIVOT, let(swapped, m, clear))
+            return F.when(p["size"] >= PIVOT, bound(swapped, grid, clear))
 
-        return let(best, m, pivoted)
+        return bound(best, grid, pivoted)
 
-    last = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows.cast("array<array<double>>"), step)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(last, i, F.lit(n)) / at(last, i, i))
+    last = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows.cast(grid), step)
+    return bound(last, "array<double>", lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(m, i, F.lit(n)) / at(m, i, i)))
 
 
 def points(corners: Sequence[Sequence[float]]) -> Column:
@@ -126,8 +131,7 @@ def homographies(source: Column, target: Column) -> Column:
         p, q = F.get(source, F.lit(i)), F.get(target, F.lit(i))
         for own, row in ((q["x"], [p["x"], p["y"], 1, 0, 0, 0]), (q["y"], [0, 0, 0, p["x"], p["y"], 1])):
             rows.append(F.array(*[(c if isinstance(c, Column) else F.lit(float(c))) for c in row], -own * p["x"], -own * p["y"], own))
-    solved = solve_linear(F.array(*rows), 8)
-    return F.when(F.forall(solved, lambda v: v.isNotNull()), F.concat(solved, F.array(F.lit(1.0))))
+    return bound(solve_linear(F.array(*rows), 8), "array<double>", lambda h: F.when(F.forall(h, lambda v: v.isNotNull()), F.concat(h, F.array(F.lit(1.0)))))
 
 
 def image_to_court(corners: Column) -> Column:

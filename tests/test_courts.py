@@ -175,3 +175,11 @@ def test_corners_of_a_drawn_court(spark):
     (found,) = vision.court_corners(table, wide, high).collect()
     want = [(20 / wide, 8 / high), (45 / wide, 8 / high), (59 / wide, 32 / high), (6 / wide, 32 / high)]
     assert all(abs(a - b) <= 2 / high for p, q in zip(found.corners, want, strict=True) for a, b in zip(p, q, strict=True))
+
+
+def test_a_homography_is_solved_once_a_row(spark):
+    """The elimination stands once in the plan: what names its result twice must not solve it again for each coefficient."""
+    h = corner_table(spark, [g.DEFAULT_CORNERS]).select(g.image_to_court(F.col("corners")).alias("h"))
+    plan = h._jdf.queryExecution().analyzed().toString()
+    assert plan.count("1.0E-12") == 1  # the least pivot
+    assert np.allclose(h.first().h, g.homography(g.DEFAULT_CORNERS, g.COURT_CORNERS), rtol=1e-9)
