@@ -82,16 +82,22 @@ def focus_tile(to_image: Column, x: Column, y: Column, aspect: float) -> Column:
     return F.struct(inside(ax, wide).alias("x"), inside(ay - tall * 0.45, side).alias("y"), wide.alias("w"), side.alias("h"))
 
 
-def seen_poses(tiled: DataFrame, courts: DataFrame, margin: float = 2.0) -> DataFrame:
+def on_own_court(rows: DataFrame, courts: DataFrame) -> DataFrame:
+    """Rows with their match's ``to_court``; those of matches without a homography are left out."""
+    return rows.join(courts.where("to_court is not null").select("match_id", "to_court"), "match_id")
+
+
+def seen_poses(tiled: DataFrame, courts: DataFrame | None = None, margin: float = 2.0) -> DataFrame:
     """Poses seen in tiles as poses on the court.
 
     tiled(match_id, tile, landmarks, ...) with landmarks in shares of the struct column
     ``tile`` (x, y, w, h). Landmarks become shares of the picture, ``quality`` is what the
     tile shows of the body, and court_x, court_y are the feet in metres; poses off the
-    court, and those of matches without a homography, are left out.
+    court, and those of matches without a homography, are left out. Without ``courts``
+    the rows bring ``to_court`` themselves: where landmarks are derived from less, as
+    ``on_own_court`` before that lets the join carry the less.
     """
-    mapped = courts.where("to_court is not null").select("match_id", "to_court")
-    framed = tiled.withColumn("quality", sh.pose_quality(F.col("landmarks"))).withColumn("landmarks", sh.in_frame(F.col("landmarks"), F.col("tile")))
-    met = framed.join(mapped, "match_id").withColumn("__feet", sh.feet(F.col("landmarks")))
+    met = tiled if courts is None else on_own_court(tiled, courts)
+    framed = met.withColumn("quality", sh.pose_quality(F.col("landmarks"))).withColumn("landmarks", sh.in_frame(F.col("landmarks"), F.col("tile"))).withColumn("__feet", sh.feet(F.col("landmarks")))
     x, y = g.project(F.col("to_court"), F.col("__feet.x"), F.col("__feet.y"))
-    return met.withColumns({"court_x": x, "court_y": y}).where(g.on_court(F.col("court_x"), F.col("court_y"), margin)).drop("to_court", "__feet", "tile")
+    return framed.withColumns({"court_x": x, "court_y": y}).where(g.on_court(F.col("court_x"), F.col("court_y"), margin)).drop("to_court", "__feet", "tile")

@@ -63,8 +63,9 @@ def focus_crops(corners, poses):
 def poses_in_metres(corners, bodies):
     """Bodies seen in a tile, as poses of the picture whose feet are on their match's court."""
     tile = F.struct(*[F.lit(v).alias(c) for c, v in zip("xywh", TILE, strict=True)])
-    tiled = bo.posed(bodies).drop("court_x", "court_y").withColumn("tile", tile)
-    seen = co.seen_poses(tiled, courts(corners))
+    met = co.on_own_court(bodies, courts(corners))
+    tiled = bo.landmarks(met).select("match_id", "frame_no", "player_id", "to_court", "landmarks", tile.alias("tile"))
+    seen = co.seen_poses(tiled)
     return seen.select("match_id", "frame_no", "player_id", r6("quality"), r6("court_x"), r6("court_y"), r6(F.get("landmarks", F.lit(0))["y"], "nose_y"))
 
 

@@ -183,3 +183,14 @@ def test_a_homography_is_solved_once_a_row(spark):
     plan = h._jdf.queryExecution().analyzed().toString()
     assert plan.count("1.0E-12") == 1  # the least pivot
     assert np.allclose(h.first().h, g.homography(g.DEFAULT_CORNERS, g.COURT_CORNERS), rtol=1e-9)
+
+
+def test_poses_in_metres_join_before_landmarks_are_made(spark, tmp_path):
+    """What the join carries are a body's columns, not its 33 landmarks."""
+    from courtflow.plans.registry import QUERIES
+
+    events = "id as event_id, timestamp_seconds(id) as ts, id % 7 as user_id, 'click' as event_type, id % 500 * 1.0D as value"
+    spark.range(800).selectExpr(*events.split(", ")).write.parquet(str(tmp_path / "events.parquet"))
+    plan = QUERIES["poses_in_metres"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "landmarks" in above and "landmarks" not in below
