@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,15 +12,48 @@ from pyspark.sql import functions as F
 from courtflow.operators import movement, points, shots, tactics, timeseries, tracking
 
 
-class Analysis(NamedTuple):
-    """poses (gaps filled), shots (serves marked), rallies, stats by player, tactics by team, patterns by rally and team."""
+@dataclass
+class Analysis:
+    """poses (gaps filled), shots (serves marked), rallies, stats by player, tactics by team, patterns by rally and team.
 
-    poses: DataFrame
-    shots: DataFrame
-    rallies: DataFrame
-    stats: DataFrame
-    tactics: DataFrame
-    patterns: DataFrame
+    Shots, and what is made of them, are found when they are first asked for.
+    """
+
+    frames: DataFrame
+    seen: DataFrame
+    found: Callable[[], DataFrame]
+
+    @cached_property
+    def poses(self) -> DataFrame:
+        return timeseries.fill_gaps(self.frames, self.seen)
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        return self.found()
+
+    @cached_property
+    def rallies(self) -> DataFrame:
+        return points.rallies(self._numbered)
+
+    @cached_property
+    def shots(self) -> DataFrame:
+        return points.marked_serves(self._numbered, self.rallies)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return movement.player_stats(self.frames, self.poses, self.shots)
+
+    @cached_property
+    def _paired(self) -> DataFrame:
+        return tactics.paired_frames(self.frames, self.poses)
+
+    @cached_property
+    def tactics(self) -> DataFrame:
+        return tactics.team_tactics(self._paired)
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return tactics.rally_patterns(self._paired, self.rallies)
 
 
 def analysed(
@@ -36,11 +70,9 @@ def analysed(
     at = ["match_id", "t", "seq"]
     who = tracking.identified(detections).where("player_id >= 0").select(*at, "player_id")
     seen = keep(detections.join(who, at).withColumnsRenamed({"x": "court_x", "y": "court_y"}), "poses")
-    poses = timeseries.fill_gaps(frames, seen)
-    found = shots.detected_shots(seen, aspect, threshold, cooldown)
-    numbered = keep(found.withColumn("seq", F.row_number().over(Window.partitionBy("match_id").orderBy("t", "player_id"))), "shots")
-    rallies = points.rallies(numbered)
-    hits = points.marked_serves(numbered, rallies)
-    paired = tactics.paired_frames(frames, poses)
-    stats = movement.player_stats(frames, poses, hits)
-    return Analysis(poses, hits, rallies, stats, tactics.team_tactics(paired), tactics.rally_patterns(paired, rallies))
+
+    def found() -> DataFrame:
+        swung = shots.detected_shots(seen, aspect, threshold, cooldown)
+        return keep(swung.withColumn("seq", F.row_number().over(Window.partitionBy("match_id").orderBy("t", "player_id"))), "shots")
+
+    return Analysis(frames, seen, found)

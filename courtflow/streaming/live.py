@@ -43,7 +43,7 @@ def followed(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
         rows = pd.concat(list(batches))
         if state.exists:
             x, y, seen, jumped = state.get
-            players = Players(np.array([x, y], dtype=float).T.reshape(-1, 2), np.array(seen, dtype=float), bool(jumped))
+            players = Players(list(zip(map(float, x), map(float, y), strict=True)), list(map(float, seen)), bool(jumped))
         else:
             given = rows["known"].iloc[0]
             players = Players.known(pd.DataFrame(list(map(dict, given)) if given is not None else [], columns=["slot", "t", "x", "y"]))
@@ -52,7 +52,7 @@ def followed(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
             if state.exists:
                 state.remove()
         else:
-            state.update((players.xy[:, 0].tolist(), players.xy[:, 1].tolist(), players.seen.tolist(), bool(players.jumped)))
+            state.update(([x for x, _ in players.xy], [y for _, y in players.xy], players.seen, bool(players.jumped)))
         yield out
 
     if known is None:

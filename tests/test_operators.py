@@ -225,3 +225,23 @@ def test_ball_tracks_of_many_matches_need_no_table_each(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found == sorted(((k, i, *o[1:]) for k in (*range(40), None) for i, o in enumerate(flight(k))), key=str)
+
+
+def test_identities_of_many_matches_need_no_table_each(spark):
+    rows = [(k, i / 2, s, float(x), float(y)) for k in range(30) for i in range(6) for s, (x, y) in enumerate(FOUR)]
+    found = tr.identified(table(spark, "match_id long, t double, seq int, x double, y double", rows))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(*r, r[2]) for r in rows]
+
+
+def test_tactics_of_an_analysis_find_no_shots(spark):
+    from courtflow.operators import analysis
+    from courtflow.plans import bodies as bd
+    from courtflow.sources.surrogate import table as derived
+
+    kept, data = [], "/root/testdata/sf0.001"
+    seen = bd.landmarks(derived(spark, data, "sightings")).select("match_id", "frame_no", "t", "seq", "x", "y", "landmarks")
+    a = analysis.analysed(derived(spark, data, "frames"), seen, bd.ASPECT, lambda rows, name: kept.append(name) or rows)
+    a.tactics.schema  # noqa: B018
+    assert kept == ["poses"]
+    assert "shot_type" in a.shots.columns and "longest" not in a.rallies.columns and kept == ["poses", "shots"]
