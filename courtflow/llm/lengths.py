@@ -9,35 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.pieces import KnownIds, byte_level_pieces
-from courtflow.llm.shared import stash
+from courtflow.llm.pieces import SLICE_BYTES, encoder
+from courtflow.llm.shared import slices, stash
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
-#: Texts that are cut and encoded together.
-SLICE = 128
-
-_counters: dict[str, KnownIds] = {}
-
-
-def _counter(path: str) -> KnownIds:
-    if path not in _counters:
-        _counters[path] = KnownIds(path)
-    return _counters[path]
+#: Texts that are encoded together, at most.
+TEXTS = 10_000
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(n_tokens) for every row of docs(text, ...): ids of the whole text under a byte-level tokenizer file; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             texts = batch.column(0)
-            found: list[int] = []
-            for at in range(0, len(texts), SLICE):
-                for ids in count(byte_level_pieces(t or "") for t in texts.slice(at, SLICE).to_pylist()):
-                    found.append(len(b"".join(ids)) // 4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, dtype=np.int64))], ["n_tokens"])
+            for at, stop in slices(texts, TEXTS, SLICE_BYTES):
+                _, ends = encode(texts.slice(at, stop - at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends))], ["n_tokens"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "n_tokens long")
 

@@ -19,22 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.pieces import KnownIds, byte_level_pieces
-from courtflow.llm.shared import shared_folder, stash
+from courtflow.llm.pieces import SLICE_BYTES, encoder
+from courtflow.llm.shared import shared_folder, slices, stash
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-SLICE = 128
+#: Texts that are encoded together, and rows handed on together, at most.
+TEXTS, ROWS = 10_000, 512
 SCHEMA = "doc_id long, n_tokens long, part int, start_in_part long, tokens array<int>"
 
-_encoders: dict[str, KnownIds] = {}
-
-
-def _encoder(path: str) -> KnownIds:
-    if path not in _encoders:
-        _encoders[path] = KnownIds(path)
-    return _encoders[path]
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Writes docs(doc_id, text, ...) as files of (doc_id, n_tokens, part, start_in_part, tokens).
 
@@ -44,21 +36,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     the session's settings make of each, and start_in_part counts the ids before the
     document in its stretch.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, own = _encoder(tokenizer), 0, TaskContext.get().partitionId()
+        encode, start, own = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [b"".join(r) + end for r in encode(byte_level_pieces(t or "") for t in part.column("text").to_pylist())]
-                n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(n)])
-                start = int(starts[-1])
-                flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-                tokens = pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), flat)
-                columns = [part.column("doc_id"), pa.array(n), pa.array(np.full(len(n), own, dtype=np.int32)), pa.array(starts[:-1]), tokens]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "part", "start_in_part", "tokens"])
+            for at, stop in slices(batch.column("text"), TEXTS, SLICE_BYTES):
+                part = batch.slice(at, stop - at)
+                ids, ends = encode(part.column("text"))
+                flat, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+                columns = [part.column("doc_id"), pa.array(np.diff(ends)), pa.array(np.full(len(part), own, dtype=np.int32)), pa.array(start + ends[:-1])]
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                start += int(ends[-1])
+                rows = pa.RecordBatch.from_arrays([*columns, tokens], ["doc_id", "n_tokens", "part", "start_in_part", "tokens"])
+                yield from (rows.slice(i, ROWS) for i in range(0, len(rows), ROWS))
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
     (

@@ -1,12 +1,14 @@
 """Tokenizers, lengths, languages, quality, mixing and toxicity against brute force."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,6 +64,41 @@ def test_token_files_round_trip(spark):
         assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+def byte_level_ids(encode, texts):
+    ids, ends = encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def test_pieces_are_what_the_library_makes_of_whole_texts():
+    t, encode = Tokenizer.from_file(BYTE), pieces.ByteLevel(BYTE)
+    odd = "\t \r \x0b \x1c \x85 \xa0 \u3000 \u2009 \u2028 \u1680 \u180e \u200b".split(" ")
+    few = [" ", "\n", "a", "7", ".", "'s", "é"]
+    many = [*few, *odd, "×", "÷", "٣", "½", "re", "<|endoftext|>", "<|", "$", "日本", "слово", "ɏ", "ɐ", "e\u0301", "🙂", "\0", "«", "ª", "º", "µ", "ƻ"]
+    texts = [None, "", *map("".join, itertools.product(few, repeat=4)), *map("".join, itertools.product(many, repeat=2))]
+    rng = np.random.default_rng(9)
+    texts += ["".join(rng.choice(many, rng.integers(3, 15))) for _ in range(3000)]
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert byte_level_ids(encode, texts) == want and byte_level_ids(encode, texts[::-1]) == want[::-1]
+    assert byte_level_ids(encode, []) == []
+
+
+def test_a_piece_goes_to_the_library_once(monkeypatch):
+    t, encode, sent = Tokenizer.from_file(BYTE), pieces.ByteLevel(BYTE), Counter()
+    whole = encode.whole
+    monkeypatch.setattr(encode, "whole", lambda texts: sent.update(w for x in texts for w in x.split()) or whole(texts))
+    texts = [" ".join(f"{w}{mark}" for w in ("Straße", "the", "rallies", "12")) for mark in ("", ".", "...", "$$", "|>", ",\n")]
+    for part in (texts[:4], texts[2:], texts):
+        assert byte_level_ids(encode, part) == [t.encode(x, add_special_tokens=False).ids for x in part]
+    assert sent["rallies"] == sent["the"] == sent["..."] == sent["$$"] == 1 and "rallies." not in sent and "the$$" not in sent
+    # what is remembered is bounded, and what the slice at hand needs is kept
+    monkeypatch.setattr(pieces, "KNOWN", 20)
+    for k in range(9):
+        part = [f"the score is {i} to word{k}{'x' * 120}" for i in range(10 * k, 10 * k + 10)]
+        assert byte_level_ids(encode, part) == [t.encode(x, add_special_tokens=False).ids for x in part]
+        assert len(encode.known) == len(encode.lists) <= 20 and max(map(len, encode.known)) <= pieces.LONGEST
+    assert sent["the"] <= 2 and sent["score"] <= 2
+
+
 def test_starts_hold_whatever_files_a_task_writes(spark):
     docs = spark.range(500).selectExpr("id as doc_id", "repeat('a word ', int(id % 7)) as text")
     spark.conf.set("spark.sql.files.maxRecordsPerFile", 50)
