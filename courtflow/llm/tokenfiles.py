@@ -24,7 +24,7 @@ from courtflow.llm.shared import shared_folder, slices, stash
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: Texts that are encoded together, and rows handed on together, at most.
-TEXTS, ROWS = 10_000, 512
+TEXTS, ROWS = 10_000, 128
 SCHEMA = "doc_id long, n_tokens long, part int, start_in_part long, tokens array<int>"
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
